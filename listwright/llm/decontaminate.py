@@ -30,7 +30,7 @@ class LeakRules:
     similarity: float = 0.8
     parts: float = 0.5
     block_words: int = 500_000
-    postings_per_block: int = 8
+    items_per_block: int = 4
 
 
 #: Lower-case ASCII, white space for ASCII punctuation and controls; other bytes stay.
@@ -66,9 +66,9 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n_items: int, mean_words: float, rules: LeakRules):
         self.rules = rules
         self.items = []  # (item id, words, shingles, question words, answer words)
-        postings = defaultdict(list)
         self.longest = 1
-        essential = set()
+        self.blocks: list[dict[bytes, list[tuple[int, float]]]] = []  # of few items each: postings by term
+        gate = defaultdict(set)
         for item, text in sorted(items, key=lambda x: (x[0] is None, x[0], x[1] or "")):
             words = tokens(text)
             grams = shingles(words, rules.shingle)
@@ -86,72 +86,66 @@ class Index:
             question, answer = question_and_answer(text)
             self.items.append((item, grams, set(question), set(answer)))
             self.longest = max(self.longest, len(words))
-            mass = 0.0
+            mass, own_essential = 0.0, []
             # the commonest terms that are together below the threshold can't retrieve the item; the others gate it
             for t in sorted(impact, key=lambda t: (-frequency[t], len(t), t)):
                 mass += impact[t] / threshold
                 if mass >= 1 - 1e-9:
-                    essential.add(t)
+                    own_essential.append(t)
+            block = slot // rules.items_per_block
+            if block == len(self.blocks):
+                self.blocks.append(defaultdict(list))
             for t, x in impact.items():
-                postings[t].append((slot, x / threshold))
-        self.essential = frozenset(essential)
-        self.lists = {}
-        n = rules.postings_per_block
-        for t, own in postings.items():
-            ids, impacts = [p[0] for p in own], [p[1] for p in own]
-            block_max = [max(impacts[i : i + n]) for i in range(0, len(own), n)]
-            block_end = [ids[min(i + n, len(own)) - 1] for i in range(0, len(own), n)]
-            self.lists[t] = (ids, impacts, max(impacts), block_max, block_end)
-        self.terms = frozenset(self.lists)
+                self.blocks[block][t].append((slot, x / threshold))
+            for t in own_essential:
+                gate[t].add(block)
+        self.gate = {t: tuple(sorted(b)) for t, b in gate.items()}
+        self.essential = frozenset(self.gate)
+        self.block_max = [{t: max(x for _, x in own) for t, own in block.items()} for block in self.blocks]
+        self.block_terms = [frozenset(block) for block in self.blocks]
 
     def search(self, words: set[bytes]) -> list[tuple[int, float]]:
-        """Block-max WAND: all (slot, score) with a score of 1 or more for the query ``words``."""
-        if self.essential.isdisjoint(words):
-            return []
-        n = self.rules.postings_per_block
-        cursors = [[own[0][0], 0, own] for own in map(self.lists.__getitem__, self.terms & words)]
+        """Block-max WAND: all (slot, score) with a score of 1 or more for the query ``words``.
+
+        Items are in small blocks with each term's largest impact there. Only blocks that hold an essential term of the
+        query are looked at, and only those whose largest impacts reach the threshold are opened."""
+        hits = self.essential & words
+        found = []
+        if hits:
+            for b in sorted({b for t in hits for b in self.gate[t]}):
+                terms = self.block_terms[b] & words
+                most = self.block_max[b]
+                if sum(map(most.__getitem__, terms)) >= 1 - 1e-9:
+                    found += self._pivot(b, terms)
+        return found
+
+    def _pivot(self, b: int, terms) -> list[tuple[int, float]]:
+        """WAND within a block: the pivot is the first item that the terms up to it can lift to the threshold."""
+        most, lists = self.block_max[b], self.blocks[b]
+        cursors = sorted([lists[t][0][0], t, 0] for t in terms)
         done = len(self.items)
         found = []
         while cursors:
-            cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[2][2]
+                bound += most[c[1]]
                 if bound >= 1 - 1e-9:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            slot = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == slot:
-                pivot += 1
-            within, block_end = 0.0, done
-            for c in cursors[: pivot + 1]:  # shallow move: to the block that may hold the slot
-                block, (_, _, _, block_max, ends) = c[1] // n, c[2]
-                while block < len(ends) and ends[block] < slot:
-                    block += 1
-                if block < len(ends):
-                    within += block_max[block]
-                    block_end = min(block_end, ends[block])
-            if within < 1 - 1e-9:
-                target = block_end + 1
-                if pivot + 1 < len(cursors):
-                    target = min(target, cursors[pivot + 1][0])
-                target = max(target, slot + 1) if target <= slot else target
-            elif cursors[0][0] == slot:
-                score = sum(c[2][1][c[1]] for c in cursors[: pivot + 1])
+            slot = target = cursors[pivot][0]
+            if cursors[0][0] == slot:
+                score = sum(lists[t][at][1] for at_slot, t, at in cursors if at_slot == slot)
                 if score >= 1 - 1e-9:
                     found.append((slot, score))
                 target = slot + 1
-            else:
-                target = slot
-            for c in cursors[: pivot + 1]:
-                ids, at = c[2][0], c[1]
-                while at < len(ids) and ids[at] < target:
-                    at += 1
-                c[1] = at
-                c[0] = ids[at] if at < len(ids) else done
-            cursors = [c for c in cursors if c[0] < done]
+            for c in cursors:
+                own = lists[c[1]]
+                while c[0] < target:
+                    c[2] += 1
+                    c[0] = own[c[2]][0] if c[2] < len(own) else done
+            cursors = sorted(c for c in cursors if c[0] < done)
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int, float, float, float, float]]:
