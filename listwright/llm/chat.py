@@ -48,13 +48,6 @@ class ChatTemplate:
         named = [x for t in self.turns.values() for x in (t.open, t.close)]
         return [*dict.fromkeys([*named, self.other_open, self.other_name_end, self.other_close])]
 
-    def escape_pattern(self) -> str:
-        """First character, backslashes, rest of any control string."""
-        by_first: dict[str, list[str]] = {}
-        for c in self.controls():
-            by_first.setdefault(c[0], []).append(re.escape(c[1:]))
-        return "|".join(f"(?<={re.escape(first)})(\\\\*)(?=(?:{'|'.join(rest)}))" for first, rest in by_first.items())
-
 
 def escape(text: Column, template: ChatTemplate) -> Column:
     for first, rest in _by_first(template):

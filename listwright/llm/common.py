@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import listwright
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions and classes of this package travel to the executors by value, so it need not be installed there
+cloudpickle.register_pickle_by_value(listwright)
+
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +48,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+class Shared:
+    """A value broadcast in pickled form; each task unpickles it at first use."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = cloudpickle.loads(self._bytes.value)
+        return self._value
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, small_batches
+from listwright.llm.common import Shared, materialize, small_batches
 
 
 @dataclass(frozen=True)
@@ -216,7 +216,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     narrow = docs.select(F.col(id).alias("lw_id"), F.col(text).alias("lw_text"))
     found = spark.createDataFrame([], schema)
     for index in build_indexes(benchmark, item, "text", rules):
-        held = spark.sparkContext.broadcast(index)
+        held = Shared(spark, index)
 
         def search(batches, held=held):
             for batch in batches:
@@ -240,7 +240,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """The documents that repeat no item, with their own columns only."""
     small_batches(docs.sparkSession)
     for index in build_indexes(benchmark, item, "text", rules):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        held = Shared(docs.sparkSession, index)
 
         def clean(batches, held=held):
             for batch in batches:

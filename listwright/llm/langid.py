@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, small_batches
+from listwright.llm.common import Shared, small_batches
 
 UNDETERMINED = "und"
 DIMENSIONS = 2048
@@ -144,7 +144,7 @@ def identify_languages(docs: DataFrame, id: str = "doc_id", text: str = "text",
     small_batches(spark)
     is_held = F.coalesce(F.crc32(F.col(id).cast("string")) % modulus == held, F.lit(False))
     order = (F.shiftright(F.xxhash64(F.lit(11), id, text), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53))
-    model = spark.sparkContext.broadcast(fit_languages(docs, text, lang, ~is_held, order))
+    model = Shared(spark, fit_languages(docs, text, lang, ~is_held, order))
     kind = docs.schema[id].dataType.simpleString()
 
     def predict(batches):

@@ -39,8 +39,8 @@ class ToxicityPlan:
     min_z: float = 4.0
     min_documents: int = 5
     swap_penalty: float = 10.0
-    l2: float = 1e-3
-    rounds: int = 500
+    l2: float = 1e-4
+    rounds: int = 1500
     rate: float = 2.0
     identity: dict = field(default_factory=lambda: IDENTITY_TERMS)
 
@@ -58,8 +58,38 @@ def features_of(word: bytes) -> tuple[int, ...]:
     return (zlib.crc32(w), *(zlib.crc32(b"^" + s[:n].encode()) for n in (4, 5, 6) if len(s) >= n))
 
 
-def words_of(text: bytes) -> set[bytes]:
-    return set(text.lower().split())
+#: Values are whole numbers of this part, so that their sums don't depend on the order of adding.
+UNIT = 1000
+
+
+def value_of(count: int, words: int) -> int:
+    """Of a feature that occurs ``count`` times: logarithmic, and less in texts of over 300 words."""
+    return round(UNIT * math.log2(1 + count) * math.sqrt(min(1.0, 300 / max(words, 1))))
+
+
+def count_features(words: Counter, known=None, memo=None) -> Counter:
+    """Occurrences of each feature (of ``known`` ones, if given)."""
+    out: Counter = Counter()
+    memo = {} if memo is None else memo
+    for w, n in words.items():
+        own = memo.get(w)
+        if own is None:
+            if len(memo) > 300_000:
+                memo.clear()
+            own = features_of(w)
+            memo[w] = own = own if known is None else tuple(f for f in own if f in known)
+        for f in own:
+            out[f] += n
+    return out
+
+
+def values(words: Counter, known=None, memo=None) -> dict[int, int]:
+    n = sum(words.values())
+    return {f: value_of(k, n) for f, k in count_features(words, known, memo).items()}
+
+
+def words_of(text: bytes) -> Counter:
+    return Counter(text.lower().split())
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, modulus: int, held: int, plan: ToxicityPlan) -> DataFrame:
@@ -73,73 +103,91 @@ def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
     return materialize(rows.select("lw_id", "lw_label", "lw_text"), "labelled")
 
 
+_COUNTS = "f bigint, n bigint, s0 bigint, q0 bigint, s1 bigint, q1 bigint"
+
+
 def _count(batches):
-    counts = (Counter(), Counter())
-    documents = [0, 0]
+    sums: dict[int, list[int]] = {}
+    documents, memo = [0, 0], {}
 
     def rows():
-        keys = list(counts[0].keys() | counts[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())] + [pa.array([c[k] for k in keys], pa.int64()) for c in counts], names=["f", "n0", "n1"])
+        columns = [list(sums), *zip(*sums.values())] if sums else [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["f", "n", "s0", "q0", "s1", "q1"])
 
     for batch in batches:
         for y, t in zip(batch.column("lw_label").to_pylist(), texts(batch.column("lw_text"))):
             documents[y] += 1
-            counts[y].update({f for w in words_of(t) for f in features_of(w)})
-        if len(counts[0]) > 400_000:
+            for f, v in values(words_of(t), memo=memo).items():
+                own = sums.setdefault(f, [0] * 5)
+                own[0] += 1
+                own[1 + 2 * y] += v
+                own[2 + 2 * y] += v * v
+        if len(sums) > 300_000:
             yield rows()
-            counts[0].clear()
-            counts[1].clear()
+            sums = {}
     yield rows()
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *(pa.array([d], pa.int64()) for d in documents)], names=["f", "n0", "n1"])
+    # how many documents there are of either label
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, 0, documents[0], 0, documents[1], 0)], names=["f", "n", "s0", "q0", "s1", "q1"])
 
 
 def _rows_of(chosen: dict, identity: dict):
-    """For each labelled document: label, features, and the features of its swapped versions."""
+    """For each labelled document: label, feature values, and how they change when its group names are swapped."""
     category = {w.encode(): (c, i) for c, own in identity.items() for i, w in enumerate(own)}
 
-    def swapped(words, shift):
-        out = set()
-        for w in words:
+    def swapped(words: Counter, shift: int) -> Counter:
+        out: Counter = Counter()
+        for w, n in words.items():
             found = category.get(w.strip(_EDGE))
-            out.add(identity[found[0]][(found[1] + shift) % len(identity[found[0]])].encode() if found else w)
+            out[identity[found[0]][(found[1] + shift) % len(identity[found[0]])].encode() if found else w] += n
         return out
 
     def extract(batches):
+        memo: dict = {}
         for batch in batches:
-            y, x, swaps = [], [], []
+            y, f, v, swaps = [], [], [], []
             for label, t in zip(batch.column("lw_label").to_pylist(), texts(batch.column("lw_text"))):
                 words = words_of(t)
-                index = lambda ws: sorted({chosen[f] for w in ws for f in features_of(w) if f in chosen})
+                own = values(words, chosen, memo)
                 y.append(label)
-                x.append(index(words))
-                named = any(w.strip(_EDGE) in category for w in words)
-                swaps.append([index(swapped(words, s)) for s in (1, 2)] if named else [])
+                f.append([chosen[x] for x in sorted(own)])
+                v.append([own[x] for x in sorted(own)])
+                changes = []
+                if any(w.strip(_EDGE) in category for w in words):
+                    for shift in (1, 2):
+                        other = values(swapped(words, shift), chosen, memo)
+                        changes.append([(chosen[x], other.get(x, 0) - own.get(x, 0)) for x in sorted(own.keys() | other.keys()) if other.get(x, 0) != own.get(x, 0)])
+                swaps.append([[{"f": a, "v": b} for a, b in c] for c in changes if c])
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, ints), pa.array(swaps, pa.list_(ints))], names=["y", "x", "swaps"])
+            pair = pa.list_(pa.list_(pa.struct([("f", pa.int32()), ("v", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(f, ints), pa.array(v, ints), pa.array(swaps, pair)], names=["y", "f", "v", "swaps"])
 
     return extract
 
 
-def train(y: np.ndarray, rows: list[list[int]], swaps: list[list[list[int]]], size: int, plan: ToxicityPlan) -> np.ndarray:
-    """Weights, the bias last: mean log loss, plus ``swap_penalty`` times the mean squared change of score under swaps."""
-    flat = np.array([f for r in rows for f in r], np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    parts = [(i, f, sign) for i, (r, own) in enumerate(zip(rows, swaps)) for s in own for f, sign in ([(f, 1.0) for f in set(r) - set(s)] + [(f, -1.0) for f in set(s) - set(r)])]
-    pair_of = np.array([p[0] for p in parts], np.int64)
-    pair_f = np.array([p[1] for p in parts], np.int64)
-    pair_s = np.array([p[2] for p in parts])
+def train(rows: list[tuple], size: int, plan: ToxicityPlan) -> np.ndarray:
+    """Weights, the bias last, from rows (label, features, values, changes): log loss, both labels weighing the same,
+    plus ``swap_penalty`` times the mean squared change of score under swaps."""
+    y = np.array([r[0] for r in rows], float)
+    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    f = np.array([x for r in rows for x in r[1]], np.int64)
+    v = np.array([x for r in rows for x in r[2]], float) / UNIT
+    changes = [c for r in rows for c in r[3]]
+    c_of = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+    c_f = np.array([x[0] for c in changes for x in c], np.int64)
+    c_v = np.array([x[1] for c in changes for x in c], float) / UNIT
     balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     w = np.zeros(size + 1)
     speed = np.zeros_like(w)
     for _ in range(plan.rounds):
-        z = np.bincount(of, w[flat], len(rows)) + w[-1]
-        error = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(flat, error[of], size + 1)
+        error = balance * (1 / (1 + np.exp(-np.clip(np.bincount(of, w[f] * v, len(rows)) + w[-1], -30, 30))) - y)
+        grad = np.bincount(f, error[of] * v, size + 1)
         grad[-1] = error.sum()
         grad[:-1] += plan.l2 * w[:-1]
-        if len(parts):
-            change = np.bincount(pair_of, pair_s * w[pair_f], len(rows))
-            grad += plan.swap_penalty * np.bincount(pair_f, 2 * pair_s * change[pair_of], size + 1) / len(rows)
+        if changes:
+            moved = np.bincount(c_of, w[c_f] * c_v, len(changes))
+            grad += plan.swap_penalty * np.bincount(c_f, 2 * moved[c_of] * c_v, size + 1) / len(changes)
+        # heavy penalties make steep directions; a bounded step stays stable there
+        grad /= max(1.0, math.sqrt(float(grad @ grad)))
         speed = 0.9 * speed - plan.rate * 0.1 * grad
         w += speed
     return w
@@ -155,40 +203,34 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark)
     sample = _sample(docs, labels, id, text, label, modulus, held, plan)
-    counts = sample.select("lw_label", "lw_text").mapInArrow(_count, "f bigint, n0 bigint, n1 bigint").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    names = [x.split()[0] for x in _COUNTS.split(", ")]
+    counts = sample.select("lw_label", "lw_text").mapInArrow(_count, _COUNTS).groupBy("f").agg(*[F.sum(x).alias(x) for x in names[1:]])
     counts = materialize(counts, "counts")
     total = counts.where("f = -1").first()
-    n0, n1 = (total["n0"], total["n1"]) if total else (0, 0)
-    a, b = (F.col("n1") + 0.5) / (n1 + 1), (F.col("n0") + 0.5) / (n0 + 1)
-    pooled = (F.col("n0") + F.col("n1") + 1.0) / (n0 + n1 + 2)
-    z = (a - b) / F.sqrt(pooled * F.greatest(1 - pooled, F.lit(1e-9)) * (1 / (n0 + 1) + 1 / (n1 + 1)))
+    n0, n1 = (total["s0"], total["s1"]) if total else (0, 0)
+    mean = lambda k, n: F.col(f"s{k}") / float(max(n, 1) * UNIT)
+    spread = lambda k, n: (F.col(f"q{k}") / float(max(n, 1) * UNIT * UNIT) - mean(k, n) * mean(k, n)) / float(max(n, 1))
+    z = (mean(1, n1) - mean(0, n0)) / F.sqrt(F.greatest(spread(0, n0) + spread(1, n1), F.lit(0.0)) + 1e-6)
     identity = sorted({zlib.crc32(w.encode()) for own in plan.identity.values() for w in own})
-    seen = counts.where((F.col("f") >= 0) & (F.col("n0") + F.col("n1") >= plan.min_documents)).withColumn("z", z)
+    seen = counts.where((F.col("f") >= 0) & (F.col("n") >= plan.min_documents)).withColumn("z", z)
     best = [r[0] for r in seen.where(F.col("z") >= plan.min_z).orderBy(F.desc("z"), "f").limit(plan.features).select("f").collect()]
-    named = [r[0] for r in counts.where(F.col("f").isin(identity)).select("f").collect()]
+    named = [r[0] for r in counts.where(F.col("f").isin(identity)).orderBy("f").select("f").collect()]
     chosen = {f: i for i, f in enumerate(dict.fromkeys([*best, *named]))}
-    fitted = sample.mapInArrow(_rows_of(chosen, plan.identity), "y int, x array<int>, swaps array<array<int>>").collect()  # bounded by the sample
-    fitted = sorted((r["y"], r["x"], r["swaps"]) for r in fitted)
-    w = train(np.array([r[0] for r in fitted]), [r[1] for r in fitted], [r[2] for r in fitted], len(chosen), plan) if fitted else np.zeros(1)
+    schema = "y int, f array<int>, v array<int>, swaps array<array<struct<f:int,v:int>>>"
+    fitted = sorted(tuple(r) for r in sample.mapInArrow(_rows_of(chosen, plan.identity), schema).collect())  # bounded by the sample
+    w = train(fitted, len(chosen), plan) if fitted else np.zeros(1)
     model = spark.sparkContext.broadcast((float(w[-1]), {f: float(w[i]) for f, i in chosen.items()}))
     kind = docs.schema[id].dataType.simpleString()
 
     def score(batches):
         bias, weights = model.value
-        memo: dict[bytes, tuple] = {}
+        memo: dict = {}
         for batch in batches:
             out = []
             for t in texts(batch.column("lw_text")):
-                active = set()
-                for word in words_of(t):
-                    found = memo.get(word)
-                    if found is None:
-                        if len(memo) > 300_000:
-                            memo.clear()
-                        found = memo[word] = tuple(f for f in features_of(word) if f in weights)
-                    if found:
-                        active.update(found)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + sum(map(weights.__getitem__, sorted(active))))))))
+                own = values(words_of(t), weights, memo)
+                logit = bias + sum(weights[f] * own[f] for f in sorted(own)) / UNIT
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
             yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_held"), pa.array(out, pa.float64())], names=["lw_id", "lw_held", "lw_score"])
 
     is_held = F.coalesce(F.crc32(F.col(id).cast("string")) % modulus == held, F.lit(False))
