@@ -149,12 +149,14 @@ def _features(kind: int, vote) -> np.ndarray:
 def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> SpanModel:
     """EM over (kind, votes, count), then logistic regression on the posteriors."""
     m = len(LABELERS)
+    if not patterns:
+        return SpanModel(np.full(4, 0.5), np.full((4, m), 0.8), np.full((4, m), 0.3), np.zeros(len(KINDS) * (1 + 2 * m)))
     prior, right, wrong = np.full(4, 0.5), np.full((4, m), 0.8), np.full((4, m), 0.3)
     kinds = np.array([p[0] for p in patterns], int)
     vote = np.array([p[1] for p in patterns], int).reshape(-1, m)
     count = np.array([p[2] for p in patterns], float)
     posterior = np.zeros(len(patterns))
-    for _ in range(rounds if patterns else 0):
+    for _ in range(rounds):
         lr = np.log(prior[kinds] / (1 - prior[kinds]))
         lr = lr + np.where(vote > 0, np.log(right[kinds] / wrong[kinds]), 0).sum(1) + np.where(vote < 0, np.log((1 - right[kinds]) / (1 - wrong[kinds])), 0).sum(1)
         posterior = 1 / (1 + np.exp(-np.clip(lr, -30, 30)))
@@ -166,11 +168,10 @@ def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 60) -> S
                 yes, no = vote[own, j] > 0, vote[own, j] < 0
                 right[k, j] = np.clip((n @ (p * yes) + 4) / (n @ (p * (yes | no)) + 5), 0.02, 0.98)
                 wrong[k, j] = np.clip((n @ ((1 - p) * yes) + 1.5) / (n @ ((1 - p) * (yes | no)) + 5), 0.02, 0.98)
-    x = np.array([_features(k, v) for k, v, _ in patterns]).reshape(len(patterns), -1)
+    x = np.array([_features(k, v) for k, v, _ in patterns])
     weights = np.zeros(len(KINDS) * (1 + 2 * m))
-    share = count / max(count.sum(), 1) if len(patterns) else count
-    share = np.sqrt(share) / max(np.sqrt(share).sum(), 1e-12) if len(patterns) else share
-    for _ in range(400 if patterns else 0):
+    share = np.sqrt(count) / np.sqrt(count).sum()  # rare vote patterns count for something, too
+    for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
         weights -= 4.0 * (x.T @ (share * (p - posterior)) + 1e-4 * weights)
     return SpanModel(prior, right, wrong, weights)

@@ -42,14 +42,22 @@ def test_toxicity(spark):
     assert right / len(held) > 0.95
     assert by[1000]["lw_score"] < 0.5 and by[1001]["lw_score"] == by[1002]["lw_score"]
     assert abs(by[1004]["lw_score"] - by[1005]["lw_score"]) < 0.05
-    # without the counterfactual term, naming a group counts against a text
-    plain = {r["doc_id"]: r for r in T.toxicity_scores(df, lab, plan=replace(T.ToxicityPlan(), swap_penalty=0.0)).collect()}
-    assert by[1003]["lw_score"] <= plain[1003]["lw_score"] + 1e-9
     empty = df.limit(0)
     assert T.toxicity_scores(empty, lab).count() == 0
     assert {r["lw_score"] for r in T.toxicity_scores(df, lab.limit(0)).collect()} == {0.5}
 
 
+def test_swaps_pull_group_names_together():
+    # the name 0 stands in nine of ten toxic texts, the name 1 in one of ten; each text is also seen with the other name
+    rows = []
+    for i in range(200):
+        toxic = i % 2
+        own = 0 if (i // 2 % 10 > 0) == bool(toxic) else 1
+        rows.append((toxic, [own], [T.UNIT], [[(own, -T.UNIT), (1 - own, T.UNIT)]]))
+    apart = [abs(w[0] - w[1]) for w in (T.train(rows, 2, replace(T.ToxicityPlan(), swap_penalty=p)) for p in (0.0, 10.0))]
+    assert apart[0] > 2 and apart[1] < 0.2
+
+
 LANGS = {"en": "the of and ing tion that", "de": "der und ung lich sch nicht", "fr": "les que eau eux ment oi", "es": "los que ciones mente ado ñas", "xx": "qaz wsx edc rfv tgb yhn"}
 
 
