@@ -207,7 +207,7 @@ def squeeze_document(text: Column, limit: int = 10_000) -> Column:
 def fenced(text: Column) -> Column:
     """What a model's answer holds within a code fence, else all of it."""
     inner = F.regexp_extract(text, r"(?s)```[A-Za-z]*\s*(.*?)```", 1)
-    return F.trim(F.when(inner == "", text).otherwise(inner))
+    return F.regexp_replace(F.when(inner == "", text).otherwise(inner), r"^\s+|\s+$", "")
 
 
 def braces(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,8 +135,6 @@ def with_ids(rows: DataFrame, order: str = "ord") -> DataFrame:
 
 def read_examples(spark: SparkSession, path: str, note_chars: int = 240) -> DataFrame:
     """Curated examples: YAML front matter and prose, which is collapsed and cut to a note."""
-    import pandas as pd
-
     schema = "polarity string, title string, company string, location string, seniority string, primary_stack array<string>, domains array<string>, employer_type string, note string"
 
     @F.pandas_udf(schema)
