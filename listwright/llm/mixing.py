@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import bucket_of, materialize, word_count
+from listwright.llm.common import materialize, word_count
 
 
 @dataclass(frozen=True)
@@ -58,10 +58,11 @@ def _queued(sized: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
     A source's order is cut into runs of about ``rows_per_bucket`` rows; a run is summed by itself and starts from
     what the runs before it hold, so a source with a third of all rows is spread like any other.
     """
-    key = F.xxhash64(F.lit(plan.seed), "lw_id")
+    digest = F.md5(F.concat(F.lit(f"{plan.seed}:"), F.coalesce(F.col("lw_id").cast("string"), F.lit(""))))
+    key = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")  # 60 bits
     rows = sized.join(targets, sized["lw_source"].eqNullSafe(targets["lw_source"])).drop(targets["lw_source"])
     rows = rows.withColumn("lw_key", key).withColumn(
-        "lw_run", bucket_of(F.col("lw_key"), F.ceil(F.col("lw_source_rows") / plan.rows_per_bucket))
+        "lw_run", F.floor(F.shiftright("lw_key", 36) * F.ceil(F.col("lw_source_rows") / plan.rows_per_bucket) / F.lit(1 << 24)).cast("long")
     )
     sums = rows.groupBy("lw_source", "lw_run").agg(F.sum("lw_size").alias("lw_run_size"))
     earlier = Window.partitionBy("lw_source").orderBy("lw_run").rowsBetween(Window.unboundedPreceding, -1)

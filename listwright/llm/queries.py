@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from listwright.llm.oracles import ORACLES  # noqa: F401  registered beside the queries
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -140,4 +142,3 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
