@@ -5,20 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_own_dirs: dict[str, str] = {}
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the folder that the cluster shares (``spark.checkpoint.dir``) and read back: the
-    lineage ends there, and a lost executor costs no more than the step at hand. Only a local session may leave the
-    folder unset."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are the driver itself, may leave it unset; it gets a folder of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='listwright-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/listwright-{uuid.uuid4().hex}/{label}"
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='listwright-')}"
+    return _own_dirs[context.applicationId]
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: the lineage ends there, a lost executor costs no
+    more than the step at hand, and the planner knows the table's true size, so it broadcasts it only where it is small."""
+    path = f"{shared_dir(df.sparkSession)}/listwright-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
