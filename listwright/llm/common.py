@@ -2,50 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import listwright
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# functions and classes of this package travel to the executors by value, so it need not be installed there
-cloudpickle.register_pickle_by_value(listwright)
+from listwright.plans.storage import written as materialize  # noqa: F401  the operators take it from here
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session, whose executors are the driver itself, may leave it unset.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='listwright-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors,
-    and gives the planner true sizes, so that it broadcasts such a table only where it is small."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/listwright-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: fewer rows a batch, so that long documents fit a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 64) -> None:
+    """Arrow batches of whole texts: fewer rows and bytes a batch, so that long documents fit a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
 class Shared:
