@@ -132,7 +132,10 @@ def keyword_hits(keywords: Sequence[str], corpus: Column) -> Column:
             spelling[k.lower()] = spelling.get(k.lower(), k)
     if not spelling:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(F.coalesce(corpus, F.lit("")).rlike(keyword_pattern(k)), F.lit(k)) for k in spelling.values()]))
+    # a plain search, which is fast, goes before the pattern, which settles what stands around the keyword
+    low = F.lower(corpus)
+    found = lambda k: F.contains(low, F.lit(k.lower())) & corpus.rlike(keyword_pattern(k))
+    return F.array_compact(F.array(*[F.when(found(k), F.lit(k)) for k in spelling.values()]))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

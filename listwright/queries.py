@@ -187,8 +187,13 @@ def dedupe_merges(spark, d):
     return groups.select("canonical", F.array_join(F.transform("merged", lambda x: x.cast("string")), ",").alias("merged"))
 
 
+def _stored(spark, d) -> DataFrame:
+    """Scored rows as a run leaves them: written once, then read by whatever asks for scores."""
+    return written(scored_listings(spark, d), "scored")
+
+
 def _classified(spark, d) -> DataFrame:
-    return rank.classify_drops(scored_listings(spark, d), RANKING, NOW)
+    return rank.classify_drops(_stored(spark, d), RANKING, NOW)
 
 
 @query(O.drops_sql(PROFILE, RANKING))
@@ -198,7 +203,7 @@ def drop_reasons(spark, d):
 
 @query(O.drop_counts_sql(PROFILE, RANKING))
 def drop_reason_counts(spark, d):
-    return longlist.drop_reason_facet(rank.dropped(written(_classified(spark, d), "classified"), RANKING.top_n))
+    return longlist.drop_reason_facet(rank.dropped(_classified(spark, d), RANKING.top_n))
 
 
 @query(O.shortlist_sql(PROFILE, RANKING))
@@ -208,25 +213,25 @@ def shortlist_topn(spark, d):
 
 @query(O.beyond_sql(PROFILE, RANKING))
 def beyond_top_n(spark, d):
-    rows = rank.beyond_top_n(written(_classified(spark, d), "classified"), RANKING.top_n)
+    rows = rank.beyond_top_n(_classified(spark, d), RANKING.top_n)
     return rows.select("seq", F.col("rank").cast("long").alias("rank"), "drop_reason", "drop_context")
 
 
 @query(O.strict_sql(PROFILE, RANKING))
 def strict_filter(spark, d):
-    return rank.strict_filter(scored_listings(spark, d), RANKING, NOW).select("seq", "score")
+    return rank.strict_filter(_stored(spark, d), RANKING, NOW).select("seq", "score")
 
 
 @query(O.blend_sql(PROFILE, RANKING))
 def verdict_blend(spark, d):
     verdicts = sample.read(spark, d, "labels").select(F.col("doc_id").alias("seq"), (F.col("quality") * 0.9 - F.col("toxic") * 0.3).alias("verdict_score"), F.when(F.col("toxic") == 1, "rude").otherwise("").alias("verdict_reason"))
-    rows = rank.blend(scored_listings(spark, d), verdicts, 0.4)
+    rows = rank.blend(_stored(spark, d), verdicts, 0.4)
     return rows.select("seq", _r6(F.col("score"), "score"), F.col("reasoning.notes").alias("notes"))
 
 
 # --- longlist -----------------------------------------------------------------------------------------------------
 def _longlist_rows(spark, d) -> DataFrame:
-    rows = scored_listings(spark, d)
+    rows = _stored(spark, d)
     return rows.select(F.col("seq").alias("listing_id"), "title", "company", "portal", "location", "posted_at", "score", F.col("reasoning.primary_stack_hits").alias("primary_stack_hits"), F.col("reasoning.secondary_stack_hits").alias("secondary_stack_hits"))
 
 

@@ -56,7 +56,9 @@ def gather(sources: list[DataFrame]) -> DataFrame:
 def enrich(listings: DataFrame, pages: DataFrame) -> DataFrame:
     """Text of the fetched page (url, html) put after the description; rows without a page stay as they are."""
     bodies = pages.where("html is not null").groupBy("url").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
-    body = F.nullif(T.strip_html(F.col("html")), F.lit(""))
+    # each page is stripped once, before listings that share it multiply it
+    bodies = bodies.select("url", F.nullif(T.strip_html(F.col("html")), F.lit("")).alias("body_"))
     joined = listings.join(bodies, "url", "left")
+    body = F.col("body_")
     merged = F.when(body.isNull(), F.col("description")).when(F.trim("description") == "", body).otherwise(F.concat_ws(" ", "description", body))
     return joined.withColumn("description", merged).select(*listings.columns)
