@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from listwright.llm.common import materialize
 from listwright.llm.decontaminate import drop_leaks
 from listwright.llm.mixing import mixed_documents
+from listwright.llm.near_copies import drop_near_copies
 from listwright.llm.quality import quality_filter
 from listwright.llm.sharding import balanced_shards
-from listwright.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
-    return drop_near_duplicates(docs)
+    """Of documents whose five-word shingles are similar at 0.8 or more, or linked by such, one stays."""
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
