@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Shared, small_batches
+from listwright.llm.common import Shared, materialize, small_batches
 
 UNDETERMINED = "und"
 DIMENSIONS = 2048
-#: Documents fitted over all languages, and at least per language.
+#: Documents fitted over all languages, and at least per language; with many languages the latter decides.
 SAMPLE = 6000
 SAMPLE_LEAST = 50
 # fixed values: families of languages by code; others form a family of their own
@@ -119,16 +119,15 @@ def _profiles(batches):
 
 
 def fit_languages(docs: DataFrame, text: str, lang: str, learn, order) -> LanguageModel:
-    """Fit on about ``SAMPLE`` documents, as many of each language, those that ``order`` hashes lowest."""
+    """Fit on every language: of each about ``SAMPLE`` divided by their number, ``SAMPLE_LEAST`` or more, or all it has,
+    those that ``order`` hashes lowest."""
     rows = docs.where(learn & F.col(lang).isNotNull()).select(F.col(lang).alias("lw_lang"), order.alias("lw_order"), F.col(text).alias("lw_text"))
     rows = rows.where(F.col("lw_text").rlike(r"\p{L}"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lw_lang").count().orderBy("lw_lang").limit(SAMPLE // SAMPLE_LEAST).collect()}
-    each = max(SAMPLE_LEAST, SAMPLE // max(1, len(sizes)))
-    chosen = F.lit(False)
-    for v, n in sizes.items():
-        chosen = chosen | ((F.col("lw_lang") == v) & (F.col("lw_order") < min(1.0, 1.0 * each / n)))
-    sample = rows.where(chosen).select("lw_lang", "lw_text").mapInArrow(_profiles, "lw_lang string, lw_profile binary")
-    found = sorted((r[0], bytes(r[1])) for r in sample.collect())  # bounded by the sample
+    sizes = materialize(rows.groupBy("lw_lang").count().withColumnRenamed("count", "lw_n"), "languages")
+    each = max(SAMPLE_LEAST, SAMPLE // max(1, sizes.count()))
+    chosen = F.col("lw_order") < F.least(F.lit(1.0), F.lit(1.0 * each) / F.col("lw_n"))
+    sample = rows.join(sizes, "lw_lang").where(chosen).select("lw_lang", "lw_text").mapInArrow(_profiles, "lw_lang string, lw_profile binary")
+    found = sorted((r[0], bytes(r[1])) for r in sample.collect())  # bounded by the sample: a fixed number a language
     x = np.frombuffer(b"".join(p for _, p in found), np.float32).reshape(len(found), DIMENSIONS)
     return LanguageModel(sorted({v for v, _ in found}), x.astype(np.float64), [v for v, _ in found])
 

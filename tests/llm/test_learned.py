@@ -88,6 +88,13 @@ def test_language(spark):
     assert L.identify_languages(df.limit(0)).count() == 0
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 100)
+    df = spark.createDataFrame(lang_rows(), "doc_id long, text string, lang string")
+    assert L.SAMPLE // L.SAMPLE_LEAST < len(LANGS)
+    assert {r["lw_lang"] for r in L.identify_languages(df).collect()} == set(LANGS)
+
+
 def test_family_machines():
     rows = lang_rows()
     import numpy as np
