@@ -428,4 +428,7 @@ SELECT host, seq, ok, failures, coalesce(max((failures >= 3)::INT) OVER (PARTITI
 ENRICH_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id % 400 AS page_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 80) END AS description FROM documents),
 b AS (SELECT page_id, nullif({collapse(_html)}, '') AS body FROM pages WHERE page_id % 9 > 0),
 m AS (SELECT id, CASE WHEN body IS NULL THEN description WHEN trim(description) = '' THEN body ELSE description || ' ' || body END AS t FROM d LEFT JOIN b USING (page_id)) SELECT id, length(t) AS chars, md5(t) AS digest FROM m"""
+ENRICH_WHOLE_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id % (SELECT greatest(1, count(*)) FROM pages) AS page_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS description FROM documents),
+b AS (SELECT page_id, nullif({collapse(_html)}, '') AS body FROM pages WHERE page_id % 9 > 0),
+m AS (SELECT id, CASE WHEN body IS NULL THEN description WHEN trim(description) = '' THEN body ELSE description || ' ' || body END AS t FROM d LEFT JOIN b USING (page_id)) SELECT id, length(t) AS chars, md5(t) AS digest FROM m"""
 CAP_SQL = "SELECT p_partkey, p_partkey % 2 <> 0 AND CASE p_partkey % 3 WHEN 0 THEN p_size > 0 WHEN 1 THEN p_size = 10 ELSE false END AS capped FROM part"

@@ -423,6 +423,17 @@ def lookup_enrich(spark, d):
     return out.select("id", F.length("description").cast("long").alias("chars"), F.md5("description").alias("digest"))
 
 
+@query(O.ENRICH_WHOLE_SQL)
+def lookup_enrich_whole(spark, d):
+    """As ``lookup_enrich``, with whole texts and every page."""
+    docs = sample.read(spark, d, "documents")
+    pages = sample.read(spark, d, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 9 > 0, F.col("html")).alias("html"))
+    key = F.col("doc_id") % F.lit(max(1, pages.count()))
+    rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), key.cast("string")).alias("url"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")).alias("description"))
+    out = enrich(rows, pages)
+    return out.select("id", F.length("description").cast("long").alias("chars"), F.md5("description").alias("digest"))
+
+
 @query(O.CAP_SQL)
 def cap_heuristic(spark, d):
     parts = sample.read(spark, d, "part")

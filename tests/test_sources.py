@@ -130,3 +130,13 @@ def test_overrides(spark):
     shown = spark.createDataFrame([("a", "Ann", "X", True, "failing"), ("b", "Bob", "Y", False, "working")], "id string, name string, display_name string, enabled boolean, health string")
     assert [providers.filter_providers(shown, s, t).count() for s, t in (("all", ""), ("on", ""), ("off", ""), ("failing", ""), ("all", "bo"))] == [2, 1, 1, 1, 1]
     assert tuple(providers.provider_counts(shown).first()) == (2, 1, 1, 1)
+
+
+def test_every_page_and_whole_texts_are_joined(spark, tmp_path):
+    from listwright.queries import QUERIES
+
+    n = 410
+    spark.createDataFrame([(i, f"{'word ' * 40}end{i}") for i in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"<p>page{i}</p>") for i in range(n)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["id"]: r["chars"] for r in QUERIES["lookup_enrich_whole"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(" ".join(([f"{'word ' * 40}end{i}"] if i % 3 else []) + ([f"page{i}"] if i % 9 else []))) for i in range(n)}
