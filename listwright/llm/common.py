@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,21 @@ def bucket_of(key: Column, buckets: Column) -> Column:
 def texts(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null becomes empty."""
     return [b"" if t is None else t for t in column.cast("binary").to_pylist()]
+
+
+def whole_groups(batches, least: int = 1):
+    """Tables of ``least`` rows or more from batches sorted by their first column, cut between its values only."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        cut = int(keys.searchsorted(keys[-1]))
+        if held and rows + cut >= least and (cut or held[-1].column(0)[-1].as_py() != keys[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows = [batch.slice(cut)], batch.num_rows - cut
+        else:
+            held.append(batch)
+            rows += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)

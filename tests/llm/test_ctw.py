@@ -1,13 +1,13 @@
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from listwright.llm import ctw as C
+from tests.llm.conftest import SCHEMA
 
 
 def kt(a, b):
@@ -42,107 +42,105 @@ class BruteTree:
         return self.stop * own + (1 - self.stop) * (child.p(context, bit) if child else 0.5)
 
 
-def occurrences(word):
-    padded = C._PAD + word + b" "
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def occurrences(text):
+    """(the bytes before, nearest first, byte) over the running text: words joined by one space, then the end."""
+    padded = b"\n" * C.DEPTH + " ".join(words_of(text)).encode() + b"\n"
     for at in range(C.DEPTH, len(padded)):
         yield bytes(padded[at - d] for d in range(1, C.DEPTH + 1)), padded[at]
 
 
-def brute_scores(counts):
-    seen = {}
-    for w, n in counts.items():
-        for context, byte in occurrences(w):
-            for k in range(8):
-                seen.setdefault((256 | byte) >> (8 - k), []).append((context, byte >> (7 - k) & 1, n))
-    trees = {p: BruteTree(own) for p, own in seen.items()}
-    out = {}
-    for w in counts:
-        out[w] = sum(math.log10(trees[(256 | byte) >> (8 - k)].p(context, byte >> (7 - k) & 1)) for context, byte in occurrences(w) for k in range(8))
-    return out
+def brute_trees(texts):
+    counts = Counter(x for t in texts for x in occurrences(t))
+    seen = defaultdict(list)
+    for (context, byte), n in counts.items():
+        for k in range(8):
+            seen[(256 | byte) >> (8 - k)].append((context, byte >> (7 - k) & 1, n))
+    return {p: BruteTree(own) for p, own in seen.items()}
 
 
-def local_scores(counts):
-    words = sorted(counts)
-    grams, starts = C.grams_of(words)
-    sizes = np.diff(np.concatenate((starts, [len(grams)])))
-    frame = pd.DataFrame({"lw_gram": grams, "lw_n": np.repeat([counts[w] for w in words], sizes)}).groupby("lw_gram", as_index=False).sum()
-    near = frame["lw_gram"].to_numpy() >> (8 * (C.DEPTH - 1))
-    roots = pd.concat([C._subtree_roots(g) for _, g in frame.groupby(near)]).groupby(["lw_c1", "lw_prefix"]).sum().reset_index()
-    crown = C.Crown([tuple(r) for r in roots.astype({"lw_c1": int, "lw_prefix": int}).itertuples(index=False)])
-    found = pd.concat([C._byte_scores(crown)(g) for _, g in frame.groupby(near)]).set_index("lw_gram")["lw_score"]
-    return dict(zip(words, np.add.reduceat(found.loc[grams].to_numpy(), starts)))
+def brute_score(trees, text, memo):
+    total = 0.0
+    for context, byte in occurrences(text):
+        if (context, byte) not in memo:
+            nodes = [(trees.get((256 | byte) >> (8 - k)), byte >> (7 - k) & 1) for k in range(8)]
+            memo[context, byte] = sum(math.log10(tree.p(context, bit) if tree else 0.5) for tree, bit in nodes)
+        total += memo[context, byte]
+    return total
 
 
 def test_log_kt():
-    x, y = np.array([0.0, 1, 7, 1e6, 3]), np.array([0.0, 0, 2, 5, 1e8])
-    assert np.allclose(C.log_kt(x, y), [kt(a, b) for a, b in zip(x, y)], rtol=1e-10, atol=1e-7)
+    x, y = np.array([0, 1, 7, 10**6, 3, 70_000]), np.array([0, 0, 2, 5, 10**8, 70_000])
+    assert np.allclose(C.log_kt(x, x + y), [kt(a, b) for a, b in zip(x, y)], rtol=1e-10, atol=1e-6)
 
 
-def test_scores_match_the_recursion():
-    counts = {b"the": 30, b"then": 4, b"thin": 2, b"a": 9, b"\xc3\xa9t\xc3\xa9": 1, C.END: 12, b"unseen": 0, b"thorough": 0, b"abcdefghij": 3}
-    got, want = local_scores(counts), brute_scores(counts)
-    for w in counts:
-        assert got[w] == pytest.approx(want[w], rel=1e-9)
+def test_grams_run_across_words_and_windows(monkeypatch):
+    texts = ["ab cd", "", "x " * 40, "é"]
+    bodies = [C.running_text(t.encode()) for t in texts]
+    want = [(i, int.from_bytes(context + bytes([byte]), "big")) for i, t in enumerate(texts) for context, byte in occurrences(t)]
+    for window in (1 << 22, 16, 7):
+        monkeypatch.setattr(C, "WINDOW", window)
+        got = [(int(o), int(k)) for keys, of in C.grams_of(bodies) for o, k in zip(of, keys)]
+        assert got == want
 
 
 def test_next_bytes_sum_to_one():
-    counts = {b"ab": 5, b"ac": 2, b"b": 1}
-    # all 256 continuations of "a", with no count, leave the tree as it is
-    total = {}
-    frame = dict(counts)
-    for byte in range(256):
-        frame.setdefault(b"a" + bytes([byte]), 0)
-    scores = brute_scores(frame)
-    first = {}
-    for byte in range(256):
-        word = b"a" + bytes([byte])
-        context, own = list(occurrences(word))[1]
-        first[byte] = (word, own)
-    seen = {}
-    for w, n in counts.items():
-        for context, byte in occurrences(w):
-            for k in range(8):
-                seen.setdefault((256 | byte) >> (8 - k), []).append((context, byte >> (7 - k) & 1, n))
-    trees = {p: BruteTree(own) for p, own in seen.items()}
-    context = list(occurrences(b"ab"))[1][0]
+    trees = brute_trees(["ab ac ab", "b ab", "ac"])
+    context = b"a" + b"\n" * (C.DEPTH - 1)
+    total = 0.0
     for byte in range(256):
         p = 1.0
         for k in range(8):
             tree = trees.get((256 | byte) >> (8 - k))
             p *= tree.p(context, byte >> (7 - k) & 1) if tree else 0.5
-        total[byte] = p
-    assert sum(total.values()) == pytest.approx(1.0)
-    assert set(scores) == set(frame)
+        total += p
+    assert total == pytest.approx(1.0)
 
 
-def test_texts(docs, corpus, nothing, clashing):
-    counts, every, n_train = Counter(), set(), 0
-    split = {}
+@pytest.fixture(scope="module")
+def expected(corpus):
+    counts, train = Counter(), []
+    for i, text, *_ in corpus:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*words_of(text), "\n"])
+            train.append(text)
+    trees, memo, n, v = brute_trees(train), {}, sum(counts.values()), len(counts)
+    rows = []
     for i, text, *_ in corpus:
-        words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))] + [C.END]
+        words = [*words_of(text), "\n"]
+        base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words)
         held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-        split.setdefault((i, len(words)), (held, words))
-        every |= set(words)
-        if not held:
-            counts.update(words)
-    n, v = sum(counts.values()), len(counts)
-    scores = brute_scores({w: counts[w] for w in every})
-    rows = C.score_texts(docs).collect()
-    assert len(rows) == len(corpus)
-    for r in rows:
-        held, words = split[r["doc_id"], r["lw_tokens"]]
-        assert r["lw_held"] == held and r["lw_train_tokens"] == n
-        assert r["lw_known"] == sum(counts[w] > 0 for w in words)
-        assert r["lw_base"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
-        assert r["lw_score"] == pytest.approx(sum(scores[w] for w in words), rel=1e-7)
-        assert r["lw_bits_per_byte"] > 0
-    assert n_train == 0 and C.score_texts(nothing).count() == 0
-    assert C.score_texts(clashing).count() == len(corpus)
-
-
-def test_blocks_and_lookups_do_not_matter(docs, monkeypatch):
-    want = sorted((str(r["doc_id"]), r["lw_tokens"], round(r["lw_score"], 6), round(r["lw_base"], 6)) for r in C.score_texts(docs).collect())
-    monkeypatch.setattr(C, "BLOCK_ROWS", 700)
-    monkeypatch.setattr(C, "HOT_TOKENS", 10)
-    got = sorted((str(r["doc_id"]), r["lw_tokens"], round(r["lw_score"], 6), round(r["lw_base"], 6)) for r in C.score_texts(docs).collect())
-    assert got == want
+        rows.append((str(i), held, len(words), sum(counts[w] > 0 for w in words), n, base, brute_score(trees, text, memo)))
+    return sorted(rows)
+
+
+def rows_of(df):
+    return sorted((str(r["doc_id"]), r["lw_held"], r["lw_tokens"], r["lw_known"], r["lw_train_tokens"], r["lw_base"], r["lw_score"]) for r in df.collect())
+
+
+def same(got, want):
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    for k in (5, 6):
+        assert [r[k] for r in got] == pytest.approx([r[k] for r in want], rel=1e-7)
+
+
+def test_texts(docs, corpus, nothing, clashing, expected):
+    same(rows_of(C.score_texts(docs)), expected)
+    assert all(r["lw_bits_per_byte"] > 0 for r in C.score_texts(clashing).collect())
+    assert C.score_texts(nothing).count() == 0
+
+
+def test_windows_and_tables_do_not_matter(docs, monkeypatch, expected):
+    for name, value in (("WINDOW", 1000), ("HOT_TOKENS", 10), ("HOT_GRAMS", 64), ("_FLUSH_GRAMS", 5000), ("_ROWS", 50)):
+        monkeypatch.setattr(C, name, value)
+    same(rows_of(C.score_texts(docs)), expected)
+
+
+def test_order_of_words_matters(spark, corpus):
+    text = next(t for _, t, *_ in corpus if t and len(t.split()) > 80)
+    rows = [(i, text, "en", "a", 0) for i in range(20)] + [(50, text, "en", "a", 0), (51, " ".join(sorted(text.split())), "en", "a", 0)]
+    by = {r["doc_id"]: r for r in C.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert by[50]["lw_base"] == pytest.approx(by[51]["lw_base"]) and by[50]["lw_score"] > by[51]["lw_score"] + 10
