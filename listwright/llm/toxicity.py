@@ -31,7 +31,8 @@ IDENTITY_TERMS = {
 @dataclass(frozen=True)
 class ToxicityPlan:
     """``positives`` and ``negatives`` bound the labelled documents that are fitted; ``features`` the model's size;
-    ``min_z``: how clearly a feature must go with the label; ``swap_penalty`` weighs the counterfactual term."""
+    ``min_z``: how clearly a feature must go with either label; ``swap_penalty`` weighs the counterfactual term. Training
+    ends when the gradient is ``tolerance`` times what it was at first, after ``rounds`` Newton steps at most."""
 
     positives: int = 6000
     negatives: int = 10000
@@ -39,9 +40,9 @@ class ToxicityPlan:
     min_z: float = 4.0
     min_documents: int = 5
     swap_penalty: float = 10.0
-    l2: float = 1e-4
-    rounds: int = 1500
-    rate: float = 2.0
+    l2: float = 1e-3
+    rounds: int = 100
+    tolerance: float = 1e-5
     identity: dict = field(default_factory=lambda: IDENTITY_TERMS)
 
 
@@ -164,32 +165,93 @@ def _rows_of(chosen: dict, identity: dict):
     return extract
 
 
+class Loss:
+    """Log loss, both labels weighing the same, plus ``swap_penalty`` times the mean squared change of score under
+    swaps and a ridge on all weights but the bias, which is the last. It is strictly convex but for the bias."""
+
+    def __init__(self, rows: list[tuple], size: int, plan: ToxicityPlan):
+        self.size, self.rows, self.plan = size, len(rows), plan
+        self.y = np.array([r[0] for r in rows], float)
+        self.of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        self.f = np.array([x for r in rows for x in r[1]], np.int64)
+        self.v = np.array([x for r in rows for x in r[2]], float) / UNIT
+        changes = [c for r in rows for c in r[3]]
+        self.changes = len(changes)
+        self.c_of = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
+        self.c_f = np.array([x[0] for c in changes for x in c], np.int64)
+        self.c_v = np.array([x[1] for c in changes for x in c], float) / UNIT
+        self.share = np.where(self.y == 1, 0.5 / max(1, (self.y == 1).sum()), 0.5 / max(1, (self.y == 0).sum()))
+        self.ridge = np.append(np.full(size, plan.l2), 1e-9)
+
+    def scores(self, w):
+        return np.bincount(self.of, w[self.f] * self.v, self.rows) + w[-1]
+
+    def back(self, r):
+        out = np.bincount(self.f, r[self.of] * self.v, self.size + 1)
+        out[-1] = r.sum()
+        return out
+
+    def swapped(self, w):
+        """The penalty's gradient, linear in w."""
+        if not self.changes:
+            return 0.0
+        moved = np.bincount(self.c_of, w[self.c_f] * self.c_v, self.changes)
+        return 2 * self.plan.swap_penalty / self.changes * np.bincount(self.c_f, moved[self.c_of] * self.c_v, self.size + 1)
+
+    def value(self, w):
+        z = self.scores(w)
+        return self.share @ (np.logaddexp(0, z) - self.y * z) + 0.5 * (w @ (self.ridge * w) + np.sum(w * self.swapped(w)))
+
+    def gradient(self, w):
+        p = 1 / (1 + np.exp(-np.clip(self.scores(w), -500, 500)))
+        return self.back(self.share * (p - self.y)) + self.ridge * w + self.swapped(w), self.share * p * (1 - p)
+
+    def curved(self, d, curvature):
+        return self.back(curvature * self.scores(d)) + self.ridge * d + self.swapped(d)
+
+    def diagonal(self, curvature):
+        out = np.bincount(self.f, curvature[self.of] * self.v * self.v, self.size + 1) + self.ridge
+        out[-1] += curvature.sum()
+        if self.changes:
+            out += 2 * self.plan.swap_penalty / self.changes * np.bincount(self.c_f, self.c_v * self.c_v, self.size + 1)
+        return out
+
+
+def _newton_step(loss: Loss, gradient, curvature, enough: float):
+    """Solve for the step by conjugate gradients, scaled by the diagonal, until the rest is below ``enough``."""
+    scale = loss.diagonal(curvature)
+    step, rest = np.zeros_like(gradient), -gradient
+    scaled = rest / scale
+    way, product = scaled, rest @ scaled
+    for _ in range(10 * len(gradient)):
+        if math.sqrt(rest @ rest) <= enough:
+            break
+        bent = loss.curved(way, curvature)
+        far = product / (way @ bent)
+        step, rest = step + far * way, rest - far * bent
+        scaled = rest / scale
+        product, before = rest @ scaled, product
+        way = scaled + product / before * way
+    return step
+
+
 def train(rows: list[tuple], size: int, plan: ToxicityPlan) -> np.ndarray:
-    """Weights, the bias last, from rows (label, features, values, changes): log loss, both labels weighing the same,
-    plus ``swap_penalty`` times the mean squared change of score under swaps."""
-    y = np.array([r[0] for r in rows], float)
-    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    f = np.array([x for r in rows for x in r[1]], np.int64)
-    v = np.array([x for r in rows for x in r[2]], float) / UNIT
-    changes = [c for r in rows for c in r[3]]
-    c_of = np.repeat(np.arange(len(changes)), [len(c) for c in changes])
-    c_f = np.array([x[0] for c in changes for x in c], np.int64)
-    c_v = np.array([x[1] for c in changes for x in c], float) / UNIT
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    """Weights, the bias last, from rows (label, features, values, changes): the least ``Loss``, by Newton steps that
+    are halved until they descend."""
+    loss = Loss(rows, size, plan)
     w = np.zeros(size + 1)
-    speed = np.zeros_like(w)
+    gradient, curvature = loss.gradient(w)
+    first = norm = math.sqrt(gradient @ gradient)
     for _ in range(plan.rounds):
-        error = balance * (1 / (1 + np.exp(-np.clip(np.bincount(of, w[f] * v, len(rows)) + w[-1], -30, 30))) - y)
-        grad = np.bincount(f, error[of] * v, size + 1)
-        grad[-1] = error.sum()
-        grad[:-1] += plan.l2 * w[:-1]
-        if changes:
-            moved = np.bincount(c_of, w[c_f] * c_v, len(changes))
-            grad += plan.swap_penalty * np.bincount(c_f, 2 * moved[c_of] * c_v, size + 1) / len(changes)
-        # heavy penalties make steep directions; a bounded step stays stable there
-        grad /= max(1.0, math.sqrt(float(grad @ grad)))
-        speed = 0.9 * speed - plan.rate * 0.1 * grad
-        w += speed
+        if norm <= plan.tolerance * first:
+            break
+        step = _newton_step(loss, gradient, curvature, min(0.1, math.sqrt(norm / first)) * norm)
+        now, slope, far = loss.value(w), gradient @ step, 1.0
+        while far > 1e-9 and loss.value(w + far * step) > now + 1e-4 * far * slope + 1e-15:
+            far /= 2
+        w = w + far * step
+        gradient, curvature = loss.gradient(w)
+        norm = math.sqrt(gradient @ gradient)
     return w
 
 
@@ -198,7 +260,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
 
     Labels count only for ids whose crc32 as text hasn't the held remainder; null labels and null ids are ignored, of
     several labels of a document the highest counts. Null and empty texts have the score of no feature. Without
-    labelled documents every score is 0.5. Rows that repeat are scored each; an empty table gives an empty table.
+    labelled documents every score is 0.5. Rows that repeat are scored each; other columns are left aside; an empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -213,7 +276,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text
     z = (mean(1, n1) - mean(0, n0)) / F.sqrt(F.greatest(spread(0, n0) + spread(1, n1), F.lit(0.0)) + 1e-6)
     identity = sorted({zlib.crc32(w.encode()) for own in plan.identity.values() for w in own})
     seen = counts.where((F.col("f") >= 0) & (F.col("n") >= plan.min_documents)).withColumn("z", z)
-    best = [r[0] for r in seen.where(F.col("z") >= plan.min_z).orderBy(F.desc("z"), "f").limit(plan.features).select("f").collect()]
+    clear = seen.where(F.abs("z") >= plan.min_z)
+    best = [r[0] for r in clear.orderBy(F.desc(F.abs("z")), "f").limit(plan.features).select("f").collect()]
     named = [r[0] for r in counts.where(F.col("f").isin(identity)).orderBy("f").select("f").collect()]
     chosen = {f: i for i, f in enumerate(dict.fromkeys([*best, *named]))}
     schema = "y int, f array<int>, v array<int>, swaps array<array<struct<f:int,v:int>>>"

@@ -1,5 +1,6 @@
 """Toxicity and language: held-out accuracy, what is learnt from, and odd rows."""
 
+import math
 import random
 import zlib
 from dataclasses import replace
@@ -29,7 +30,7 @@ def toxic_rows():
 
 def test_toxicity(spark):
     docs, labels = toxic_rows()
-    extra = [(1000, "the women of the and"), (1001, ""), (1002, None), (None, "vile vile vile"), (1003, "muslims"), (1003, "muslims"), (1004, "asian women"), (1005, "asian men")]
+    extra = [(1000, "the women of the and"), (1001, ""), (1002, None), (None, "vile vile vile"), (1003, "muslims"), (1003, "muslims"), (1004, "asian women"), (1005, "asian men"), (1006, "vile of " * 50_000)]
     df = spark.createDataFrame([*docs, *extra], "doc_id long, text string").withColumn("score", F.lit(7)).withColumn("y", F.lit(1))
     lab = spark.createDataFrame([*labels, (5000, 1, 1), (None, 1, 1), (1, 1, None), (5, 0, 1), (5, 0, 1)], "doc_id long, quality int, toxic int")
     rows = T.toxicity_scores(df, lab).collect()
@@ -41,6 +42,7 @@ def test_toxicity(spark):
     right = sum((by[i]["lw_score"] >= 0.7) == bool(truth[i]) for i in held)
     assert right / len(held) > 0.95
     assert by[1000]["lw_score"] < 0.5 and by[1001]["lw_score"] == by[1002]["lw_score"]
+    assert 0 < by[1006]["lw_score"] < 1
     assert abs(by[1004]["lw_score"] - by[1005]["lw_score"]) < 0.05
     empty = df.limit(0)
     assert T.toxicity_scores(empty, lab).count() == 0
@@ -58,6 +60,51 @@ def test_swaps_pull_group_names_together():
     assert apart[0] > 2 and apart[1] < 0.2
 
 
+def random_rows(rng, n, size):
+    rows = []
+    for _ in range(n):
+        own = sorted(rng.sample(range(size), 3))
+        toxic = int(rng.random() < (0.8 if 0 in own else 0.3))
+        swaps = [[(1, T.UNIT), (2, -T.UNIT)]] if 2 in own else []
+        rows.append((toxic, own, [rng.randint(500, 2500) for _ in own], swaps))
+    return rows
+
+
+def test_training_ends_at_the_least_loss():
+    rng = random.Random(23)
+    rows, plan = random_rows(rng, 300, 6), T.ToxicityPlan(tolerance=1e-9)
+    w = T.train(rows, 6, plan)
+    loss = T.Loss(rows, 6, plan)
+
+    def brute(w):
+        total, counts = 0.0, [sum(r[0] == k for r in rows) for k in (0, 1)]
+        for y, f, v, _ in rows:
+            z = w[-1] + sum(w[a] * b / T.UNIT for a, b in zip(f, v))
+            total += 0.5 / counts[y] * math.log1p(math.exp(-z if y else z))
+        changes = [c for r in rows for c in r[3]]
+        total += plan.swap_penalty * sum(sum(w[a] * b / T.UNIT for a, b in c) ** 2 for c in changes) / len(changes)
+        return total + 0.5 * plan.l2 * sum(x * x for x in w[:-1])
+
+    assert abs(brute(w) - loss.value(w)) < 1e-6
+    assert max(abs(loss.gradient(w)[0])) < 1e-8
+    for k in range(7):
+        for by in (-1e-3, 1e-3):
+            other = w.copy()
+            other[k] += by
+            assert brute(other) > brute(w)
+
+
+def test_group_names_that_go_with_the_label_lose_their_weight(spark):
+    docs, labels = toxic_rows()
+    asked = [(9000 + i, f"{name} of the and", ) for i, name in enumerate(["women", "men", "muslims", "jews"])]
+    df, lab = spark.createDataFrame([*docs, *asked], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    gaps = []
+    for penalty in (0.0, T.ToxicityPlan().swap_penalty):
+        by = {r["doc_id"]: math.log(r["lw_score"] / (1 - r["lw_score"])) for r in T.toxicity_scores(df, lab, plan=T.ToxicityPlan(swap_penalty=penalty)).where("doc_id >= 9000").collect()}
+        gaps.append(max(abs(by[9000] - by[9001]), abs(by[9002] - by[9003])))
+    assert gaps[0] > 1 and gaps[1] < 0.05
+
+
 LANGS = {"en": "the of and ing tion that", "de": "der und ung lich sch nicht", "fr": "les que eau eux ment oi", "es": "los que ciones mente ado ñas", "xx": "qaz wsx edc rfv tgb yhn"}
 
 
