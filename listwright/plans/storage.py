@@ -31,4 +31,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     more than the step at hand, and the planner knows the table's true size, so it broadcasts it only where it is small."""
     path = f"{shared_dir(df.sparkSession)}/listwright-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more, as their successors are written themselves."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
