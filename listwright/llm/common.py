@@ -7,7 +7,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.plans.storage import written as materialize  # noqa: F401  the operators take it from here
+from listwright.plans.storage import discard  # noqa: F401  the operators take it from here
+from listwright.plans.storage import written as materialize  # noqa: F401
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +22,11 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 64) ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 class Shared:
     """A value broadcast in pickled form; each task unpickles it at first use."""
 

@@ -1,32 +1,39 @@
-"""Near copies by the Jaccard similarity of their word shingles, exact and without comparing all pairs.
-
-Shingles are put in one order over the corpus, frequent ones last. Two sets as similar as ``SIMILAR`` then share one of
-the first few of each (prefix filtering), so only texts that share such a key are candidates. Of these, pairs whose
-sizes or parity sketches prove them apart are dropped; all others are verified on the shingles themselves. A large
-group of a key is searched from a few pivots at a time, in rounds: members that a round has linked aren't compared with
-each other again.
+"""Near copies: SimHash signatures find most of them, an exact completion the rest, shingles decide.
+
+SimHash distance and similarity go together only loosely: at a Jaccard similarity of 0.8 fingerprints differ in 15 % of
+their bits on average, so signatures of any width that is affordable miss a part of such pairs. Signatures with one
+wildcard bit a segment (see ``simhash``) therefore come first and link what is close. What they can't reach is
+completed by prefix filtering: shingles are put in one order over the corpus, frequent ones last, and two sets as
+similar as ``SIMILAR`` share one of the first few of each. Either way wide fingerprints, then the shingles themselves
+verify a pair. A large group of a key is searched from a few pivots at a time, in rounds: members that a round has
+linked aren't compared with each other again.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Shared, materialize, small_batches, texts
-from listwright.llm.simhash import components
+from listwright.llm.common import Shared, discard, materialize, own_columns, small_batches, texts, whole_groups
+from listwright.llm.simhash import bit_counts, components, rows_kept, wildcard_masks
 
 SHINGLE_WORDS = 5
 #: The least similarity of a near copy, as a fraction.
 SIMILAR = (4, 5)
-SKETCH_BITS = 256
+#: Multipliers that make a hash a lane of 64 bits of the wide fingerprint each.
+LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Documents that tell which shingles are frequent, and how many of these are put last; the order changes the cost only.
 ORDER_SAMPLE, ORDER_FREQUENT, ORDER_LEAST = 4000, 1 << 17, 3
-#: The first round takes one pivot a group. Then groups up to this size are compared at once, larger ones from that many
-#: pivots, four times as many each round.
+#: The first round of either search takes one pivot a group. Then groups up to this size are compared at once, larger
+#: ones from that many pivots, four times as many each round.
 SMALL_GROUP, PIVOTS = 32, 8
+#: Partners of a text that one task verifies.
+PARTNERS = 256
 
 
 def shingles(text: bytes, words: int = SHINGLE_WORDS) -> set[bytes]:
@@ -59,17 +66,45 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nd
     return hashes[: n + 1 - -(-SIMILAR[0] * n // SIMILAR[1])] if n else hashes
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """Parity of the shingles in each of ``SKETCH_BITS`` classes; sketches differ in no more bits than sets in shingles."""
-    bits = ((hashes >> np.uint64(17)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    return np.packbits((np.bincount(bits, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+def wide_print(hashes: np.ndarray) -> bytes:
+    """SimHash of the shingles' hashes, 64 bits a lane."""
+    lanes = []
+    for by in LANES:
+        x = hashes * np.uint64(by)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        lanes.append(np.packbits(2 * bit_counts(x.astype(">u8")) > len(x)).tobytes())
+    return b"".join(lanes)
+
+
+def most_bits(size_a, size_b):
+    """Beyond so many differing bits a pair is apart. Sets at similarity ``SIMILAR`` differ in a bit with chance
+    angle / pi; the limit is six standard deviations above the mean, which one such pair in 10^9 exceeds."""
+    num, den = SIMILAR
+    least, most = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
+    both = num * (size_a + size_b) / (num + den)
+    chance = np.arccos(np.minimum(1.0, both / np.sqrt(np.maximum(1, least * most)))) / math.pi
+    bits = 64 * len(LANES)
+    return bits * chance + 6 * np.sqrt(bits * chance * (1 - chance)) + 6
 
 
 def _maybe(size_a, sketch_a, size_b, sketch_b):
-    """False only where sizes or sketches prove the similarity too small."""
+    """False where sizes or wide fingerprints show the similarity too small."""
     num, den = SIMILAR
     apart = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
-    return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (apart * (num + den) <= (den - num) * (size_a + size_b))
+    return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (apart <= most_bits(size_a, size_b))
+
+
+_MASKS = np.array(wildcard_masks(), np.int64).view(np.uint64)
+
+
+def signatures(wide: bytes) -> np.ndarray:
+    """One key for each bit of the first lane as a wildcard of its segment."""
+    x = (_MASKS & np.uint64(int.from_bytes(wide[:8], "big"))) + np.arange(64, dtype=np.uint64) * np.uint64(LANES[0])
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(LANES[1])
+    return x ^ (x >> np.uint64(29))
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -95,23 +130,9 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.concatenate((starts, [len(keys)])))
 
 
-def _by_group(batches):
-    """Batches sorted by their first column, cut between its values."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if rest is None else [*rest, batch])
-        keys = table.column(0).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        if cut:
-            yield table.slice(0, cut)
-        rest = table.slice(cut).to_batches()
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
 def _shared(batches):
     """Keys that more than one text has."""
-    for table in _by_group(batches):
+    for table in whole_groups(batches, 20_000):
         starts, sizes = _runs(table.column(0).to_numpy())
         yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
 
@@ -120,9 +141,9 @@ def _candidates(turn: int):
     """Rows (a, b) of pairs to verify, and rows (lw_key, lw_node) of what later turns have to look at."""
 
     def pairs(batches):
-        for table in _by_group(batches):
+        for table in whole_groups(batches, 20_000):
             keys, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_key", "lw_node", "lw_root", "lw_size"))
-            marks = np.frombuffer(b"".join(table.column("lw_sketch").to_pylist()), np.uint64).reshape(len(keys), -1)
+            marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(keys), -1)
             starts, sizes = _runs(keys)
             two = starts[sizes == 2]
             near = two[(roots[two] != roots[two + 1]) & _maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
@@ -145,56 +166,77 @@ def _candidates(turn: int):
 
 
 def _verified(batches):
+    """Rows (lw_deal, b, lw_body) sorted by their deal, the text of ``a`` first in it (with ``b`` null): similar pairs."""
     last, sets = None, None
     for batch in batches:
         keep = []
-        for x, ta, tb in zip(batch.column("a").to_pylist(), texts(batch.column("lw_ta")), texts(batch.column("lw_tb"))):
-            if x != last:
-                last, sets = x, shingles(ta)
-            keep.append(similar(sets, shingles(tb)))
+        for deal, b, body in zip(batch.column("lw_deal").to_pylist(), batch.column("b").to_pylist(), texts(batch.column("lw_body"))):
+            if deal != last:
+                last, sets = deal, shingles(body)
+            keep.append(b is not None and similar(sets, shingles(body)))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, root) over all pairs of ``nodes`` that are similar and share a key; ``docs`` has their texts."""
-    spark = docs.sparkSession
-    links, roots, left, turn = None, None, shared, 0
-    while True:
-        known = nodes.select("lw_node", "lw_size", "lw_sketch", "lw_text_hash")
-        rows = left.join(known.drop("lw_text_hash"), "lw_node")
-        if roots is not None:
-            rows = rows.join(roots.select(F.col("node").alias("lw_node"), F.col("root").alias("lw_root")), "lw_node", "left")
-        else:
-            rows = rows.withColumn("lw_root", F.lit(None).cast("bigint"))
-        rows = rows.select("lw_key", "lw_node", F.coalesce("lw_root", "lw_node").alias("lw_root"), "lw_size", "lw_sketch")
-        dealt = rows.repartition("lw_key").sortWithinPartitions("lw_key", "lw_node")
-        found = materialize(dealt.mapInArrow(_candidates(turn), "lw_pair boolean, a bigint, b bigint"), f"turn{turn}")
-        pairs = materialize(found.where("lw_pair").select("a", "b").distinct(), f"pairs{turn}")
-        own = pairs.select(F.explode(F.array("a", "b")).alias("lw_node")).distinct().join(known.select("lw_node", "lw_text_hash"), "lw_node")
-        bodies = docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(own, "lw_text_hash").dropDuplicates(["lw_node"])
-        bodies = materialize(bodies.select("lw_node", "lw_body"), f"bodies{turn}")
-        both = pairs.join(bodies.select(F.col("lw_node").alias("b"), F.col("lw_body").alias("lw_tb")), "b")
-        both = both.join(bodies.select(F.col("lw_node").alias("a"), F.col("lw_body").alias("lw_ta")), "a")
-        small_batches(spark)
-        new = both.select("a", "b", "lw_ta", "lw_tb").mapInArrow(_verified, "a bigint, b bigint")
-        links = materialize(new if links is None else links.unionByName(new), f"links{turn}")
-        roots = materialize(components(links), f"roots{turn}")
-        left = found.where("not lw_pair").select(F.col("a").alias("lw_key"), F.col("b").alias("lw_node"))
-        if left.isEmpty():
-            return roots
+def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that are similar. A text with many partners is dealt to several tasks with some
+    of them each; a pair takes one text along, not two."""
+    small_batches(docs.sparkSession)
+    counts = pairs.groupBy("a").agg(F.floor(F.count("*") / PARTNERS).alias("lw_more"))
+    part = F.pmod(F.xxhash64("b"), F.col("lw_more") + 1)
+    dealt = materialize(pairs.join(counts, "a").select("a", "b", F.xxhash64("a", part).alias("lw_deal")), "dealt")
+    wanted = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "lw_deal").distinct().unionByName(dealt)
+    wanted = wanted.withColumn("lw_node", F.coalesce("b", "a"))
+    hashes = nodes.select("lw_node", "lw_text_hash").join(wanted.select("lw_node").distinct(), "lw_node", "left_semi")
+    bodies = docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(hashes, "lw_text_hash").dropDuplicates(["lw_node"])
+    rows = wanted.join(bodies.select("lw_node", "lw_body"), "lw_node").select("lw_deal", "a", "b", "lw_body")
+    found = rows.repartition("lw_deal").sortWithinPartitions("lw_deal", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
+    found = materialize(found, "similar")
+    discard(dealt)
+    return found
+
+
+def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, links, roots, turn: int):
+    """One round over the groups of ``postings`` (lw_key, lw_node): (links, roots) so far and what later rounds have to
+    look at."""
+    rows = postings.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node")
+    if roots is None:
+        rows = rows.withColumn("lw_root", F.col("lw_node"))
+    else:
+        rows = rows.join(roots.select(F.col("node").alias("lw_node"), "root"), "lw_node", "left").withColumn("lw_root", F.coalesce("root", "lw_node"))
+    dealt = rows.select("lw_key", "lw_node", "lw_root", "lw_size", "lw_wide").repartition("lw_key").sortWithinPartitions("lw_key", "lw_node")
+    found = materialize(dealt.mapInArrow(_candidates(turn), "lw_pair boolean, a bigint, b bigint"), "turn")
+    pairs = materialize(found.where("lw_pair").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    left = materialize(found.where("not lw_pair").select(F.col("a").alias("lw_key"), F.col("b").alias("lw_node")), "left")
+    new = _verify(docs, nodes, pairs)
+    both = new if links is None else materialize(links.unionByName(new), "links")
+    now = materialize(components(both), "roots")
+    discard(postings, found, pairs, *([] if links is None else [links, new, roots]))
+    return both, now, left
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, signed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, root) over all pairs of ``nodes`` that are similar and share a key; ``docs`` has their texts. One round
+    over the ``signed`` keys, then rounds over the ``shared`` ones until no group is left."""
+    links, roots, left = _round(docs, nodes, signed, None, None, 0)
+    discard(left)
+    turn, left = 0, shared
+    while turn == 0 or not left.isEmpty():
+        links, roots, left = _round(docs, nodes, left, links, roots, turn)
         turn += 1
+    return roots
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, the one with the smallest id (of equal ids, the least text hash), with its own columns.
 
-    Classes are the components of all pairs at similarity ``SIMILAR`` or more. Texts without words are copies of each
-    other; null ids never stay where a class has another.
+    Classes are the components of all pairs at similarity ``SIMILAR`` or more. Texts without words, null ones among
+    them, are copies of each other; null ids never stay where a class has another; repeated rows are copies. Rows are
+    carried whole, so their columns may have any names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.columns
-    hashes = docs.select(F.col(id).alias("lw_id"), F.xxhash64(text).alias("lw_text_hash"), F.col(text).alias("lw_body"))
+    rows = docs.select(F.col(id).alias("lw_id"), F.col(text).alias("lw_body"), F.struct(*own_columns(docs)).alias("lw_own"))
+    hashes = rows.select("lw_id", F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body")
     order = Shared(spark, _frequent(hashes))
     kind = docs.schema[id].dataType.simpleString()
 
@@ -202,22 +244,24 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             sets = [hashed(t) for t in texts(batch.column("lw_body"))]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
-            keys = [prefix(h, *order.value).view(np.int64) for h in sets]
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-            cols = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array([sketch(h) for h in sets], pa.binary())]
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_text_hash"), *cols, lists], names=["lw_id", "lw_text_hash", "lw_node", "lw_size", "lw_sketch", "lw_keys"])
-
-    schema = f"lw_id {kind}, lw_text_hash bigint, lw_node bigint, lw_size bigint, lw_sketch binary, lw_keys array<bigint>"
+            wide = [wide_print(h) for h in sets]
+            cols = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(wide, pa.binary())]
+            for keys in ([signatures(w).view(np.int64) for w in wide], [prefix(h, *order.value).view(np.int64) for h in sets]):
+                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))))
+            yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_text_hash"), *cols], names=["lw_id", "lw_text_hash", "lw_node", "lw_size", "lw_wide", "lw_signed", "lw_keys"])
+
+    schema = f"lw_id {kind}, lw_text_hash bigint, lw_node bigint, lw_size bigint, lw_wide binary, lw_signed array<bigint>, lw_keys array<bigint>"
     prints = materialize(hashes.mapInArrow(keyed, schema), "prints")
     nodes = materialize(prints.dropDuplicates(["lw_node"]).drop("lw_id"), "nodes")
-    postings = nodes.select(F.explode("lw_keys").alias("lw_key"), "lw_node").repartition("lw_key").sortWithinPartitions("lw_key")
-    shared = materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint"), "shared")
-    roots = similar_links(hashes, nodes, shared)
+
+    def shared(keys):
+        postings = nodes.select(F.explode(keys).alias("lw_key"), "lw_node").repartition("lw_key").sortWithinPartitions("lw_key")
+        return materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint"), "shared")
+
+    roots = similar_links(hashes, nodes, shared("lw_signed"), shared("lw_keys"))
     classes = prints.select("lw_id", "lw_text_hash", "lw_node").join(roots, F.col("lw_node") == F.col("node"), "left")
     first = classes.groupBy(F.coalesce("root", "lw_node")).agg(F.min(F.struct(F.col("lw_id").isNull(), "lw_id", "lw_text_hash")).alias("k"))
-    keep = materialize(first.select("k.lw_id", "k.lw_text_hash").distinct(), "kept")
-    rows = docs.withColumn("lw_doc", F.col(id)).withColumn("lw_row_hash", F.xxhash64(text))
-    kept = rows.join(keep, rows["lw_doc"].eqNullSafe(keep["lw_id"]) & (rows["lw_row_hash"] == keep["lw_text_hash"]), "left_semi")
-    return kept.dropDuplicates(["lw_doc", "lw_row_hash"]).select(*[F.col(f"`{c}`") for c in own])
+    keep = materialize(first.select(F.col("k.lw_id").alias("lw_kept"), F.col("k.lw_text_hash").alias("lw_kept_hash")).distinct(), "kept")
+    discard(prints, nodes)
+    return rows_kept(rows, keep)

@@ -8,13 +8,15 @@ classes are passed on, never all pairs.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, small_batches, texts
+from listwright.llm.common import discard, materialize, own_columns, small_batches, texts, whole_groups
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -34,10 +36,15 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
     starts = np.concatenate(([0], ends[:-words] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], HASH_SEED) for s, e in zip(starts, ends[words - 1 :].tolist())], dtype=">u8")
+    return int.from_bytes(np.packbits(2 * bit_counts(hashes) > len(hashes)).tobytes(), "big")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the big-endian ``hashes`` have each bit, the highest first."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 4096):
-        ones += np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    for i in range(0, len(hashes), 255):  # so many fit a byte
+        ones += np.unpackbits(hashes[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint8)
+    return ones
 
 
 def _fingerprints(batches):
@@ -86,11 +93,10 @@ def spanning_links(prints: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.nda
     return np.concatenate([empty, *members]), np.concatenate([empty, *roots])
 
 
-def _links_of(bits: np.ndarray, masked: np.ndarray, prints: np.ndarray):
+def _links_of(keys: np.ndarray, prints: np.ndarray):
     """Links of rows sorted by signature."""
-    new = np.flatnonzero((bits[1:] != bits[:-1]) | (masked[1:] != masked[:-1])) + 1
-    starts = np.concatenate(([0], new))
-    sizes = np.diff(np.concatenate((starts, [len(bits)])))
+    starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    sizes = np.diff(np.concatenate((starts, [len(keys)])))
     pairs = starts[sizes == 2]
     a, b = prints[pairs], prints[pairs + 1]
     near = np.bitwise_count(a ^ b) <= MAX_BITS
@@ -103,26 +109,12 @@ def _links_of(bits: np.ndarray, masked: np.ndarray, prints: np.ndarray):
 
 
 def _linked(batches):
-    rest = None
-    for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-        cols[2] = cols[2].view(np.uint64)
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        bits, masked, prints = cols
-        # the last signature may go on in the next batch
-        cut = len(bits) and int(np.flatnonzero((bits != bits[-1]) | (masked != masked[-1]))[-1:].sum() + 1) * bool(
-            (bits[0] != bits[-1]) | (masked[0] != masked[-1])
-        )
-        rest = [c[cut:] for c in cols]
-        if cut:
-            yield _link_batch(*(c[:cut] for c in cols))
-    if rest is not None and len(rest[0]):
-        yield _link_batch(*rest)
+    for table in whole_groups(batches, 50_000):
+        yield _link_batch(table["lw_key"].to_numpy(), table["lw_print"].to_numpy().view(np.uint64))
 
 
-def _link_batch(bits, masked, prints):
-    members, roots = _links_of(bits, masked, prints)
+def _link_batch(keys, prints):
+    members, roots = _links_of(keys, prints)
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (members, roots)], names=["a", "b"])
 
 
@@ -130,28 +122,28 @@ def near_links(prints: DataFrame) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints ``lw_print`` within ``MAX_BITS``."""
     masks = F.array(*[F.lit(m).cast("long") for m in wildcard_masks()])
     variants = prints.select("lw_print", F.posexplode(masks).alias("lw_bit", "lw_mask"))
-    variants = variants.select("lw_bit", F.col("lw_mask").bitwiseAND(F.col("lw_print")).alias("lw_masked"), "lw_print")
-    dealt = variants.repartition("lw_bit", "lw_masked").sortWithinPartitions("lw_bit", "lw_masked")
+    # a hash of bit and masked print: two signatures that meet in it cost a comparison more
+    variants = variants.select(F.xxhash64("lw_bit", F.col("lw_mask").bitwiseAND(F.col("lw_print"))).alias("lw_key"), "lw_print")
+    dealt = variants.repartition("lw_key").sortWithinPartitions("lw_key")
     return dealt.mapInArrow(_linked, "a bigint, b bigint").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node that has a link, root being the least node reachable: large and small stars in turn,
     each round a written table, until nothing changes."""
     links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _checksum(links)
-    for k in range(max_rounds):
+    for k in count():
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        links = materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), f"round{k}")
+        last, links = links, materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), f"round{k}")
+        discard(last)
         before, state = state, _checksum(links)
         if state == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -179,12 +171,19 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, the one with the smallest id (of equal ids, the least text hash), with its own columns."""
-    own = docs.columns
-    hashed = docs.select(F.col(id).alias("lw_id"), F.xxhash64(text).alias("lw_hash"), F.col(text).alias("lw_body"))
+    """One document of each class, the one with the smallest id (of equal ids, the least text hash), with its own columns.
+
+    Rows are carried whole, so their columns may have any names."""
+    rows = docs.select(F.col(id).alias("lw_id"), F.col(text).alias("lw_body"), F.struct(*own_columns(docs)).alias("lw_own"))
+    hashed = rows.select("lw_id", F.xxhash64("lw_body").alias("lw_hash"), "lw_body")
     classes = near_duplicate_classes(hashed, "lw_id", "lw_body", ("lw_hash",))
     first = classes.groupBy("lw_root").agg(F.min(F.struct(F.col("lw_id").isNull(), "lw_id", "lw_hash")).alias("k"))
-    keep = materialize(first.select(F.col("k.lw_id").alias("lw_id"), F.col("k.lw_hash").alias("lw_hash")).distinct(), "kept")
-    rows = docs.withColumn("lw_doc", F.col(id)).withColumn("lw_text_hash", F.xxhash64(text))
-    kept = rows.join(keep, rows["lw_doc"].eqNullSafe(keep["lw_id"]) & (rows["lw_text_hash"] == keep["lw_hash"]), "left_semi")
-    return kept.dropDuplicates(["lw_doc", "lw_text_hash"]).select(*[F.col(f"`{c}`") for c in own])
+    keep = materialize(first.select(F.col("k.lw_id").alias("lw_kept"), F.col("k.lw_hash").alias("lw_kept_hash")).distinct(), "kept")
+    return rows_kept(rows, keep)
+
+
+def rows_kept(rows: DataFrame, keep: DataFrame) -> DataFrame:
+    """Of (``lw_id``, ``lw_body``, ``lw_own``) one row for each (``lw_kept``, ``lw_kept_hash``), its own columns."""
+    rows = rows.withColumn("lw_hash", F.xxhash64("lw_body"))
+    kept = rows.join(keep, F.col("lw_id").eqNullSafe(F.col("lw_kept")) & (F.col("lw_hash") == F.col("lw_kept_hash")), "left_semi")
+    return kept.dropDuplicates(["lw_id", "lw_hash"]).select("lw_own.*")
