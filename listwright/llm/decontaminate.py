@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Shared, materialize, small_batches
+from listwright.llm.common import Shared, materialize, own_columns, small_batches
 
 
 @dataclass(frozen=True)
@@ -205,14 +205,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     ``shingle_share``, ``question_share``, ``answer_share``.
 
     Null and empty texts repeat nothing; rows that repeat an id each give their rows. An empty table on either side
-    gives an empty table.
+    gives an empty table. Items are taken in blocks of ``block_words`` words, each with a pass over ``docs``: benchmarks
+    are small, and no block grows with them.
     """
     spark = docs.sparkSession
     small_batches(spark)
     id_type = docs.schema[id].dataType.simpleString()
     item_type = benchmark.schema[item].dataType.simpleString()
     schema = f"`{id}` {id_type}, item_id {item_type}, score double, shingle_share double, question_share double, answer_share double"
-    item_arrow = pa.int64() if item_type in ("bigint", "int") else pa.string()
+    item_arrow = benchmark.select(item).limit(0).toArrow().schema.field(0).type
     narrow = docs.select(F.col(id).alias("lw_id"), F.col(text).alias("lw_text"))
     found = spark.createDataFrame([], schema)
     for index in build_indexes(benchmark, item, "text", rules):
@@ -237,15 +238,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", rules: LeakRules = LeakRules()) -> DataFrame:
-    """The documents that repeat no item, with their own columns only."""
+    """The documents that repeat no item, with their own columns only, whatever their names."""
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col(text).alias("lw_text"), F.struct(*own_columns(docs)).alias("lw_own"))
     for index in build_indexes(benchmark, item, "text", rules):
         held = Shared(docs.sparkSession, index)
 
         def clean(batches, held=held):
             for batch in batches:
                 index = held.value
-                yield batch.filter(pa.array([not index.leaks(t) for t in batch.column(text).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.leaks(t) for t in batch.column("lw_text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        rows = rows.mapInArrow(clean, rows.schema)
+    return rows.select("lw_own.*")

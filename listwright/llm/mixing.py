@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, word_count
+from listwright.llm.common import materialize, own_columns, word_count
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def _queued(sized: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
     offsets = materialize(sums.withColumn("lw_offset", F.coalesce(F.sum("lw_run_size").over(earlier), F.lit(0))).drop("lw_run_size"), "offsets")
     rows = rows.join(offsets, rows["lw_source"].eqNullSafe(offsets["lw_source"]) & (rows["lw_run"] == offsets["lw_run"]))
     rows = rows.drop(offsets["lw_source"]).drop(offsets["lw_run"])
-    run = Window.partitionBy("lw_source", "lw_run").orderBy("lw_key", "lw_id", "lw_size")
+    run = Window.partitionBy("lw_source", "lw_run").orderBy("lw_key", "lw_id", "lw_size", "lw_text_hash")
     cum = F.col("lw_offset") + F.sum("lw_size").over(run.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("lw_cum", cum).drop("lw_run", "lw_offset")
 
@@ -78,6 +78,22 @@ def _finish(copy: int):
     return (F.col("lw_source_size") * copy + F.col("lw_cum")) / F.col("lw_target")
 
 
+def _mix(docs: DataFrame, id: str, source: str, text: str, plan: MixPlan, carry: bool) -> DataFrame:
+    """The mix over (``lw_own``, where carried, and the operator's columns)."""
+    own = [F.struct(*own_columns(docs)).alias("lw_own")] if carry else []
+    names = F.col(id).alias("lw_id"), F.col(source).alias("lw_source"), word_count(F.col(text)).alias("lw_size"), F.xxhash64(text).alias("lw_text_hash")
+    sized = docs.select(*own, *names)
+    narrow = materialize(sized.select("lw_id", "lw_source", "lw_size", "lw_text_hash"), "sizes")
+    targets = materialize(source_targets(narrow, plan), "targets")
+    size, rows = targets.agg(F.sum("lw_source_size"), F.sum("lw_source_rows")).first()
+    queued = materialize(_queued(narrow, targets, plan), "queued")
+    limit = _limit(queued, plan.share * (size or 0), rows or 0, plan)
+    full = _queued(sized, targets, plan) if carry else queued
+    copies = sum((F.coalesce(_finish(c) <= limit, F.lit(False)) & (F.col("lw_size") > 0)).cast("int") for c in range(plan.max_copies))
+    full = full.withColumn("lw_copies", copies).withColumn("lw_taken", F.col("lw_copies") * F.col("lw_size"))
+    return full.drop("lw_key", "lw_cum", "lw_source_rows", "lw_text_hash")
+
+
 def weighted_mix(
     docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", plan: MixPlan = MixPlan(), carry: bool = True
 ) -> DataFrame:
@@ -85,26 +101,21 @@ def weighted_mix(
     the mix takes the row) and ``lw_taken`` (tokens that it takes); without ``carry``, these columns only.
 
     A null text has no words and is never taken; a null source is a source, the last; rows that repeat an id queue
-    one after the other. The queue order is a hash of the id, so reruns agree. An empty table gives an empty table.
+    one after the other, by size and text. The queue order is a hash of the id, so reruns agree. A column of ``docs``
+    with one of these names gives way to the operator's. An empty table gives an empty table.
     """
-    sized = docs.withColumns({"lw_id": F.col(id), "lw_source": F.col(source), "lw_size": word_count(F.col(text))})
-    narrow = materialize(sized.select("lw_id", "lw_source", "lw_size"), "sizes")
-    targets = materialize(source_targets(narrow, plan), "targets")
-    size, rows = targets.agg(F.sum("lw_source_size"), F.sum("lw_source_rows")).first()
-    queued = materialize(_queued(narrow, targets, plan), "queued")
-    limit = _limit(queued, plan.share * (size or 0), rows or 0, plan)
-    full = _queued(sized, targets, plan) if carry else queued
-    copies = sum((F.coalesce(_finish(c) <= limit, F.lit(False)) & (F.col("lw_size") > 0)).cast("int") for c in range(plan.max_copies))
-    full = full.withColumn("lw_copies", copies).withColumn("lw_taken", F.col("lw_copies") * F.col("lw_size"))
-    return full.drop("lw_key", "lw_cum", "lw_source_rows")
+    mixed = _mix(docs, id, source, text, plan, carry)
+    if not carry:
+        return mixed
+    given = [c for c in mixed.columns if c != "lw_own"]
+    return mixed.select(*[F.col("lw_own").getField(c).alias(c) for c in docs.columns if c.lower() not in given], *given)
 
 
 def mixed_documents(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns only."""
-    mixed = weighted_mix(docs, id, source, text, plan)
+    """The mix itself: each document as often as it is taken, with its own columns only, whatever their names."""
+    mixed = _mix(docs, id, source, text, plan, True)
     times = F.explode(F.array_repeat(F.lit(1), F.col("lw_copies"))).alias("lw_time")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return mixed.where("lw_copies > 0").select(*own, times).drop("lw_time")
+    return mixed.where("lw_copies > 0").select("lw_own", times).select("lw_own.*")
 
 
 def _limit(queued: DataFrame, budget: float, rows: int, plan: MixPlan) -> float:

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from listwright.llm.common import materialize, small_batches, texts
+from listwright.llm.common import materialize, own_columns, small_batches, texts
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_STARTS = _SPACE + bytes(range(0x80, 0xC0))
@@ -80,8 +81,7 @@ def _measured(batches):
 def add_measures(docs: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
     """``docs`` with a long column ``lw_<measure>`` for each of ``MEASURES``; a null text counts as empty."""
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if not (drop_text and f.name == text))
-    schema += "".join(f", lw_{m} bigint" for m in MEASURES)
+    schema = StructType([f for f in docs.schema if not (drop_text and f.name == text)] + [StructField(f"lw_{m}", LongType()) for m in MEASURES])
     source = docs.withColumn("lw_text", F.col(text))
     return (source.drop(text) if drop_text else source).mapInArrow(_measured, schema)
 
@@ -155,12 +155,12 @@ def quality_report(docs: DataFrame, id: str = "doc_id", text: str = "text", host
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", rules: QualityRules = QualityRules()) -> DataFrame:
-    """The documents that are kept, with their own columns only."""
-    own = docs.columns
-    narrow = docs.select(F.col(host).alias("lw_source"), F.col(text).alias("lw_body"))
-    verdicts = materialize(
-        host_verdicts(add_measures(narrow, "lw_body", drop_text=True), "lw_source", rules).where("lw_host_rejected").select("lw_host"),
-        "rejected",
-    )
-    kept = add_measures(docs, text).where(~document_failed(rules))
-    return kept.join(verdicts, F.col(host) == F.col("lw_host"), "left_anti").select(*[F.col(f"`{c}`") for c in own])
+    """The documents that are kept, with their own columns only, whatever their names; texts are measured once."""
+    rows = docs.select(F.col(host).alias("lw_host_of"), F.col(text).alias("lw_body"), F.struct(*own_columns(docs)).alias("lw_own"))
+    measured = add_measures(rows, "lw_body", drop_text=True)
+    failed = document_failed(rules)
+    slim = measured.select("lw_host_of", *[f"lw_{m}" for m in MEASURES], F.when(~failed, F.col("lw_own")).alias("lw_own"))
+    measured = materialize(slim, "measured")
+    rejected = materialize(host_verdicts(measured, "lw_host_of", rules).where("lw_host_rejected").select("lw_host"), "rejected")
+    kept = measured.where(~failed).join(rejected, F.col("lw_host_of") == F.col("lw_host"), "left_anti")
+    return kept.select("lw_own.*")

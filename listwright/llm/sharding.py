@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import bucket_of, materialize
+from listwright.llm.common import bucket_of, materialize, own_columns
 
 BUCKETS = 1024
 ROWS_PER_SLOT_RUN = 4096
@@ -90,35 +90,52 @@ def balanced_shards(docs: DataFrame, text: str = "text", shards: int = 8, id: st
     gapless from 0 in each shard. Equal texts share a shard; null texts are one group, empty ones another.
 
     Sums of sizes are as near as groups allow: a group larger than a fair share fills its shard alone. Rows that
-    repeat get slots of their own. An empty table gives an empty table.
+    repeat get slots of their own. A column of ``docs`` with one of these names gives way to the operator's. An empty
+    table gives an empty table.
     """
-    rows = docs.withColumns(
-        {
-            "lw_size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1,
-            "lw_h1": F.xxhash64(F.col(text).isNull(), text),
-            "lw_h2": F.xxhash64(F.lit(1), F.col(text).isNull(), text),
-        }
+    sharded = shard_rows(docs, text, shards, id, buckets)
+    given = ["lw_size", "lw_shard", "lw_slot"]
+    return sharded.select(*[F.col("lw_own").getField(c).alias(c) for c in docs.columns if c.lower() not in given], *given)
+
+
+def shard_rows(docs: DataFrame, text: str, shards: int, id: str, buckets: int = BUCKETS) -> DataFrame:
+    """(``lw_own``, ``lw_size``, ``lw_shard``, ``lw_slot``): each row whole, so that its columns may have any names."""
+    rows = docs.select(
+        F.struct(*own_columns(docs)).alias("lw_own"),
+        F.col(id).alias("lw_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("lw_size"),
+        F.xxhash64(F.col(text).isNull(), text).alias("lw_h1"),
+        F.xxhash64(F.lit(1), F.col(text).isNull(), text).alias("lw_h2"),
     )
-    groups = rows.groupBy("lw_h1", "lw_h2").agg(F.sum("lw_size").alias("lw_weight"))
-    placed, where = group_shards(groups, shards, buckets)
+    # texts are read twice: here, and in the join that gives each row its shard
+    sizes = materialize(rows.groupBy("lw_h1", "lw_h2").agg(F.sum("lw_size").alias("lw_weight"), F.count("*").alias("lw_n")), "groups")
+    placed, where = group_shards(sizes.drop("lw_n"), shards, buckets)
     # at most buckets x shards rows
     where = F.broadcast(where)
     placed = placed.join(where, (F.col("lw_bucket") == F.col("lw_b")) & (F.col("lw_place") == F.col("lw_p"))).select("lw_h1", "lw_h2", "lw_shard")
-    placed = materialize(placed, "shards")
-    sharded = rows.join(placed, ["lw_h1", "lw_h2"])
-    return add_slots(sharded, id).drop("lw_h1", "lw_h2")
+    groups = materialize(placed.join(sizes, ["lw_h1", "lw_h2"]), "shards")
+    return add_slots(rows, groups).select("lw_own", "lw_size", "lw_shard", "lw_slot")
 
 
-def add_slots(rows: DataFrame, id: str) -> DataFrame:
-    """Row numbers within shards: runs of hashed ids are numbered apart and start where the runs before them end."""
-    counts = rows.groupBy("lw_shard").agg(F.count("*").alias("lw_rows"))
+def add_slots(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Row numbers within shards. A shard's order is cut into runs: groups of up to ``ROWS_PER_SLOT_RUN`` rows lie in a
+    run of hashed groups, a larger one has runs of its own, which its rows are dealt to by their hashed id. Runs are
+    numbered apart and start where the runs before them end.
+
+    Null and repeated ids, ties and equal rows are numbered in any order, each once."""
+    counts = groups.groupBy("lw_shard").agg(F.sum("lw_n").alias("lw_rows"))
     # one row a shard
-    rows = rows.join(F.broadcast(counts), "lw_shard").withColumn("lw_key", F.xxhash64(F.col(id), F.col("lw_h1")))
-    rows = rows.withColumn("lw_run", bucket_of(F.col("lw_key"), F.ceil(F.col("lw_rows") / ROWS_PER_SLOT_RUN))).drop("lw_rows")
-    sums = rows.groupBy("lw_shard", "lw_run").agg(F.count("*").alias("lw_n"))
-    earlier = Window.partitionBy("lw_shard").orderBy("lw_run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("lw_shard", "lw_run", F.coalesce(F.sum("lw_n").over(earlier), F.lit(0)).alias("lw_offset"))
-    offsets = materialize(offsets, "slots")
-    run = Window.partitionBy("lw_shard", "lw_run").orderBy("lw_key", id, "lw_h1", "lw_h2")
-    numbered = rows.join(offsets, ["lw_shard", "lw_run"]).withColumn("lw_slot", F.col("lw_offset") + F.row_number().over(run) - 1)
-    return numbered.drop("lw_run", "lw_offset", "lw_key")
+    groups = groups.join(F.broadcast(counts), "lw_shard")
+    run = bucket_of(F.col("lw_h1"), F.ceil(F.col("lw_rows") / ROWS_PER_SLOT_RUN))
+    parts = F.when(F.col("lw_n") > ROWS_PER_SLOT_RUN, F.ceil(F.col("lw_n") / ROWS_PER_SLOT_RUN)).otherwise(1).cast("long")
+    groups = groups.select("lw_h1", "lw_h2", "lw_shard", run.alias("lw_run"), parts.alias("lw_parts"))
+    rows = rows.join(groups, ["lw_h1", "lw_h2"])
+    own = F.when(F.col("lw_parts") > 1, F.pmod(F.xxhash64("lw_id", F.lit(3)), F.col("lw_parts")) + 1).otherwise(0)
+    group = F.when(F.col("lw_parts") > 1, F.col("lw_h1")).otherwise(0)
+    rows = rows.withColumns({"lw_own_part": own, "lw_own_group": group})
+    keys = ["lw_shard", "lw_run", "lw_own_group", "lw_own_part"]
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("lw_n"))
+    earlier = Window.partitionBy("lw_shard").orderBy(*keys[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(sums.select(*keys, F.coalesce(F.sum("lw_n").over(earlier), F.lit(0)).alias("lw_offset")), "slots")
+    within = Window.partitionBy(*keys).orderBy("lw_h1", "lw_h2", "lw_id")
+    return rows.join(offsets, keys).withColumn("lw_slot", F.col("lw_offset") + F.row_number().over(within) - 1)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from listwright.llm.common import discard, materialize, own_columns, small_batches, texts, whole_groups
 
@@ -59,7 +60,7 @@ def _fingerprints(batches):
 def add_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without ``text``, with the long column ``lw_print``."""
     small_batches(docs.sparkSession)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text) + "lw_print bigint"
+    schema = StructType([f for f in docs.schema if f.name != text] + [StructField("lw_print", LongType())])
     return docs.withColumnRenamed(text, "lw_text").mapInArrow(_fingerprints, schema)
 
 

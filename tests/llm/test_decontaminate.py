@@ -81,3 +81,13 @@ def test_table(spark, docs, corpus, clashing, nothing):
     assert D.drop_leaks(clashing, bench).columns == clashing.columns
     assert D.find_leaks(nothing, bench).count() == 0 and D.find_leaks(docs, bench.limit(0)).count() == 0
     assert D.drop_leaks(docs, bench.limit(0)).count() == len(corpus)
+
+
+def test_items_of_any_type(spark, docs):
+    rng = random.Random(15)
+    text = prose(rng, 40)
+    one = spark.createDataFrame([(7, f"{prose(rng, 50)} {text} {prose(rng, 50)}")], "doc_id long, text string")
+    for kind in ("int", "smallint", "string", "bigint"):
+        bench = spark.createDataFrame([(5, text)], "item_id long, text string").selectExpr(f"cast(item_id as {kind}) item_id", "text")
+        found = D.find_leaks(one, bench)
+        assert found.schema["item_id"].dataType == bench.schema["item_id"].dataType and [str(r["item_id"]) for r in found.collect()] == ["5"]

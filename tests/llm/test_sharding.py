@@ -44,3 +44,33 @@ def test_shards(docs, corpus):
 def test_edges(nothing, clashing):
     assert balanced_shards(nothing).count() == 0
     assert balanced_shards(clashing).columns[: len(clashing.columns)] == clashing.columns or set(clashing.columns) <= set(balanced_shards(clashing).columns)
+
+
+def test_repeated_ids_and_equal_texts(spark, monkeypatch):
+    from listwright.llm import sharding
+
+    monkeypatch.setattr(sharding, "ROWS_PER_SLOT_RUN", 10)
+    rows = [(i % 7 if i % 3 else None, "same text") for i in range(200)] + [(1, None)] * 30 + [(2, "")] * 5 + [(i, f"text {i}") for i in range(60)]
+    got = balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=3).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["lw_shard"]].append(r["lw_slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["lw_shard"] for r in got if r["text"] == "same text"}) == 1
+
+
+def test_one_bucket_is_plain_differencing(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 400))) + str(i) for i in range(90)]
+    got = balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=4, buckets=1).collect()
+    sums = [0] * 4
+    for r in got:
+        sums[r["lw_shard"]] += r["lw_size"]
+    # combine the two partitions of largest spread, oppositely ordered, comparing all each time
+    parts = [[len(t) + 1, 0, 0, 0] for t in texts]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: max(p) - min(p))
+        a, b = sorted(parts.pop(), reverse=True), sorted(parts.pop())
+        parts.append([x + y for x, y in zip(a, b)])
+    assert max(sums) - min(sums) <= max(2, 2 * (max(parts[0]) - min(parts[0])))
