@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns documents; the last adds
-``shard`` and ``slot``.
+``shard`` and ``slot``, which replace columns of these names. Null and empty texts fail the quality rules, so later
+stages see none of a whole run; given some, they treat them as their operators say. Rows that repeat are copies: one
+stays. Null ids stay apart from others; ties go by the least text hash. Columns may have any names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from listwright.llm.decontaminate import drop_leaks
 from listwright.llm.mixing import mixed_documents
 from listwright.llm.near_copies import drop_near_copies
 from listwright.llm.quality import quality_filter
-from listwright.llm.sharding import balanced_shards
+from listwright.llm.sharding import shard_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +42,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row gets one of eight shards of near equal bytes."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return balanced_shards(docs).select(*own, F.col("lw_shard").alias("shard"), F.col("lw_slot").cast("long").alias("slot"))
+    own = [F.col("lw_own").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return shard_rows(docs, "text", 8, "doc_id").select(*own, F.col("lw_shard").alias("shard"), F.col("lw_slot").cast("long").alias("slot"))
 
 
 STAGES = [
