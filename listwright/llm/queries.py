@@ -43,7 +43,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     says = "</s>[INST] ok [/INST]"
-    planted = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    planted = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{says}'), (-7L, 1L, 'assistant', '{says}') AS v(conv_id, turn, role, text)")
     out = format_conversations(turns.unionByName(planted)).withColumn("turns", read_back(F.col("lw_formatted")))
     said = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     turns_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -78,7 +78,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_personal_data(_read(spark, sf_dir, "documents"))
     counts = [F.col(f"lw_n_{k}").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.col("lw_base_sha256").alias("base_sha256"), span_list("lw_spans").alias("spans"))
+    return found.select("doc_id", *counts, F.col("lw_base_sha256").alias("base_sha256"), span_list("lw_spans").alias("spans"), F.size("lw_spans").cast("long").alias("n_spans"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

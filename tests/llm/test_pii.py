@@ -1,8 +1,12 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
 
 from listwright.llm import pii as P
+from tests.llm.conftest import prose
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -50,10 +54,51 @@ def test_em_tells_reliable_labelers_from_noise():
         true = rng.random() < 0.6
         vote = tuple(1 if (rng.random() < (right if true else wrong)) else -1 for right, wrong in ((0.95, 0.05), (0.9, 0.1), (0.5, 0.5), (0.85, 0.2)))
         counts[vote] = counts.get(vote, 0) + 1
-    model = P.fit([(0, v, n) for v, n in counts.items()])
+    model = P.fit_reliabilities([(0, v, n) for v, n in counts.items()])
     assert model.right[0, 0] > 0.85 and model.wrong[0, 0] < 0.15
     assert abs(model.right[0, 2] - model.wrong[0, 2]) < 0.15
-    assert model.probability(0, (1, 1, 1, 1)) > 0.9 > 0.1 > model.probability(0, (-1, -1, 1, -1))
+    high, low = model.posterior(np.array([0, 0]), np.array([(1, 1, 1, 1), (-1, -1, 1, -1)]))
+    assert high > 0.9 > 0.1 > low
+
+
+def brute_loose(text, base):
+    """Leftmost first, each against all that is taken."""
+    found = [(P.EMAIL, *m.span()) for m in P._SPELT.finditer(text)]
+    found += [(P.CARD, *m.span()) for m in P._CARD.finditer(text) if 12 <= len(re.sub("[^0-9]", "", m.group())) <= 19]
+    found += [(P.PHONE, *m.span()) for m in P._LOCAL_PHONE.finditer(text) if 7 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    found += [(P.SECRET, *m.span()) for m in P._SECRET.finditer(text) if P._mixed(m.group())]
+    taken, out = [x[1:] for x in base], []
+    for kind, s, e in sorted(found, key=lambda x: (x[1], x[0])):
+        if all(e <= a or s >= b for a, b in taken):
+            out.append((kind, s, e))
+            taken.append((s, e))
+    return out
+
+
+def test_loose_spans_match_comparing_all():
+    for text in cases()[:1500] + ["call 428-555-8683 or 4111 1111 1111 1112 token=24be64439e3e49cf46b2d7c9 x"]:
+        base = P.base_spans(text)
+        assert P.loose_spans(text, base) == brute_loose(text, base), text
+
+
+def test_many_candidates_take_linear_time():
+    text = "428-555-8683 " * 160_000
+    began = time.process_time()
+    assert len(P.loose_spans(text, P.base_spans(text))) == 160_000
+    assert time.process_time() - began < 20
+
+
+def test_planted_secrets_are_added(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(200):
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        word = "x" * 30 if i % 2 else f'token = "{secret}"'
+        rows.append((i, f"{prose(rng, 30)} {word} {prose(rng, 30)}"))
+    got = {r["doc_id"]: r for r in P.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        added = [text[s["start"] : s["end"]] for s in got[i]["lw_spans"] if not s["base"]]
+        assert len(added) == (i % 2 == 0) and all(x in text.split('"') for x in added)
 
 
 def test_table(spark, docs, corpus, clashing, nothing):
@@ -69,7 +114,7 @@ def test_table(spark, docs, corpus, clashing, nothing):
         base = want[r["doc_id"]]
         assert r["lw_base_sha256"] == hashlib.sha256(P.joined(base).encode()).hexdigest()
         assert [r[f"lw_n_{k}"] for k in P.KINDS] == [sum(x[0] == i for x in base) for i in range(4)]
-        got = [(P.KINDS.index(s["kind"]), s["start"], s["end"]) for s in r["lw_spans"]]
+        got = [(P.SPAN_KINDS.index(s["kind"]), s["start"], s["end"]) for s in r["lw_spans"]]
         assert set(base) <= set(got) and got == sorted(got, key=lambda x: (x[1], x[0]))
     assert P.find_personal_data(nothing).count() == 0
     assert P.find_personal_data(clashing).count() == len(corpus)
