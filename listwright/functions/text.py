@@ -21,41 +21,28 @@ ONSITE_WORDS = ("onsite", "on-site", "in-office")
 REMOTE_WORDS = ("remote",)
 HYBRID_HINTS = ("hjemmearbejde", "hjemmefra")
 SENIORITY_WORDS = {
-    "junior": r"jr\.?|junior|graduate|intern",
-    "senior": r"sr\.?|senior",
-    "lead": "lead|principal|staff",
-    "mid": "mid|mid-level|intermediate",
+    "junior": ("jr", "junior", "graduate", "intern"),
+    "senior": ("sr", "senior"),
+    "lead": ("lead", "principal", "staff"),
+    "mid": ("mid", "intermediate"),
 }
-ENGINEERING_WORDS = "engineer|engineering|developer|architect|programmer|coder|sre|devops"
-# what a title outside engineering holds: a head word followed by one of its posts, or a phrase by itself
-POSTS_BY_HEAD = {
-    "product": "manager|owner|director|lead",
-    "project": "manager",
-    "technical\\s+product": "manager",
-    "account": "manager|executive|director|representative",
-    "sales": "manager|representative|executive|director|lead|specialist",
-    "marketing": "manager|specialist|lead|analyst|director|coordinator|operations",
-    "growth": "lead|manager|specialist|hacker|director",
-    "content": "operations|specialist|writer|strategist|manager",
-    "technical": "writer",
-    "strategy": "lead|manager|director",
-    "operations": "manager|specialist|analyst|coordinator|lead",
-    "business": "analyst|consultant|partner|developer",
-    "financial?": "analyst|controller|specialist|manager|director|advisor",
-    "central": "finance",
-    "data": "analyst",
-    "fraud": "analyst|detection",
-    "customer": "success|support|service|experience",
-    "talent": "acquisition",
-    "human": "resources",
-    "people": "operations|partner|manager|director",
-    "qa": "manager|lead|analyst|director",
-    "quality": "manager|lead|analyst|director",
-    "executive": "assistant",
-    "graphic": "designer",
-    "compliance": "officer",
-}
-OTHER_TITLES = ("copywriter", "strategist", "controller", "accountant", "bookkeeper", "recruiter", "recruiting", "recruitment", "hr", "counsel", "attorney", "paralegal")
+ENGINEERING_WORDS = ("engineer", "engineering", "developer", "architect", "programmer", "coder", "sre", "devops")
+# titles outside engineering
+OTHER_TITLES = (
+    "product manager", "product owner", "product director", "product lead", "project manager", "account manager", "account executive",
+    "account director", "account representative", "sales manager", "sales representative", "sales executive", "sales director", "sales lead",
+    "sales specialist", "marketing manager", "marketing specialist", "marketing lead", "marketing analyst", "marketing director",
+    "marketing coordinator", "marketing operations", "growth lead", "growth manager", "growth specialist", "growth hacker", "growth director",
+    "content operations", "content specialist", "content writer", "content strategist", "content manager", "technical writer", "strategy lead",
+    "strategy manager", "strategy director", "operations manager", "operations specialist", "operations analyst", "operations coordinator",
+    "operations lead", "business analyst", "business consultant", "business partner", "business developer", "financial analyst",
+    "financial controller", "financial specialist", "financial manager", "financial director", "financial advisor", "central finance",
+    "data analyst", "fraud analyst", "fraud detection", "customer success", "customer support", "customer service", "customer experience",
+    "talent acquisition", "human resources", "people operations", "people partner", "people manager", "people director", "qa manager", "qa lead",
+    "qa analyst", "qa director", "quality manager", "quality lead", "quality analyst", "quality director", "executive assistant",
+    "graphic designer", "compliance officer", "copywriter", "strategist", "controller", "accountant", "bookkeeper", "recruiter", "recruiting",
+    "recruitment", "hr", "counsel", "attorney", "paralegal",
+)
 HTML_ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 # ------------------------------------------------------------------------------------------------------------------
 
@@ -159,7 +146,7 @@ def _seniority_in(text: Column) -> Column:
     low = F.lower(text)
     out = F
     for level, words in SENIORITY_WORDS.items():
-        out = out.when(low.rlike(rf"(?U)\b({words})\b"), level)
+        out = out.when(low.rlike(rf"(?U)\b({'|'.join(words)})\b"), level)
     return out.otherwise(None)
 
 
@@ -168,15 +155,13 @@ def seniority(title: Column, description: Column) -> Column:
     return F.coalesce(_seniority_in(title), _seniority_in(description))
 
 
-def non_engineering_pattern() -> str:
-    posts = "|".join(rf"{head}\s+({posts})" for head, posts in POSTS_BY_HEAD.items())
-    return rf"\b({posts}|{'|'.join(OTHER_TITLES)})\b"
-
-
 def non_engineering_title(title: Column) -> Column:
-    """The title names a post outside engineering and nothing within it."""
-    text = F.coalesce(title, F.lit(""))
-    return ~text.rlike(rf"(?iU)\b({ENGINEERING_WORDS})\b") & text.rlike(f"(?iU){non_engineering_pattern()}")
+    """The title names a post outside engineering and nothing within it. Its words, and pairs of words with nothing but
+    white space between, are looked up; a sign between two words is a word of its own."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"(?U)\w+|[^\w\s]"), F.lit(0))
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    among = lambda found, named: F.arrays_overlap(found, F.array(*[F.lit(x) for x in named]))
+    return ~among(words, ENGINEERING_WORDS) & among(F.concat(words, pairs), OTHER_TITLES)
 
 
 def contains_token(text: Column, token: str) -> Column:

@@ -6,38 +6,37 @@ this is neither a distinct nor a connected component: in A(u1,t1), B(u2,t1), C(u
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.plans.storage import written
+from listwright.plans.storage import discard, written
 
-#: Rounds of joins before what is left is settled one component at a time.
-MAX_ROUNDS = 12
 
-
-def first_wins(rows: DataFrame, seq: str, key1: str, key2: str, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def first_wins(rows: DataFrame, seq: str, key1: str, key2: str) -> DataFrame:
     """(``seq``, ``canonical``): the row itself where it stays, else the kept row that it merges into, by the first key
     before the second. ``seq`` must be distinct; null keys equal each other.
 
     Each round keeps the undecided rows that come first for both their keys and drops those that share a key with a
     kept row. Only ``seq`` and 128-bit hashes of the keys are shuffled; what is joined is aggregated by key, so a key
-    that many rows share makes no more rows than it has.
+    that many rows share makes no more rows than it has. Rounds go on until nothing is left: one for every two links of
+    the longest chain in which each row shares one key with the row before and the other with the next.
     """
     fold = lambda c: F.struct(F.xxhash64(F.col(c).isNull(), c).alias("a"), F.xxhash64(F.lit(1), F.col(c).isNull(), c).alias("b"))
     keyed = written(rows.select(F.col(seq).alias("seq"), fold(key1).alias("k1"), fold(key2).alias("k2")), "keyed")
     left, kept = keyed, None
-    for k in range(max_rounds):
+    k, old = 0, None
+    while old is None or not left.isEmpty():
         first1 = left.groupBy("k1").agg(F.min("seq").alias("f1"))
         first2 = left.groupBy("k2").agg(F.min("seq").alias("f2"))
         now = written(left.join(first1, "k1").join(first2, "k2").where("seq = f1 and seq = f2").select("seq", "k1", "k2"), f"kept{k}")
         kept = now if kept is None else kept.unionByName(now)
-        left = left.join(now.select("k1"), "k1", "left_anti").join(now.select("k2"), "k2", "left_anti")
+        old, left = left, left.join(now.select("k1"), "k1", "left_anti").join(now.select("k2"), "k2", "left_anti")
         left = written(left.select("seq", "k1", "k2"), f"left{k}")
-        if left.isEmpty():
-            break
-    else:
-        kept = kept.unionByName(_settle(left))
+        if k:
+            discard(old)
+        if k % 16 == 15:  # the plan stays short however many rounds there are
+            kept = written(kept, "kept")
+        k += 1
     by1 = kept.select("k1", F.col("seq").alias("c1"))
     by2 = kept.select("k2", F.col("seq").alias("c2"))
     # one kept row has a key at most; only an earlier one counts
@@ -45,36 +44,6 @@ def first_wins(rows: DataFrame, seq: str, key1: str, key2: str, max_rounds: int
     return found.select("seq", F.when(F.col("c1") <= F.col("seq"), F.col("c1")).otherwise(F.col("c2")).alias("canonical"))
 
 
-def _settle(left: DataFrame) -> DataFrame:
-    """What long alternating chains keep: the greedy rule within each component of rows that share keys."""
-    rows = written(left.withColumn("label", F.col("seq")), "labels")
-    while True:
-        near = rows.withColumn("l1", F.min("label").over(Window.partitionBy("k1"))).withColumn("l2", F.min("label").over(Window.partitionBy("k2")))
-        near = near.select("seq", "k1", "k2", F.col("label").alias("old"), F.least("l1", "l2").alias("at"))
-        jump = rows.select(F.col("seq").alias("at"), F.col("label").alias("farther"))
-        new = written(near.join(jump, "at", "left").select("seq", "k1", "k2", "old", F.least("at", F.coalesce("farther", "at")).alias("label")), "labels")
-        moved = not new.where("old <> label").isEmpty()
-        rows = new.drop("old")
-        if not moved:
-            break
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        seen1, seen2, out = set(), set(), []
-        for s, *key in sorted(group[["seq", "a1", "b1", "a2", "b2"]].itertuples(index=False, name=None)):
-            one, two = tuple(key[:2]), tuple(key[2:])
-            if one not in seen1 and two not in seen2:
-                seen1.add(one)
-                seen2.add(two)
-                out.append((s, *key))
-        return pd.DataFrame(out, columns=["seq", "a1", "b1", "a2", "b2"])
-
-    flat = rows.select("label", "seq", F.col("k1.a").alias("a1"), F.col("k1.b").alias("b1"), F.col("k2.a").alias("a2"), F.col("k2.b").alias("b2"))
-    kind = rows.schema["seq"].dataType.simpleString()
-    kept = flat.groupBy("label").applyInPandas(greedy, f"seq {kind}, a1 bigint, b1 bigint, a2 bigint, b2 bigint")
-    pair = lambda k: F.struct(F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b")).alias(f"k{k}")
-    return kept.select("seq", pair(1), pair(2))
-
-
 def merge_groups(canonical: DataFrame) -> DataFrame:
     """(``canonical``, ``merged``): what each kept row absorbed, in order; only rows that absorbed something."""
     gone = canonical.where("seq <> canonical")

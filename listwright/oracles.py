@@ -58,12 +58,13 @@ def remote_mode(x: str) -> str:
 
 
 def seniority(title: str, description: str) -> str:
-    one = lambda x: "CASE " + " ".join(rf"WHEN regexp_matches(lower({x}), '\b({w})\b') THEN {q(k)}" for k, w in T.SENIORITY_WORDS.items()) + " END"
+    one = lambda x: "CASE " + " ".join(rf"WHEN regexp_matches(lower({x}), '\b({"|".join(w)})\b') THEN {q(k)}" for k, w in T.SENIORITY_WORDS.items()) + " END"
     return f"coalesce({one(title)}, {one(description)})"
 
 
 def off_title(x: str) -> str:
-    return rf"(NOT regexp_matches({x}, '(?i)\b({T.ENGINEERING_WORDS})\b') AND regexp_matches({x}, '(?i){T.non_engineering_pattern()}'))"
+    engineering, other = "|".join(T.ENGINEERING_WORDS), "|".join(t.replace(" ", r"\s+") for t in T.OTHER_TITLES)
+    return rf"(NOT regexp_matches({x}, '(?i)\b({engineering})\b') AND regexp_matches({x}, '(?i)\b({other})\b'))"
 
 
 def hits(keywords, corpus: str) -> str:

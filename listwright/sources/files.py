@@ -9,7 +9,7 @@ from pyspark.sql import types as t
 from listwright.functions import dates
 from listwright.functions import json_paths as J
 from listwright.functions import text as T
-from listwright.sources.listing import build_listings
+from listwright.sources.listing import build_listings, item_order
 
 FIELDS = ("title", "company", "location", "url", "description", "posted_at")
 TRAILING_COMPANY_HOSTS = r"(?i)^[a-z]+://[^/?#]*(jobindex\.dk|it-jobbank\.dk)"
@@ -26,7 +26,7 @@ def manual_csv(spark: SparkSession, path: str, portal: str, fetched_at, static:
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     rows = raw.select(*[(F.col(f"`{f}`") if f in raw.columns else F.lit(None)).cast("string").alias(f) for f in FIELDS])
-    rows = rows.withColumns({"source_id": F.col("url"), "item_ord": F.monotonically_increasing_id(), "posted_at": dates.tolerant_timestamp(F.col("posted_at"))})
+    rows = rows.withColumns({"source_id": F.col("url"), "item_ord": item_order(F.monotonically_increasing_id()), "posted_at": dates.tolerant_timestamp(F.col("posted_at"))})
     return build_listings(rows, portal, fetched_at, static)
 
 
@@ -53,7 +53,7 @@ def payload_listings(docs: DataFrame, mapping: dict[str, str], portal: str, fetc
         description.alias("description"),
         url.alias("url"),
         dates.tolerant_timestamp(field("posted_at")).alias("posted_at"),
-        (F.col("page").cast("long") * F.lit(1 << 24) + F.col("at")).alias("item_ord"),
+        item_order(F.col("page"), F.col("at")).alias("item_ord"),
     )
     return build_listings(rows, portal, fetched_at, static)
 
@@ -89,6 +89,6 @@ def feed(spark: SparkSession, path: str, portal: str, fetched_at, static: dict |
         T.strip_html(F.col("body")).alias("description"),
         "url",
         dates.tolerant_timestamp(F.col("date")).alias("posted_at"),
-        F.monotonically_increasing_id().alias("item_ord"),
+        item_order(F.monotonically_increasing_id()).alias("item_ord"),
     )
     return build_listings(rows, portal, fetched_at, static)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from listwright.functions import text as T
+from listwright.plans.storage import discard, written
 
 COLUMNS = ("id", "portal", "title", "company", "location", "remote_mode", "description", "url", "posted_at", "fetched_at", "item_ord")
 ABSOLUTE_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#]+"
@@ -20,6 +22,11 @@ def absolute(url: Column) -> Column:
     return F.coalesce(url.rlike(ABSOLUTE_URL), F.lit(False))
 
 
+def item_order(page: Column, at: Column | None = None) -> Column:
+    """Order of an item within its source: its file, page or row, then its place there."""
+    return F.struct(page.cast("long").alias("page"), (F.lit(0) if at is None else at).cast("long").alias("at"))
+
+
 def build_listings(rows: DataFrame, portal: str, fetched_at, static: dict[str, str] | None = None) -> DataFrame:
     """Rows (source_id, title, company, location, description, url, posted_at, item_ord) as listings. Static fields that
     aren't blank win over the source's; rows without title or absolute URL go."""
@@ -38,19 +45,26 @@ def build_listings(rows: DataFrame, portal: str, fetched_at, static: dict[str, s
         F.col("url"),
         F.col("posted_at").cast("timestamp").alias("posted_at"),
         F.lit(fetched_at).cast("timestamp").alias("fetched_at"),
-        F.col("item_ord").cast("long").alias("item_ord"),
+        F.col("item_ord") if isinstance(rows.schema["item_ord"].dataType, StructType) else item_order(F.col("item_ord")).alias("item_ord"),
     )
     corpus = F.concat("title", F.lit(" "), "description", F.lit(" "), F.coalesce("location", F.lit("")))
     return out.withColumn("remote_mode", T.remote_mode(corpus)).select(*COLUMNS)
 
 
 def gather(sources: list[DataFrame]) -> DataFrame:
-    """All sources in order: ``source_ord`` and ``seq``, which sorts by source and item, whatever finished first."""
+    """All sources in order, written once: ``source_ord`` and ``seq``, which is distinct and sorts by source, then by
+    item, whatever finished first and however many partitions a source has. Equal items of a source go by id and URL."""
     out = None
     for k, df in enumerate(sources):
         df = df.withColumn("source_ord", F.lit(k))
         out = df if out is None else out.unionByName(df)
-    return out.withColumn("seq", F.col("source_ord").cast("long") * F.lit(1 << 40) + F.col("item_ord"))
+    # items first get their places for good: the numbers of rows and pages hold for one evaluation only
+    placed = written(out, "gathered")
+    order = [c for c in ("source_ord", "item_ord", "id", "url") if c in placed.columns]
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = written(ranged.withColumn("seq", F.monotonically_increasing_id()), "numbered")
+    discard(placed)
+    return numbered
 
 
 def enrich(listings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from listwright.functions import dates
 from listwright.functions import json_paths as J
 from listwright.functions import text as T
-from listwright.sources.listing import build_listings
+from listwright.sources.listing import build_listings, item_order
 
 # --- fixed values -------------------------------------------------------------------------------------------------
 COUNTRY_CODES = {
@@ -25,11 +25,14 @@ COUNTRY_NAMES = {
     "danmark": "Denmark", "norge": "Norway", "sverige": "Sweden", "finland": "Finland", "island": "Iceland",
     "tyskland": "Germany", "holland": "Netherlands", "storbritannien": "United Kingdom",
 }
-JOB_PATH = r"/jobs/\d+"
-LD_SCRIPT = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.+?)</script>"""
-FORM_FIELD = r"""(?i)HiddenField_PositionList[^>]*\bvalue\s*=\s*["']([^"']+)["']"""
 # ------------------------------------------------------------------------------------------------------------------
 
+#: A posting's address ends in a number below its board's folder of jobs.
+POSTING_PATH = "/jobs/[0-9]+"
+#: Blocks of linked data, and the value of the hidden input that holds a board's positions.
+LINKED_DATA = r"(?is)<script\b(?=[^>]*\bld\+json\b)[^>]*>(.*?)</script\s*>"
+POSITIONS = r"(?is)<input\b[^>]*?HiddenField_PositionList[^>]*?\svalue\s*=\s*(?:\"([^\"]+)\"|'([^']+)')"
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -147,14 +150,14 @@ def html_cards(pages: DataFrame, selectors: dict[str, str], portal: str, fetched
         return pd.Series([cards(h, u, selectors) for u, h in zip(url, html)])
 
     rows = pages.select(F.monotonically_increasing_id().alias("page"), F.explode(parse("url", "html")).alias("c"))
-    rows = rows.select(F.col("c.url").alias("source_id"), "c.title", "c.company", "c.location", "c.description", "c.url", F.lit(None).cast("timestamp").alias("posted_at"), (F.col("page") * 65536 + F.col("c.at")).alias("item_ord"))
+    rows = rows.select(F.col("c.url").alias("source_id"), "c.title", "c.company", "c.location", "c.description", "c.url", F.lit(None).cast("timestamp").alias("posted_at"), item_order(F.col("page"), F.col("c.at")).alias("item_ord"))
     return build_listings(rows, portal, fetched_at, static)
 
 
 def sitemap_urls(sitemap: Column) -> Column:
     """The distinct locations of a sitemap's text that look like postings."""
     found = F.regexp_extract_all(sitemap, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda u: u.rlike(JOB_PATH)))
+    return F.array_distinct(F.filter(found, lambda u: u.rlike(POSTING_PATH)))
 
 
 def country_of(value: Column, names: dict[str, str], fold) -> Column:
@@ -170,9 +173,9 @@ def place(city: Column, country: Column) -> Column:
 
 def json_ld_postings(pages: DataFrame, portal: str, fetched_at, static: dict | None = None) -> DataFrame:
     """One listing a page (url, html): its first JSON-LD block of type JobPosting."""
-    blocks = F.transform(F.regexp_extract_all("html", F.lit(LD_SCRIPT), F.lit(1)), lambda b: F.try_parse_json(F.trim(b)))
+    blocks = F.transform(F.regexp_extract_all("html", F.lit(LINKED_DATA), F.lit(1)), lambda b: F.try_parse_json(F.trim(b)))
     posting = F.element_at(F.filter(blocks, lambda b: F.lower(F.try_variant_get(b, "$['@type']", "string")) == "jobposting"), 1)
-    rows = pages.select("url", F.when(F.size(F.filter(blocks, lambda b: b.isNotNull())) > 0, posting).alias("p"), F.monotonically_increasing_id().alias("item_ord")).where("p is not null")
+    rows = pages.select("url", F.when(F.size(F.filter(blocks, lambda b: b.isNotNull())) > 0, posting).alias("p"), item_order(F.monotonically_increasing_id()).alias("item_ord")).where("p is not null")
     string = lambda v, path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
     where = F.coalesce(F.try_variant_get("p", "$.jobLocation[0].address", "variant"), F.try_variant_get("p", "$.jobLocation.address", "variant"))
     country = country_of(string(where, "$.addressCountry"), COUNTRY_CODES, F.upper)
@@ -198,7 +201,7 @@ def _decoded(text: Column) -> Column:
 def form_positions(pages: DataFrame, portal: str, fetched_at, static: dict | None = None) -> DataFrame:
     """Listings from the JSON in a page's hidden field; the place from the department tree, the department or the
     work place, in this order; the company from the customer, else the department."""
-    doc = F.try_parse_json(_decoded(F.regexp_extract("html", FORM_FIELD, 1)))
+    doc = F.try_parse_json(_decoded(F.concat(F.regexp_extract("html", POSITIONS, 1), F.regexp_extract("html", POSITIONS, 2))))
     rows = pages.select(doc.alias("doc"), F.monotonically_increasing_id().alias("page")).where("doc is not null")
     items = F.try_variant_get("doc", "$.PositionList.Items", "array<variant>")
     rows = rows.select("doc", "page", F.posexplode(items).alias("at", "p"))
@@ -213,6 +216,6 @@ def form_positions(pages: DataFrame, portal: str, fetched_at, static: dict | Non
         get("$.ShortDescription").alias("description"),
         F.coalesce(get("$.AdvertisementUrl"), get("$.AdvertisementUrlSecure")).alias("url"),
         dates.epoch_in_slashes(get("$.Published")).alias("posted_at"),
-        (F.col("page") * 65536 + F.col("at")).alias("item_ord"),
+        item_order(F.col("page"), F.col("at")).alias("item_ord"),
     )
     return build_listings(rows, portal, fetched_at, static)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from listwright.operators import providers
 from listwright.sources import detect, files, pages, settings
-from listwright.sources.listing import enrich, gather
+from listwright.sources.listing import enrich, gather, item_order
 
 AT = "2024-02-01 00:00:00"
 
@@ -82,6 +82,16 @@ def test_form(spark):
     assert [str(r["posted_at"]) for r in got.orderBy("item_ord").collect()] == ["2024-01-01 00:00:00", "None", "None"]
 
 
+def test_gather_keeps_the_order_of_sources_at_any_partition_count(spark):
+    frames, want = [], []
+    for k, parts in enumerate((200, 3, 200)):
+        rows = spark.range(0, 800, 1, parts).selectExpr(f"concat('s{k}-', id) url", "cast(id as string) id")
+        frames.append(rows.withColumn("item_ord", item_order(F.monotonically_increasing_id(), F.lit(70_000))))
+        want += [f"s{k}-{i}" for i in range(800)]
+    got = gather(frames).orderBy("seq").collect()
+    assert [r["url"] for r in got] == want and len({r["seq"] for r in got}) == len(want)
+
+
 def test_gather_and_enrich(spark):
     base = spark.createDataFrame([("u1", "d", 0), ("u2", "", 1), ("u3", "x", 2)], "url string, description string, item_ord long")
     both = gather([base, base])
