@@ -426,10 +426,17 @@ SELECT source, page, item_id FROM n JOIN (SELECT source, page FROM w WHERE nth <
 BREAKER_SQL = """WITH c AS (SELECT (user_id % 50)::VARCHAR AS host, event_id AS seq, event_type NOT IN ('error', 'view', 'click') AS ok FROM events),
 i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY seq) AS island FROM c), f AS (SELECT *, (sum((NOT ok)::INT) OVER (PARTITION BY host, island ORDER BY seq))::BIGINT AS failures FROM i)
 SELECT host, seq, ok, failures, coalesce(max((failures >= 3)::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS skipped FROM f"""
-ENRICH_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id % 400 AS page_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 80) END AS description FROM documents),
-b AS (SELECT page_id, nullif({collapse(_html)}, '') AS body FROM pages WHERE page_id % 9 > 0),
-m AS (SELECT id, CASE WHEN body IS NULL THEN description WHEN trim(description) = '' THEN body ELSE description || ' ' || body END AS t FROM d LEFT JOIN b USING (page_id)) SELECT id, length(t) AS chars, md5(t) AS digest FROM m"""
 ENRICH_WHOLE_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id % (SELECT greatest(1, count(*)) FROM pages) AS page_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS description FROM documents),
 b AS (SELECT page_id, nullif({collapse(_html)}, '') AS body FROM pages WHERE page_id % 9 > 0),
 m AS (SELECT id, CASE WHEN body IS NULL THEN description WHEN trim(description) = '' THEN body ELSE description || ' ' || body END AS t FROM d LEFT JOIN b USING (page_id)) SELECT id, length(t) AS chars, md5(t) AS digest FROM m"""
 CAP_SQL = "SELECT p_partkey, p_partkey % 2 <> 0 AND CASE p_partkey % 3 WHEN 0 THEN p_size > 0 WHEN 1 THEN p_size = 10 ELSE false END AS capped FROM part"
+_body = _html.replace("(html, '<", "(coalesce(text, ''), '<")
+STREAMED_SQL = f"""SELECT run_id, state, phase, attempt::INT AS attempt, fetched_count, coalesce(deduped_count, 0) AS deduped_count, coalesce(shortlist_count, 0) AS shortlist_count,
+ coalesce(top_score, 0) AS top_score, rejected, events FROM ({FOLD_SQL})"""
+API_SQL = f"""WITH t AS (SELECT doc_id, source, {collapse(_body)} AS body FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0)
+SELECT substr(sha256('api:' || doc_id::VARCHAR), 1, 32) AS id, 'Post ' || doc_id AS title, nullif(trim(source), '') AS company, 'https://jobs.example/' || doc_id AS url, doc_id // 50 AS page, length(body) AS chars, md5(body) AS digest FROM t"""
+_gathered = " UNION ALL ".join(
+    f"SELECT {k} AS source_ord, '{t}/' || {key} AS url, row_number() OVER (ORDER BY 70000 - {key} % 9, {key}) AS place FROM {t}"
+    for k, (t, key) in enumerate((("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey")))
+)
+GATHER_SQL = f"SELECT *, true AS after_the_one_before FROM ({_gathered})"

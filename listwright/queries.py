@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listwright import oracles as O
@@ -16,8 +16,8 @@ from listwright.operators.dedupe import merge_groups
 from listwright.plans import sample
 from listwright.plans.search import dedupe_listings
 from listwright.plans.storage import written
-from listwright.sources import detect
-from listwright.sources.listing import enrich, stable_id
+from listwright.sources import detect, files
+from listwright.sources.listing import enrich, gather, item_order, stable_id
 from listwright.sources.pages import COUNTRY_CODES, country_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,18 +414,14 @@ def breaker_state(spark, d):
     return timeline.breaker_state(calls)
 
 
-@query(O.ENRICH_SQL)
+@query(O.ENRICH_WHOLE_SQL)
 def lookup_enrich(spark, d):
-    docs = sample.read(spark, d, "documents")
-    pages = sample.read(spark, d, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 9 > 0, F.col("html")).alias("html"))
-    rows = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), (F.col("doc_id") % 400).cast("string")).alias("url"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 80)).alias("description"))
-    out = enrich(rows, pages)
-    return out.select("id", F.length("description").cast("long").alias("chars"), F.md5("description").alias("digest"))
+    return lookup_enrich_whole(spark, d)
 
 
 @query(O.ENRICH_WHOLE_SQL)
 def lookup_enrich_whole(spark, d):
-    """As ``lookup_enrich``, with whole texts and every page."""
+    """Whole texts, each joined to one of all pages; a page's text goes after the description."""
     docs = sample.read(spark, d, "documents")
     pages = sample.read(spark, d, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.when(F.col("page_id") % 9 > 0, F.col("html")).alias("html"))
     key = F.col("doc_id") % F.lit(max(1, pages.count()))
@@ -442,7 +438,7 @@ def cap_heuristic(spark, d):
     return parts.select("p_partkey", capped.alias("capped"))
 
 
-@query(None)
+@query(O.STREAMED_SQL)
 def streamed_run_records(spark, d):
     """The fold of the run events by the streaming state machine, over the same events as ``run_state_fold``."""
     from listwright.streaming.runs import replay_run_records
@@ -450,6 +446,40 @@ def streamed_run_records(spark, d):
     return replay_run_records(sample.run_events(spark, sample.read(spark, d, "events")))
 
 
+@query(O.API_SQL)
+def api_listings(spark, d):
+    """Answers of a JSON API, 50 items each, built from all documents: whole texts come back through the mapping."""
+    docs = sample.read(spark, d, "documents")
+    item = F.struct(
+        F.struct(F.col("doc_id").cast("string").alias("id")).alias("meta"),
+        F.when(F.col("doc_id") % 7 > 0, F.concat(F.lit(" Post "), F.col("doc_id").cast("string"), F.lit(" "))).alias("name"),
+        F.struct(F.col("source").alias("label")).alias("employer"),
+        F.col("text").alias("body"),
+        F.when(F.col("doc_id") % 11 > 0, F.concat(F.lit("https://jobs.example/"), F.col("doc_id").cast("string"))).otherwise("not a url").alias("link"),
+    )
+    pages = docs.groupBy(F.floor(F.col("doc_id") / 50).alias("page")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("rows"))
+    answer = F.to_json(F.struct(F.struct(F.col("rows.i").alias("items")).alias("data")))
+    mapping = {"items_path": "data.items", "id": "meta.id", "title": "name", "company": "employer.label", "description": "body", "url": "link"}
+    rows = files.payload_listings(pages.select(F.try_parse_json(answer).alias("doc"), "page"), mapping, "api", NOW)
+    return rows.select("id", "title", "company", "url", F.col("item_ord.page").alias("page"), F.length("description").cast("long").alias("chars"), F.md5("description").alias("digest"))
+
+
+@query(O.GATHER_SQL)
+def gathered_order(spark, d):
+    """Three sources of many partitions each: the place of every item within its source by the order that gather gives."""
+    frames = []
+    for table, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey")):
+        rows = sample.read(spark, d, table).select(F.concat(F.lit(f"{table}/"), F.col(key).cast("string")).alias("url"), item_order(F.lit(70_000) - F.col(key) % 9, F.col(key)).alias("item_ord"))
+        frames.append(rows.repartition(200, "url"))
+    place = F.row_number().over(Window.partitionBy("source_ord").orderBy("seq"))
+    rows = gather(frames)
+    low = rows.groupBy("source_ord").agg(F.min("seq").alias("least"), F.max("seq").alias("most"))
+    before = low.select((F.col("source_ord") + 1).alias("source_ord"), F.col("most").alias("earlier"))
+    # one row a source
+    apart = low.join(before, "source_ord", "left").select("source_ord", F.coalesce(F.col("least") > F.col("earlier"), F.lit(True)).alias("after_the_one_before"))
+    return rows.select("source_ord", "url", place.cast("long").alias("place")).join(apart, "source_ord")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings deduped, scored, classified, and the best of them."""
     kept = dedupe_listings(sample.listings(spark, sf_dir))[0]
