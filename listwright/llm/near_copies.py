@@ -5,8 +5,9 @@ their bits on average, so signatures of any width that is affordable miss a part
 wildcard bit a segment (see ``simhash``) therefore come first and link what is close. What they can't reach is
 completed by prefix filtering: shingles are put in one order over the corpus, frequent ones last, and two sets as
 similar as ``SIMILAR`` share one of the first few of each. Either way wide fingerprints, then the shingles themselves
-verify a pair. A large group of a key is searched from a few pivots at a time, in rounds: members that a round has
-linked aren't compared with each other again.
+verify a pair. A large group of a key is searched from a few random pivots at a time, in rounds: members that a round
+has linked aren't compared with each other again, and a group's largest class gives no pivots. Rows of a group are
+dealt to tasks in blocks of bounded size, the round's pivots to each of them.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ SIMILAR = (4, 5)
 LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Documents that tell which shingles are frequent, and how many of these are put last; the order changes the cost only.
 ORDER_SAMPLE, ORDER_FREQUENT, ORDER_LEAST = 4000, 1 << 17, 3
-#: The first round of either search takes one pivot a group. Then groups up to this size are compared at once, larger
-#: ones from that many pivots, four times as many each round.
-SMALL_GROUP, PIVOTS = 32, 8
+#: The first round of either search takes one pivot a group. Then groups with up to so many rows outside their largest
+#: class are compared at once, others from about that many pivots, 16 times as many each round up to the third number.
+SMALL_GROUP, PIVOTS, MOST_PIVOTS = 64, 64, 1 << 14
+#: Rows of a group that one task gets, about, beside the pivots.
+BLOCK = 20_000
 #: Partners of a text that one task verifies.
 PARTNERS = 256
 
@@ -137,32 +140,25 @@ def _shared(batches):
         yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
 
 
-def _candidates(turn: int):
-    """Rows (a, b) of pairs to verify, and rows (lw_key, lw_node) of what later turns have to look at."""
-
-    def pairs(batches):
-        for table in whole_groups(batches, 20_000):
-            keys, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_key", "lw_node", "lw_root", "lw_size"))
-            marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(keys), -1)
-            starts, sizes = _runs(keys)
-            two = starts[sizes == 2]
-            near = two[(roots[two] != roots[two + 1]) & _maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
-            out, later = [(nodes[near], nodes[near + 1])], []
-            for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                if (roots[s : s + m] == roots[s]).all():
-                    continue
-                pivots = 1 if not turn else m if m <= SMALL_GROUP else min(m, PIVOTS << 2 * turn)
-                for i in range(s, s + pivots):
-                    others = slice(i + 1, s + m)
-                    found = nodes[others][(roots[others] != roots[i]) & _maybe(size[i], marks[i], size[others], marks[others])]
-                    out.append((np.full(len(found), nodes[i]), found))
-                later.append(np.arange(s + pivots, s + m))
-            a, b = (np.concatenate(x) for x in zip(*out))
-            rest = np.concatenate([np.zeros(0, np.int64), *later])
-            found = pa.array(np.concatenate((a, keys[rest]))), pa.array(np.concatenate((b, nodes[rest])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a) + len(rest)) < len(a)), *found], names=["lw_pair", "a", "b"])
-
-    return pairs
+def _candidates(batches):
+    """Pairs (a, b) to verify: pivots and the block's own rows, of different classes."""
+    for table in whole_groups(batches, 20_000):
+        deals, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_deal", "lw_node", "lw_root", "lw_size"))
+        home, pivot = (table.column(c).to_numpy() for c in ("lw_home", "lw_pivot"))
+        marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(deals), -1)
+        starts, sizes = _runs(deals)
+        two = starts[sizes == 2]
+        two = two[(roots[two] != roots[two + 1]) & (pivot[two] | pivot[two + 1])]
+        near = two[_maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
+        out = [(nodes[near], nodes[near + 1])]
+        for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            own = s + np.flatnonzero(home[s : s + m])
+            own_nodes, own_roots, own_size, own_marks = nodes[own], roots[own], size[own], marks[own]
+            for i in (s + np.flatnonzero(pivot[s : s + m])).tolist():
+                found = own_nodes[(own_roots != roots[i]) & _maybe(size[i], marks[i], own_size, own_marks)]
+                out.append((np.full(len(found), nodes[i]), found))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _verified(batches):
@@ -195,33 +191,72 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, links, roots, turn: int):
-    """One round over the groups of ``postings`` (lw_key, lw_node): (links, roots) so far and what later rounds have to
-    look at."""
-    rows = postings.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node")
-    if roots is None:
-        rows = rows.withColumn("lw_root", F.col("lw_node"))
+def _turn(postings: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
+    """Rows (lw_key, lw_node, lw_root) of the groups of ``postings`` that still hold several classes, with the group's
+    size, whether the row is a pivot of this turn and whether the group has to be looked at again after it."""
+    rows = postings.withColumn("lw_root", F.col("lw_node"))
+    if roots is not None:
+        known = roots.select(F.col("node").alias("lw_node"), "root")
+        rows = postings.join(known, "lw_node", "left").select("lw_key", "lw_node", F.coalesce("root", "lw_node").alias("lw_root"))
+    classes = rows.groupBy("lw_key", "lw_root").agg(F.count("*").alias("n"), F.min("lw_node").alias("least"))
+    groups = classes.groupBy("lw_key").agg(F.sum("n").alias("lw_rows"), F.max(F.struct("n", "lw_root")).alias("top"), F.min("least").alias("lw_least"))
+    others = F.col("lw_rows") - F.col("top.n")
+    groups = groups.where(others > 0).select("lw_key", "lw_rows", "lw_least", others.alias("lw_others"), F.col("top.lw_root").alias("lw_top"))
+    if turn == 0:
+        pivot, more = F.col("lw_node") == F.col("lw_least"), F.col("lw_rows") > 2
     else:
-        rows = rows.join(roots.select(F.col("node").alias("lw_node"), "root"), "lw_node", "left").withColumn("lw_root", F.coalesce("root", "lw_node"))
-    dealt = rows.select("lw_key", "lw_node", "lw_root", "lw_size", "lw_wide").repartition("lw_key").sortWithinPartitions("lw_key", "lw_node")
-    found = materialize(dealt.mapInArrow(_candidates(turn), "lw_pair boolean, a bigint, b bigint"), "turn")
-    pairs = materialize(found.where("lw_pair").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    left = materialize(found.where("not lw_pair").select(F.col("a").alias("lw_key"), F.col("b").alias("lw_node")), "left")
-    new = _verify(docs, nodes, pairs)
-    both = new if links is None else materialize(links.unionByName(new), "links")
-    now = materialize(components(both), "roots")
-    discard(postings, found, pairs, *([] if links is None else [links, new, roots]))
-    return both, now, left
+        most = min(PIVOTS << 4 * (turn - 1), MOST_PIVOTS)
+        more = F.col("lw_others") > max(SMALL_GROUP, most)
+        drawn = F.pmod(F.xxhash64("lw_node", "lw_key", F.lit(turn)), F.ceil(F.col("lw_others") / F.lit(most))) == 0
+        pivot = (F.col("lw_root") != F.col("lw_top")) & (~more | drawn)
+    sized = rows.join(groups, "lw_key").select("lw_key", "lw_node", "lw_root", "lw_rows", pivot.alias("lw_pivot"), more.alias("lw_more"))
+    return materialize(sized, "turn")
+
+
+def _pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct pairs to verify of a turn's ``rows``, a group's rows dealt in blocks and its pivots to every block."""
+    blocks = F.ceil(F.col("lw_rows") / F.lit(BLOCK))
+    own = F.pmod(F.xxhash64("lw_node"), blocks)
+    marked = rows.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node").withColumn("lw_own", own)
+    dealt = marked.withColumn("lw_block", F.explode(F.when(F.col("lw_pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("lw_own"))))
+    dealt = dealt.select(
+        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_root", "lw_size", "lw_wide", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
+    )
+    found = dealt.repartition("lw_deal").sortWithinPartitions("lw_deal").mapInArrow(_candidates, "a bigint, b bigint")
+    return materialize(found.distinct(), "pairs")
+
+
+def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) after more ``links``. Only classes that a link joins are gone through again."""
+    if roots is None:
+        return materialize(components(links), "roots")
+    side = roots.select("node", "root")
+    links = links.join(side.toDF("a", "root_a"), "a", "left").join(side.toDF("b", "root_b"), "b", "left")
+    new = components(links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    # a node of ``new`` was a root or had no link, so it is no node of ``roots``
+    moved = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+    return materialize(moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(new), "roots")
+
+
+def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFrame | None, turn: int):
+    """One round over the groups of ``postings`` (lw_key, lw_node): roots so far and what later rounds have to look at."""
+    rows = _turn(postings, roots, turn)
+    pairs = _pairs(nodes, rows)
+    left = materialize(rows.where("lw_more and not lw_pivot").select("lw_key", "lw_node"), "left")
+    links = _verify(docs, nodes, pairs)
+    now = _joined(links, roots)
+    discard(postings, rows, pairs, links, *([] if roots is None else [roots]))
+    return now, left
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, signed: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, root) over all pairs of ``nodes`` that are similar and share a key; ``docs`` has their texts. One round
     over the ``signed`` keys, then rounds over the ``shared`` ones until no group is left."""
-    links, roots, left = _round(docs, nodes, signed, None, None, 0)
+    roots, left = _round(docs, nodes, signed, None, 0)
     discard(left)
     turn, left = 0, shared
     while turn == 0 or not left.isEmpty():
-        links, roots, left = _round(docs, nodes, left, links, roots, turn)
+        roots, left = _round(docs, nodes, left, roots, turn)
         turn += 1
     return roots
 

@@ -84,3 +84,11 @@ def test_odd_rows(docs, corpus, clashing, nothing):
     assert sorted(str(r["doc_id"]) for r in N.drop_near_copies(docs).collect()) == brute_kept(corpus)
     assert N.drop_near_copies(clashing).columns == clashing.columns
     assert N.drop_near_copies(nothing).count() == 0
+
+
+def test_groups_in_blocks(spark, copies, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "SMALL_GROUP", 1)
+    monkeypatch.setattr(N, "PIVOTS", 2)
+    got = sorted(str(r["doc_id"]) for r in N.drop_near_copies(spark.createDataFrame(copies, SCHEMA)).collect())
+    assert got == brute_kept(copies)
