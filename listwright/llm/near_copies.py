@@ -2,8 +2,8 @@
 
 SimHash distance and similarity go together only loosely: at a Jaccard similarity of 0.8 fingerprints differ in 15 % of
 their bits on average, so signatures of any width that is affordable miss a part of such pairs. Signatures with one
-wildcard bit a segment (see ``simhash``) therefore come first and link what is close. What they can't reach is
-completed by prefix filtering: shingles are put in one order over the corpus, frequent ones last, and two sets as
+wildcard bit a segment (see ``simhash``) link what is close, in the first round. What they can't reach is completed by
+prefix filtering: shingles are put in one order over the corpus, frequent ones last, and two sets as
 similar as ``SIMILAR`` share one of the first few of each. Either way wide fingerprints, then the shingles themselves
 verify a pair. A large group of a key is searched from a few random pivots at a time, in rounds: members that a round
 has linked aren't compared with each other again, and a group's largest class gives no pivots. Rows of a group are
@@ -13,6 +13,7 @@ dealt to tasks in blocks of bounded size, the round's pivots to each of them.
 from __future__ import annotations
 
 import math
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -134,10 +135,18 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches):
-    """Keys that more than one text has."""
-    for table in whole_groups(batches, 20_000):
-        starts, sizes = _runs(table.column(0).to_numpy())
-        yield from table.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
+    """Keys that more than one text has: rows sorted by key, each held until the next one is seen."""
+    last, held, shown = None, None, False
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        before = np.concatenate(([False if last is None else keys[0] == last], keys[1:] == keys[:-1]))
+        if before[0] and not shown:
+            yield held
+        keep = before | np.concatenate((before[1:], [False]))
+        yield batch.filter(pa.array(keep))
+        last, held, shown = keys[-1], batch.slice(len(keys) - 1), bool(keep[-1])
 
 
 def _candidates(batches):
@@ -242,23 +251,21 @@ def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFr
     """One round over the groups of ``postings`` (lw_key, lw_node): roots so far and what later rounds have to look at."""
     rows = _turn(postings, roots, turn)
     pairs = _pairs(nodes, rows)
-    left = materialize(rows.where("lw_more and not lw_pivot").select("lw_key", "lw_node"), "left")
+    left = materialize(rows.where("lw_more and not lw_pivot and lw_key % 2 <> 0").select("lw_key", "lw_node"), "left")
     links = _verify(docs, nodes, pairs)
     now = _joined(links, roots)
     discard(postings, rows, pairs, links, *([] if roots is None else [roots]))
     return now, left
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, signed: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, root) over all pairs of ``nodes`` that are similar and share a key; ``docs`` has their texts. One round
-    over the ``signed`` keys, then rounds over the ``shared`` ones until no group is left."""
-    roots, left = _round(docs, nodes, signed, None, 0)
-    discard(left)
-    turn, left = 0, shared
-    while turn == 0 or not left.isEmpty():
+def similar_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, root) over all pairs of ``nodes`` that are similar and share a completing key; ``docs`` has their texts.
+    One round over all keys of ``shared``, then rounds over the completing ones until no group is left."""
+    roots, left = _round(docs, nodes, shared, None, 0)
+    for turn in count(1):
+        if left.isEmpty():
+            return roots
         roots, left = _round(docs, nodes, left, roots, turn)
-        turn += 1
-    return roots
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,20 +288,19 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
             wide = [wide_print(h) for h in sets]
             cols = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(wide, pa.binary())]
-            for keys in ([signatures(w).view(np.int64) for w in wide], [prefix(h, *order.value).view(np.int64) for h in sets]):
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))))
-            yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_text_hash"), *cols], names=["lw_id", "lw_text_hash", "lw_node", "lw_size", "lw_wide", "lw_signed", "lw_keys"])
+            # signatures are even, the completing keys odd
+            keys = [np.concatenate((signatures(w) & ~np.uint64(1), prefix(h, *order.value) | np.uint64(1))).view(np.int64) for w, h in zip(wide, sets)]
+            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))))
+            yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_text_hash"), *cols], names=["lw_id", "lw_text_hash", "lw_node", "lw_size", "lw_wide", "lw_keys"])
 
-    schema = f"lw_id {kind}, lw_text_hash bigint, lw_node bigint, lw_size bigint, lw_wide binary, lw_signed array<bigint>, lw_keys array<bigint>"
+    schema = f"lw_id {kind}, lw_text_hash bigint, lw_node bigint, lw_size bigint, lw_wide binary, lw_keys array<bigint>"
     prints = materialize(hashes.mapInArrow(keyed, schema), "prints")
     nodes = materialize(prints.dropDuplicates(["lw_node"]).drop("lw_id"), "nodes")
 
-    def shared(keys):
-        postings = nodes.select(F.explode(keys).alias("lw_key"), "lw_node").repartition("lw_key").sortWithinPartitions("lw_key")
-        return materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint"), "shared")
-
-    roots = similar_links(hashes, nodes, shared("lw_signed"), shared("lw_keys"))
+    postings = nodes.select(F.explode("lw_keys").alias("lw_key"), "lw_node").repartition("lw_key").sortWithinPartitions("lw_key")
+    shared = materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint"), "shared")
+    roots = similar_links(hashes, nodes, shared)
     classes = prints.select("lw_id", "lw_text_hash", "lw_node").join(roots, F.col("lw_node") == F.col("node"), "left")
     first = classes.groupBy(F.coalesce("root", "lw_node")).agg(F.min(F.struct(F.col("lw_id").isNull(), "lw_id", "lw_text_hash")).alias("k"))
     keep = materialize(first.select(F.col("k.lw_id").alias("lw_kept"), F.col("k.lw_text_hash").alias("lw_kept_hash")).distinct(), "kept")
