@@ -23,6 +23,8 @@ SHINGLE_WORDS = 4
 HASH_SEED = 42
 MAX_BITS = 4
 SEGMENTS = MAX_BITS // 2 + 1
+#: Links that one task contracts at once before the stars.
+CONTRACTED = 1 << 18
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -129,10 +131,47 @@ def near_links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "a bigint, b bigint").distinct()
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least node reachable over the links given) of all nodes but the least ones themselves."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    least = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
+        a, b = least[a], least[b]
+        a, b = a[a != b], b[a != b]
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[moved], nodes[least[moved]]
+
+
+def _contracted(batches):
+    """A task's links contracted to stars, ``CONTRACTED`` of them at a time."""
+    held, rows = [], 0
+
+    def stars():
+        a, b = least_reachable(*(np.concatenate([h.column(c).to_numpy() for h in held]) for c in ("a", "b")))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CONTRACTED:
+            yield stars()
+            held, rows = [], 0
+    if rows:
+        yield stars()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node that has a link, root being the least node reachable: large and small stars in turn,
-    each round a written table, until every class is one star."""
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    """(node, root) for every node that has a link, root being the least node reachable. Tasks contract bounded runs of
+    links to stars; large and small stars then join these in turn, each round a written table, until every class is
+    one star."""
+    given = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "given")
+    runs = given.coalesce(1 + given.count() // CONTRACTED)
+    links = materialize(runs.mapInArrow(_contracted, "a bigint, b bigint").distinct(), "links")
+    discard(given)
     for k in count():
         if _are_stars(links):
             break

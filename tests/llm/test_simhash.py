@@ -93,6 +93,30 @@ def test_chains_are_followed(spark):
         assert found.get(a, a) == of[a]
 
 
+def test_components_over_several_runs_of_links(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = rng.sample(range(10**6), 300)
+    links = list(zip(chain, chain[1:])) + [(rng.randrange(2 * 10**6, 2 * 10**6 + 400), rng.randrange(2 * 10**6, 2 * 10**6 + 400)) for _ in range(150)]
+    links += [(3 * 10**6 + k, 3 * 10**6) for k in range(100)] + links[:20] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in root if find(x) != x}
+    df = spark.createDataFrame(links, "a long, b long")
+    for run in (1 << 18, 60):  # all links in one run; ten runs and rounds of stars after them
+        monkeypatch.setattr(S, "CONTRACTED", run)
+        found = [(r["node"], r["root"]) for r in S.components(df).collect()]
+        assert len(found) == len(dict(found)) and dict(found) == want
+    assert S.components(df.limit(0)).count() == 0
+
+
 def test_drop(docs, corpus, clashing, nothing):
     prints = {i: brute_print(t) for i, t, *_ in corpus}
     of = classes(set(map(brute_print, [r[1] for r in corpus])))
