@@ -4,7 +4,8 @@ SimHash distance and similarity go together only loosely: at a Jaccard similarit
 their bits on average, so signatures of any width that is affordable miss a part of such pairs. Signatures with one
 wildcard bit a segment (see ``simhash``) link what is close, in the first round. What they can't reach is completed by
 prefix filtering: shingles are put in one order over the corpus, frequent ones last, and two sets as
-similar as ``SIMILAR`` share one of the first few of each. Either way wide fingerprints, then the shingles themselves
+similar as ``SIMILAR`` share one of the first few of each; what follows their first common one must be enough for that
+similarity, so texts of their own that end in the same common passage make no pairs. Either way wide fingerprints, then the shingles themselves
 verify a pair. A large group of a key is searched from a few random pivots at a time, in rounds: members that a round
 has linked aren't compared with each other again, and a group's largest class gives no pivots. Rows of a group are
 dealt to tasks in blocks of bounded size, the round's pivots to each of them.
@@ -100,6 +101,13 @@ def _maybe(size_a, sketch_a, size_b, sketch_b):
     return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (apart <= most_bits(size_a, size_b))
 
 
+def _enough(size_a, reach_a, size_b, reach_b):
+    """False where two sets can't be similar if the key at hand is their first common one: each has ``reach`` shingles
+    from there on. A similar pair passes at its first common key, so each pair need only pass at one of its keys."""
+    num, den = SIMILAR
+    return (num + den) * np.minimum(reach_a, reach_b) >= num * (size_a + size_b)
+
+
 _MASKS = np.array(wildcard_masks(), np.int64).view(np.uint64)
 
 
@@ -153,18 +161,20 @@ def _candidates(batches):
     """Pairs (a, b) to verify: pivots and the block's own rows, of different classes."""
     for table in whole_groups(batches, 20_000):
         deals, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_deal", "lw_node", "lw_root", "lw_size"))
-        home, pivot = (table.column(c).to_numpy() for c in ("lw_home", "lw_pivot"))
+        home, pivot, reach = (table.column(c).to_numpy() for c in ("lw_home", "lw_pivot", "lw_reach"))
         marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(deals), -1)
         starts, sizes = _runs(deals)
         two = starts[sizes == 2]
         two = two[(roots[two] != roots[two + 1]) & (pivot[two] | pivot[two + 1])]
+        two = two[_enough(size[two], reach[two], size[two + 1], reach[two + 1])]
         near = two[_maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
         out = [(nodes[near], nodes[near + 1])]
         for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             own = s + np.flatnonzero(home[s : s + m])
-            own_nodes, own_roots, own_size, own_marks = nodes[own], roots[own], size[own], marks[own]
+            own_nodes, own_roots, own_size, own_reach, own_marks = nodes[own], roots[own], size[own], reach[own], marks[own]
             for i in (s + np.flatnonzero(pivot[s : s + m])).tolist():
-                found = own_nodes[(own_roots != roots[i]) & _maybe(size[i], marks[i], own_size, own_marks)]
+                some = np.flatnonzero((own_roots != roots[i]) & _enough(size[i], reach[i], own_size, own_reach))
+                found = own_nodes[some[_maybe(size[i], marks[i], own_size[some], own_marks[some])]]
                 out.append((np.full(len(found), nodes[i]), found))
         a, b = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -201,12 +211,12 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _turn(postings: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
-    """Rows (lw_key, lw_node, lw_root) of the groups of ``postings`` that still hold several classes, with the group's
+    """Rows (lw_key, lw_node, lw_reach, lw_root) of the groups of ``postings`` that still hold several classes, with the group's
     size, whether the row is a pivot of this turn and whether the group has to be looked at again after it."""
     rows = postings.withColumn("lw_root", F.col("lw_node"))
     if roots is not None:
         known = roots.select(F.col("node").alias("lw_node"), "root")
-        rows = postings.join(known, "lw_node", "left").select("lw_key", "lw_node", F.coalesce("root", "lw_node").alias("lw_root"))
+        rows = postings.join(known, "lw_node", "left").select("lw_key", "lw_node", "lw_reach", F.coalesce("root", "lw_node").alias("lw_root"))
     classes = rows.groupBy("lw_key", "lw_root").agg(F.count("*").alias("n"), F.min("lw_node").alias("least"))
     groups = classes.groupBy("lw_key").agg(F.sum("n").alias("lw_rows"), F.max(F.struct("n", "lw_root")).alias("top"), F.min("least").alias("lw_least"))
     others = F.col("lw_rows") - F.col("top.n")
@@ -218,7 +228,7 @@ def _turn(postings: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
         more = F.col("lw_others") > max(SMALL_GROUP, most)
         drawn = F.pmod(F.xxhash64("lw_node", "lw_key", F.lit(turn)), F.ceil(F.col("lw_others") / F.lit(most))) == 0
         pivot = (F.col("lw_root") != F.col("lw_top")) & (~more | drawn)
-    sized = rows.join(groups, "lw_key").select("lw_key", "lw_node", "lw_root", "lw_rows", pivot.alias("lw_pivot"), more.alias("lw_more"))
+    sized = rows.join(groups, "lw_key").select("lw_key", "lw_node", "lw_reach", "lw_root", "lw_rows", pivot.alias("lw_pivot"), more.alias("lw_more"))
     return materialize(sized, "turn")
 
 
@@ -229,7 +239,7 @@ def _pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     marked = rows.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node").withColumn("lw_own", own)
     dealt = marked.withColumn("lw_block", F.explode(F.when(F.col("lw_pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("lw_own"))))
     dealt = dealt.select(
-        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_root", "lw_size", "lw_wide", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
+        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_reach", "lw_root", "lw_size", "lw_wide", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
     )
     found = dealt.repartition("lw_deal").sortWithinPartitions("lw_deal").mapInArrow(_candidates, "a bigint, b bigint")
     return materialize(found.distinct(), "pairs")
@@ -248,10 +258,10 @@ def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFrame | None, turn: int):
-    """One round over the groups of ``postings`` (lw_key, lw_node): roots so far and what later rounds have to look at."""
+    """One round over the groups of ``postings`` (lw_key, lw_node, lw_reach): roots so far and what later rounds have to look at."""
     rows = _turn(postings, roots, turn)
     pairs = _pairs(nodes, rows)
-    left = materialize(rows.where("lw_more and not lw_pivot and lw_key % 2 <> 0").select("lw_key", "lw_node"), "left")
+    left = materialize(rows.where("lw_more and not lw_pivot and lw_key % 2 <> 0").select("lw_key", "lw_node", "lw_reach"), "left")
     links = _verify(docs, nodes, pairs)
     now = _joined(links, roots)
     discard(postings, rows, pairs, links, *([] if roots is None else [roots]))
@@ -295,11 +305,17 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("lw_id"), batch.column("lw_text_hash"), *cols], names=["lw_id", "lw_text_hash", "lw_node", "lw_size", "lw_wide", "lw_keys"])
 
     schema = f"lw_id {kind}, lw_text_hash bigint, lw_node bigint, lw_size bigint, lw_wide binary, lw_keys array<bigint>"
-    prints = materialize(hashes.mapInArrow(keyed, schema), "prints")
-    nodes = materialize(prints.dropDuplicates(["lw_node"]).drop("lw_id"), "nodes")
-
-    postings = nodes.select(F.explode("lw_keys").alias("lw_key"), "lw_node").repartition("lw_key").sortWithinPartitions("lw_key")
-    shared = materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint"), "shared")
+    keys = materialize(hashes.mapInArrow(keyed, schema), "keys")
+    prints = materialize(keys.drop("lw_keys"), "prints")
+    own = materialize(keys.dropDuplicates(["lw_node"]).select("lw_text_hash", "lw_node", "lw_size", "lw_wide", "lw_keys"), "own")
+    discard(keys)
+    postings = own.select(F.posexplode("lw_keys").alias("lw_at", "lw_key"), "lw_node", "lw_size")
+    # a signature says nothing on where two sets begin to agree, so all of a set is in reach there
+    postings = postings.select("lw_key", "lw_node", (F.col("lw_size") - F.greatest(F.lit(0), F.col("lw_at") - len(_MASKS))).cast("int").alias("lw_reach"))
+    postings = postings.repartition("lw_key").sortWithinPartitions("lw_key")
+    shared = materialize(postings.mapInArrow(_shared, "lw_key bigint, lw_node bigint, lw_reach int"), "shared")
+    nodes = materialize(own.drop("lw_keys"), "nodes")
+    discard(own)
     roots = similar_links(hashes, nodes, shared)
     classes = prints.select("lw_id", "lw_text_hash", "lw_node").join(roots, F.col("lw_node") == F.col("node"), "left")
     first = classes.groupBy(F.coalesce("root", "lw_node")).agg(F.min(F.struct(F.col("lw_id").isNull(), "lw_id", "lw_text_hash")).alias("k"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -80,6 +81,23 @@ def test_group_size_and_order_do_not_matter(spark, copies, monkeypatch):
     assert got == brute_kept(copies)
 
 
+def test_similar_sets_have_enough_after_their_first_common_shingle():
+    rng = random.Random(43)
+    passed = 0
+    frequent, ranks = np.arange(100, dtype=np.uint64), np.arange(100, 0, -1)
+    for _ in range(3000):
+        both = set(rng.sample(range(1000), rng.randint(1, 60)))
+        a, b = (np.array(sorted(both | set(rng.sample(range(1000), rng.randint(0, 12)))), np.uint64) for _ in range(2))
+        p, q = N.prefix(a, frequent, ranks).tolist(), N.prefix(b, frequent, ranks).tolist()
+        common = [x for x in p if x in q]
+        if N.similar(set(a.tolist()), set(b.tolist())):
+            passed += 1
+            assert common and N._enough(len(a), len(a) - p.index(common[0]), len(b), len(b) - q.index(common[0]))
+    assert passed > 300
+    # four fifths of one passage at the end of texts of their own: the first common shingle comes too late
+    assert not N._enough(100, 80, 100, 80) and N._enough(100, 89, 100, 89)
+
+
 def test_odd_rows(docs, corpus, clashing, nothing):
     assert sorted(str(r["doc_id"]) for r in N.drop_near_copies(docs).collect()) == brute_kept(corpus)
     assert N.drop_near_copies(clashing).columns == clashing.columns
