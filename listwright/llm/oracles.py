@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from listwright.llm.chat import ChatTemplate, _by_first
 from listwright.llm.mixing import MixPlan
+from listwright.llm.negatives import MiningPlan
 from listwright.llm.quality import QualityRules
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -70,4 +71,14 @@ x AS (SELECT source, (f + mean * strength) / (n + strength) > {rules.max_host_ra
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT own_failed AND NOT coalesce(rejected, false) AS kept FROM v LEFT JOIN x ON v.source = x.source"""
 
 
-ORACLES = {"op2_source_mix": mix_sql(), "op4_chat_format": chat_sql(), "op10_host_quality": quality_sql()}
+def negatives_sql(plan: MiningPlan = MiningPlan()) -> str:
+    best = "ORDER BY score DESC, vec_id NULLS LAST"
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor({plan.scale} * c::DOUBLE)) AS q FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS MATERIALIZED (SELECT a.rid, a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, a.rid = r.rid AS own, list_inner_product(a.q, r.q)::BIGINT AS score FROM v a, v r WHERE a.vec_id % {plan.every} = 0),
+p AS (SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER o AS place FROM s WHERE same AND NOT own WINDOW o AS (PARTITION BY rid {best}) QUALIFY place <= {plan.positives})
+SELECT p.anchor_id, positive_id, (row_number() OVER o)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (rid)
+ WHERE NOT same AND {plan.low} * positive_score <= 100 * score AND 100 * score <= {plan.high} * positive_score WINDOW o AS (PARTITION BY rid, place {best}) QUALIFY rank <= {plan.negatives}"""
+
+
+ORACLES = {"op2_source_mix": mix_sql(), "op4_chat_format": chat_sql(), "op10_host_quality": quality_sql(), "op13_hard_negatives": negatives_sql()}

@@ -120,6 +120,37 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *measures, F.col("lw_base_failed").alias("base_failed"), F.col("lw_kept").alias("kept"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listwright.llm.urls import UrlPlan, UrlRule, judge_urls
+
+    rules = (
+        UrlRule("allow", "org", "/"),
+        UrlRule("block", "example.org", "/es/"),
+        UrlRule("block", "example.org", "/en/1"),
+        UrlRule("allow", "com", "/fr/"),
+        UrlRule("block", "com", "/de/"),
+    )
+    pages = _read(spark, sf_dir, "pages")
+    judged = judge_urls(pages.select("page_id", "url"), pages.select("html"), plan=UrlPlan(rules=rules))
+    given = [F.col(f"lw_{c}").alias(c) for c in ("host", "path", "rule", "verdict")]
+    return judged.select("lw_own.page_id", *given, F.array_join("lw_words", " ").alias("host_words"), F.col("lw_score").alias("score"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listwright.llm.whitening import whiten
+
+    names = ("component", "n", "deviation", "whitened", "explained", "identity_error")
+    return whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("lw_own.vec_id", *[F.col(f"lw_{c}").alias(c) for c in names])
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from listwright.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    names = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return hard_negatives(_read(spark, sf_dir, "embeddings"), label).select(*[F.col(f"lw_{c}").alias(c) for c in names])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -139,6 +170,9 @@ QUERIES = {
         op8_toxicity,
         op9_language,
         op10_host_quality,
+        op11_url_filter,
+        op12_whitening,
+        op13_hard_negatives,
         pipeline,
     )
 }
