@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from listwright.functions import text as T
+from listwright.functions.entities import NAMED
 from listwright.operators import score as S
 from listwright.operators.history import EXAMPLE_CAPS
 from listwright.operators.profile import Profile, Ranking
@@ -97,10 +98,27 @@ TITLES = [
 TITLES_SQL = f"""WITH {LISTINGS}, b AS (SELECT seq, title, description FROM l UNION ALL SELECT * FROM {values([(-1 - i, t, x) for i, (t, x) in enumerate(TITLES)], "seq, title, description")})
 SELECT seq, {seniority("title", "description")} AS seniority, {off_title("title")} AS off_title, {remote_mode("concat_ws(' ', title, description)")} AS remote_mode FROM b"""
 
-_html = "regexp_replace(regexp_replace(html, '<[^>]*(>|$)', ' ', 'g'), '>', '', 'g')"
-for _entity, _char in T.HTML_ENTITIES.items():
-    _html = f"replace({_html}, {q(_entity)}, {q(_char)})"
-HTML_SQL = f"SELECT page_id, coalesce({collapse(_html)}, '') AS text FROM pages"
+MARKUP = [
+    "K&oslash;benhavn &#248; &#xF8; &#XF8; &bogus; &oslash &;", "a&amp;lt;b &amp;amp; &lt;i&gt; &#38;amp;", "&#0065;&#x00041; &#1114112; &#xD800; &#x1F600;|&#128512;", "<p>R&D</p> A&&amp;B &#; &#x; &#12a;",
+    "&Eacute;t&eacute;&nbsp;&nbsp;&euro;5 &AElig;&aelig;", "&apos;&quot;&#39; &Amp; &EACUTE;", None, "", "&", "x &copy", "<b>&lt;</b>b&gt", "&#9;&#10;&#160;&#8232;end", "&thetasym;&Dagger;&sup2;&frac12;",
+]
+_names = "MAP {" + ", ".join(f"{q(k)}: chr({ord(v)})" for k, v in NAMED.items()) + "}"
+_number = "CASE WHEN regexp_matches(r, '^#[xX]') THEN ('0x' || r[3:])::BIGINT WHEN r[1] = '#' THEN r[2:]::BIGINT END"
+
+
+def decoded(x: str) -> str:
+    return f"""array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE list_transform([regexp_extract(p, '^(#0*[0-9]{{1,7}}|#[xX]0*[0-9a-fA-F]{{1,6}}|[A-Za-z][A-Za-z0-9]*);', 1)], lambda r:
+ coalesce(CASE WHEN r = '' THEN NULL WHEN r[1] = '#' THEN CASE WHEN {_number} BETWEEN 55296 AND 57343 OR {_number} > 1114111 THEN NULL ELSE chr(({_number})::INTEGER) END ELSE ({_names})[r] END || p[length(r) + 2:], '&' || p))[1] END), '')"""
+
+
+def shown(x: str) -> str:
+    """The text of markup, white space of any kind collapsed."""
+    plain = f"regexp_replace(regexp_replace({x}, '<[^>]*(>|$)', ' ', 'g'), '>', '', 'g')"
+    return rf"trim(regexp_replace({decoded(plain)}, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+
+
+HTML_SQL = f"""WITH b AS (SELECT page_id, html FROM pages UNION ALL SELECT * FROM {values([(-1 - i, m) for i, m in enumerate(MARKUP)], "page_id, html")})
+SELECT page_id, coalesce({shown("html")}, '') AS text FROM b"""
 
 URLS = ["HTTPS://Example.com/A/b/?Q=1#frag", "http://example.com:80/x//", "https://example.com:443", "https://example.com/", "https://example.com:8443/a/", "https://example.com?x=/"]
 _u = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^(http://[^/?]+):80([/?]|$)', '\\1\\2'), '^(https://[^/?]+):443([/?]|$)', '\\1\\2')"
@@ -427,13 +445,12 @@ BREAKER_SQL = """WITH c AS (SELECT (user_id % 50)::VARCHAR AS host, event_id AS
 i AS (SELECT *, sum(ok::INT) OVER (PARTITION BY host ORDER BY seq) AS island FROM c), f AS (SELECT *, (sum((NOT ok)::INT) OVER (PARTITION BY host, island ORDER BY seq))::BIGINT AS failures FROM i)
 SELECT host, seq, ok, failures, coalesce(max((failures >= 3)::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS skipped FROM f"""
 ENRICH_WHOLE_SQL = f"""WITH d AS (SELECT doc_id AS id, doc_id % (SELECT greatest(1, count(*)) FROM pages) AS page_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS description FROM documents),
-b AS (SELECT page_id, nullif({collapse(_html)}, '') AS body FROM pages WHERE page_id % 9 > 0),
+b AS (SELECT page_id, nullif({shown('html')}, '') AS body FROM pages WHERE page_id % 9 > 0),
 m AS (SELECT id, CASE WHEN body IS NULL THEN description WHEN trim(description) = '' THEN body ELSE description || ' ' || body END AS t FROM d LEFT JOIN b USING (page_id)) SELECT id, length(t) AS chars, md5(t) AS digest FROM m"""
 CAP_SQL = "SELECT p_partkey, p_partkey % 2 <> 0 AND CASE p_partkey % 3 WHEN 0 THEN p_size > 0 WHEN 1 THEN p_size = 10 ELSE false END AS capped FROM part"
-_body = _html.replace("(html, '<", "(coalesce(text, ''), '<")
 STREAMED_SQL = f"""SELECT run_id, state, phase, attempt::INT AS attempt, fetched_count, coalesce(deduped_count, 0) AS deduped_count, coalesce(shortlist_count, 0) AS shortlist_count,
  coalesce(top_score, 0) AS top_score, rejected, events FROM ({FOLD_SQL})"""
-API_SQL = f"""WITH t AS (SELECT doc_id, source, {collapse(_body)} AS body FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0)
+API_SQL = f"""WITH t AS (SELECT doc_id, source, {shown("coalesce(text, '')")} AS body FROM documents WHERE doc_id % 7 > 0 AND doc_id % 11 > 0)
 SELECT substr(sha256('api:' || doc_id::VARCHAR), 1, 32) AS id, 'Post ' || doc_id AS title, nullif(trim(source), '') AS company, 'https://jobs.example/' || doc_id AS url, doc_id // 50 AS page, length(body) AS chars, md5(body) AS digest FROM t"""
 _gathered = " UNION ALL ".join(
     f"SELECT {k} AS source_ord, '{t}/' || {key} AS url, row_number() OVER (ORDER BY 70000 - {key} % 9, {key}) AS place FROM {t}"

@@ -76,7 +76,9 @@ def title_rules(spark, d):
 
 @query(O.HTML_SQL)
 def html_to_text(spark, d):
-    return sample.read(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    own = sample.read(spark, d, "pages").select("page_id", "html")
+    more = _values(spark, [(-1 - i, m) for i, m in enumerate(O.MARKUP)], "page_id long, html string")
+    return own.unionByName(more).select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
 @query(O.URL_SQL)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from listwright.functions import dates
 from listwright.functions import json_paths as J
 from listwright.functions import text as T
+from listwright.functions.entities import decode_entities
 from listwright.sources.listing import build_listings, item_order
 
 # --- fixed values -------------------------------------------------------------------------------------------------
@@ -184,7 +185,7 @@ def json_ld_postings(pages: DataFrame, portal: str, fetched_at, static: dict | N
         string(F.col("p"), "$.title").alias("title"),
         string(F.col("p"), "$.hiringOrganization.name").alias("company"),
         place(string(where, "$.addressLocality"), country).alias("location"),
-        T.strip_html(_decoded(string(F.col("p"), "$.description"))).alias("description"),
+        T.strip_html(decode_entities(string(F.col("p"), "$.description"))).alias("description"),
         "url",
         dates.tolerant_timestamp(string(F.col("p"), "$.datePosted")).alias("posted_at"),
         "item_ord",
@@ -192,16 +193,10 @@ def json_ld_postings(pages: DataFrame, portal: str, fetched_at, static: dict | N
     return build_listings(rows, portal, fetched_at, static)
 
 
-def _decoded(text: Column) -> Column:
-    for entity, char in T.HTML_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
 def form_positions(pages: DataFrame, portal: str, fetched_at, static: dict | None = None) -> DataFrame:
     """Listings from the JSON in a page's hidden field; the place from the department tree, the department or the
     work place, in this order; the company from the customer, else the department."""
-    doc = F.try_parse_json(_decoded(F.concat(F.regexp_extract("html", POSITIONS, 1), F.regexp_extract("html", POSITIONS, 2))))
+    doc = F.try_parse_json(decode_entities(F.concat(F.regexp_extract("html", POSITIONS, 1), F.regexp_extract("html", POSITIONS, 2))))
     rows = pages.select(doc.alias("doc"), F.monotonically_increasing_id().alias("page")).where("doc is not null")
     items = F.try_variant_get("doc", "$.PositionList.Items", "array<variant>")
     rows = rows.select("doc", "page", F.posexplode(items).alias("at", "p"))
