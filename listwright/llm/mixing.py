@@ -75,7 +75,8 @@ def _queued(sized: DataFrame, targets: DataFrame, plan: MixPlan) -> DataFrame:
 
 
 def _finish(copy: int):
-    return (F.col("lw_source_size") * copy + F.col("lw_cum")) / F.col("lw_target")
+    """Null where the source has no words: nothing of it is ever taken."""
+    return F.try_divide(F.col("lw_source_size") * copy + F.col("lw_cum"), F.col("lw_target"))
 
 
 def _mix(docs: DataFrame, id: str, source: str, text: str, plan: MixPlan, carry: bool) -> DataFrame:
@@ -100,7 +101,8 @@ def weighted_mix(
     """``docs`` with ``lw_id``, ``lw_source``, ``lw_size``, ``lw_source_size``, ``lw_target``, ``lw_copies`` (how often
     the mix takes the row) and ``lw_taken`` (tokens that it takes); without ``carry``, these columns only.
 
-    A null text has no words and is never taken; a null source is a source, the last; rows that repeat an id queue
+    A null text has no words and is never taken; a source of such texts only has size and target 0, as has every source of a
+    table without any words; a null source is a source, the last; rows that repeat an id queue
     one after the other, by size and text. The queue order is a hash of the id, so reruns agree. A column of ``docs``
     with one of these names gives way to the operator's. An empty table gives an empty table.
     """

@@ -28,6 +28,8 @@ from listwright.llm.simhash import bit_counts, components, rows_kept, wildcard_m
 SHINGLE_WORDS = 5
 #: The least similarity of a near copy, as a fraction.
 SIMILAR = (4, 5)
+#: Shingles from which on fingerprints sift pairs.
+SIFTED = 40
 #: Multipliers that make a hash a lane of 64 bits of the wide fingerprint each.
 LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: Documents that tell which shingles are frequent, and how many of these are put last; the order changes the cost only.
@@ -95,10 +97,12 @@ def most_bits(size_a, size_b):
 
 
 def _maybe(size_a, sketch_a, size_b, sketch_b):
-    """False where sizes or wide fingerprints show the similarity too small."""
+    """False where sizes or wide fingerprints show the similarity too small. Fingerprints of few shingles say too little:
+    sets of fewer than ``SIFTED`` are left to the shingles themselves."""
     num, den = SIMILAR
+    least = np.minimum(size_a, size_b)
     apart = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
-    return (den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b)) & (apart <= most_bits(size_a, size_b))
+    return (den * least >= num * np.maximum(size_a, size_b)) & ((least < SIFTED) | (apart <= most_bits(size_a, size_b)))
 
 
 def _enough(size_a, reach_a, size_b, reach_b):

@@ -65,3 +65,31 @@ def test_documents(docs, clashing, nothing):
         got[str(r["doc_id"]), r["text"]] = got.get((str(r["doc_id"]), r["text"]), 0) + 1
     assert got == {k: n for k, n in copies.items() if n}
     assert mixed_documents(nothing).count() == 0
+
+
+def test_sources_without_words(spark):
+    schema = "doc_id long, source string, text string"
+    rows = [(1, "a", None), (2, "a", ""), (3, "a", " \n\t "), (4, "b", "one two"), (5, "b", "three"), (6, None, ""), (7, "c", None)]
+    got = {r["lw_id"]: r for r in weighted_mix(spark.createDataFrame(rows, schema), carry=False).collect()}
+    assert len(got) == len(rows)
+    for i in (1, 2, 3, 6, 7):
+        assert (got[i]["lw_size"], got[i]["lw_source_size"], got[i]["lw_target"], got[i]["lw_copies"], got[i]["lw_taken"]) == (0, 0, 0.0, 0, 0)
+    assert got[4]["lw_target"] == 4.5 and got[4]["lw_taken"] + got[5]["lw_taken"] > 2
+    assert {r["doc_id"] for r in mixed_documents(spark.createDataFrame(rows, schema)).collect()} <= {4, 5}
+    empty = spark.createDataFrame(rows[:3] + rows[5:], schema)
+    assert [(r["lw_target"], r["lw_taken"]) for r in weighted_mix(empty, carry=False).collect()] == [(0.0, 0)] * 5
+    assert mixed_documents(empty).count() == 0
+
+
+def test_sql_on_sources_without_words(spark, tmp_path):
+    import duckdb
+
+    from listwright.llm.oracles import mix_sql
+    from listwright.llm.queries import op2_source_mix
+
+    for k, rows in enumerate(([(1, "a", None), (2, "a", ""), (4, "b", "one two"), (5, "b", "three"), (6, None, " ")], [(1, "a", None), (2, None, "")])):
+        spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{k}/documents.parquet/*.parquet'")
+        df = op2_source_mix(spark, f"{tmp_path}/{k}")
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({mix_sql()})").fetchall())

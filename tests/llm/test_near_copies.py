@@ -110,3 +110,14 @@ def test_groups_in_blocks(spark, copies, monkeypatch):
     monkeypatch.setattr(N, "PIVOTS", 2)
     got = sorted(str(r["doc_id"]) for r in N.drop_near_copies(spark.createDataFrame(copies, SCHEMA)).collect())
     assert got == brute_kept(copies)
+
+
+def test_no_short_pair_is_missed(spark):
+    """Texts of 8 and 9 words: 4 of 5 shingles are common, the least similarity there is, and fingerprints tell nothing."""
+    rng = random.Random(44)
+    rows = []
+    for i in range(10_000):
+        text = " ".join(f"w{rng.randrange(10**9)}" for _ in range(8))
+        rows += [(2 * i, text, "en", "a", 0), (2 * i + 1, f"{text} last{i}", "en", "a", 0)]
+    kept = N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect()
+    assert sorted(r[0] for r in kept) == [2 * i for i in range(10_000)]
