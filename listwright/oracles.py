@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from listwright.functions import text as T
 from listwright.functions.entities import NAMED
 from listwright.operators import score as S
@@ -89,6 +91,24 @@ def keyword_hits_sql(p: Profile) -> str:
 SELECT seq, array_to_string(a, '|') AS primary_hits, array_to_string(b, '|') AS secondary_hits, round(len(a) / {num(len(p.primary_stack))}, 6) AS primary_share FROM h"""
 
 
+_w = "string_split(trim(split_part(text, chr(10), 1)), ' ')"
+_capitals = f"translate({{}}, '{ascii_lowercase}', '{ascii_uppercase}')"
+_declared = ", ".join(
+    f"{{'kind': {q(kind)}, 'position': {i}, 'keyword': {k}}}"
+    for kind, keywords in (("primary", ["w[1]", "w[2]", "w[3] || ' ' || w[4]", _capitals.format("w[5]"), _capitals.format("w[1]"), "' '"]), ("secondary", ["lower(c_mktsegment)", "w[6]"]))
+    for i, k in enumerate(keywords)
+)
+# runs of name characters stand between two signs, so that a plain search finds whole runs only; every keyword here starts with one
+_marked = lambda x: f"regexp_replace(lower({x}), '([{T.NAME_CHARS}]+)', chr(2) || '\\1' || chr(3), 'g')"
+PROFILES_SQL = f"""WITH k AS MATERIALIZED (SELECT c_custkey AS profile_id, unnest([{_declared}], recursive := true) FROM (SELECT c_custkey, c_mktsegment, {_w} AS w FROM customer JOIN documents ON c_custkey = doc_id)),
+n AS (SELECT profile_id, kind, count(*) AS declared FROM k GROUP BY ALL),
+u AS (SELECT * FROM k WHERE trim(keyword) <> '' QUALIFY row_number() OVER (PARTITION BY profile_id, kind, lower(keyword) ORDER BY position) = 1),
+t AS MATERIALIZED (SELECT doc_id, {_marked("text")} AS low FROM documents),
+x AS MATERIALIZED (SELECT DISTINCT lower(keyword) AS term, {_marked("keyword")} AS mark FROM u),
+f AS MATERIALIZED (SELECT doc_id, term FROM t, x WHERE contains(low, mark) AND (mark[-1] = chr(3) OR (length(low) - length(replace(low, mark, ''))) / length(mark) > (length(low) - length(replace(low, mark || chr(2), ''))) / (length(mark) + 1))),
+m AS (SELECT doc_id, profile_id, kind, list(keyword ORDER BY position) AS hits FROM f JOIN u ON lower(keyword) = term GROUP BY ALL)
+SELECT profile_id, kind, count(*) AS listings, sum(len(hits))::BIGINT AS hits, round(max(len(hits) / declared), 6) AS best, sum(doc_id * len(hits))::BIGINT AS checksum,
+ md5(array_to_string(arg_max(hits, {{'n': len(hits), 'd': -doc_id}}), '|')) AS best_hits FROM m JOIN n USING (profile_id, kind) GROUP BY 1, 2"""
 TITLES = [
     ("Senior Software Engineer", "hybrid role in Copenhagen"), ("Jr. Developer", "100% remote"), ("Product Manager", "on-site, three days"),
     ("Software Engineering Manager", ""), ("QA Lead", "junior and senior colleagues"), ("HR partner", "mulighed for hjemmearbejde"),

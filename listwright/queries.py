@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from listwright.functions import json_paths as J
 from listwright.functions import text as T
 from listwright.operators import history, longlist, marks, providers, rank, score, timeline
 from listwright.operators.dedupe import merge_groups
+from listwright.operators.keywords import keyword_matches
 from listwright.plans import sample
 from listwright.plans.search import dedupe_listings
 from listwright.plans.storage import written
@@ -65,6 +67,35 @@ def keyword_hits(spark, d):
     return out.select("seq", F.array_join("p", "|").alias("primary_hits"), F.array_join("s", "|").alias("secondary_hits"), _r6(F.size("p") / n, "primary_share"))
 
 
+def customer_keywords(spark, d) -> DataFrame:
+    """Every customer as a profile: its keywords are the first words of the document of its number, some of them as a
+    phrase, in capitals or twice, and its market segment."""
+    line = F.trim(F.substring_index("text", "\n", 1))
+    docs = sample.read(spark, d, "documents").select(F.col("doc_id").alias("c_custkey"), F.split(line, " ").alias("w"))
+    rows = sample.read(spark, d, "customer").join(docs, "c_custkey")
+    w = lambda i: F.get("w", F.lit(i - 1))
+    capitals = lambda x: F.translate(x, ascii_lowercase, ascii_uppercase)
+    primary = [w(1), w(2), F.concat(w(3), F.lit(" "), w(4)), capitals(w(5)), capitals(w(1)), F.lit(" ")]
+    keywords = [F.struct(F.lit("primary").alias("kind"), F.lit(i).alias("position"), k.alias("keyword")) for i, k in enumerate(primary)]
+    keywords += [F.struct(F.lit("secondary").alias("kind"), F.lit(i).alias("position"), k.alias("keyword")) for i, k in enumerate([F.lower("c_mktsegment"), w(6)])]
+    return rows.select(F.col("c_custkey").alias("profile_id"), F.explode(F.array(*keywords)).alias("k")).select("profile_id", "k.*")
+
+
+@query(O.PROFILES_SQL)
+def profile_matches(spark, d):
+    """Every customer's keywords in every document: how many documents hold some and all of a profile's keywords of a kind,
+    and the documents themselves, folded to a sum."""
+    docs = sample.read(spark, d, "documents")
+    found = keyword_matches(docs.select("doc_id", "text"), customer_keywords(spark, d), "doc_id", F.col("text"))
+    return found.groupBy("profile_id", "kind").agg(
+        F.count("*").alias("listings"),
+        F.sum(F.size("hits")).alias("hits"),
+        F.round(F.max("share"), 6).alias("best"),
+        F.sum(F.col("doc_id") * F.size("hits")).alias("checksum"),
+        F.md5(F.array_join(F.max_by("hits", F.struct(F.size("hits"), -F.col("doc_id"))), "|")).alias("best_hits"),
+    )
+
+
 @query(O.TITLES_SQL)
 def title_rules(spark, d):
     own = sample.listings(spark, d).select("seq", "title", "description")
