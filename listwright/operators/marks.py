@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listwright.functions.text import blank
 from listwright.operators.history import STATUS_ORDER
 
 MARKS = ("good", "bad")
@@ -39,13 +40,22 @@ def upsert_marks(marks: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def read_marks(documents: DataFrame, column: str = "value") -> DataFrame:
-    """Marks from JSON documents {run: {listing: "good" | {mark, reason, status}}}; invalid values are dropped."""
-    runs = documents.select(F.explode(F.from_json(column, "map<string, map<string, variant>>")).alias("run_id", "listings"))
-    rows = runs.select("run_id", F.explode("listings").alias("listing_id", "v"))
-    text = lambda path: F.try_variant_get("v", path, "string")
-    kind = F.schema_of_variant("v")
-    mark = F.lower(F.when(kind == "STRING", text("$")).when(F.startswith(kind, F.lit("OBJECT")), text("$.mark")))
-    status = F.lower(F.when(F.startswith(kind, F.lit("OBJECT")), text("$.status")))
-    reason = F.nullif(F.trim(F.when(F.startswith(kind, F.lit("OBJECT")), text("$.reason"))), F.lit(""))
-    out = rows.select("run_id", "listing_id", F.when(mark.isin(*MARKS), mark).alias("mark"), reason.alias("reason"), F.when(status.isin(*STATUS_ORDER), status).alias("status"))
+    """Marks from JSON documents {run: {listing: "good" | {mark, reason, status}}}, read level by level: a run, a mark or a
+    field of another kind costs itself only. Marks and statuses are known in lower case; a listing without either gives
+    no row, as does a document that isn't an object."""
+    kind, text = F.schema_of_variant, lambda v, path: F.try_variant_get(v, path, "string")
+    only = lambda v, wanted: F.when(F.startswith(kind(v), F.lit(wanted)), v)
+    inner = lambda v: F.try_variant_get(only(v, "OBJECT"), "$", "map<string, variant>")
+    runs = documents.select(F.explode(F.from_json(column, "map<string, variant>")).alias("run_id", "run"))
+    rows = runs.select("run_id", F.explode(inner(F.col("run"))).alias("listing_id", "v"))
+    v = F.col("v")
+    field = lambda name: text(only(F.try_variant_get(v, f"$.{name}", "variant"), "STRING"), "$")
+    mark, status, reason = F.coalesce(text(only(v, "STRING"), "$"), field("mark")), field("status"), field("reason")
+    out = rows.select(
+        "run_id",
+        "listing_id",
+        F.when(mark.isin(*MARKS), mark).alias("mark"),
+        F.when(~blank(reason), reason).alias("reason"),
+        F.when(status.isin(*STATUS_ORDER), status).alias("status"),
+    )
     return out.where("mark is not null or status is not null")

@@ -477,3 +477,25 @@ _gathered = " UNION ALL ".join(
     for k, (t, key) in enumerate((("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey")))
 )
 GATHER_SQL = f"SELECT *, true AS after_the_one_before FROM ({_gathered})"
+
+CSV_HEADERS = (
+    ("Title", " URL ", "COMPANY", "Description", "posted_at", "Location"),
+    ("posted_at", "extra", "Description", "COMPANY", " URL ", "Title"),
+    ("Location", "Title", "location", " URL ", "Description"),
+    (" URL ", "Title"),
+)
+_has = lambda column: " OR ".join(f"f % {len(CSV_HEADERS)} = {i}" for i, h in enumerate(CSV_HEADERS) if column in h)
+CSV_SQL = f"""WITH c AS (SELECT *, c_custkey // 50 AS f FROM customer WHERE c_custkey % 7 > 0)
+SELECT substr(sha256('csv:https://c.example/' || c_custkey), 1, 32) AS id, 'Post "' || c_custkey || '", ' || c_mktsegment AS title, CASE WHEN ({_has("COMPANY")}) AND c_custkey % 3 > 0 THEN c_name END AS company,
+ CASE WHEN ({_has("location")}) AND c_custkey % 5 = 0 THEN 'second' WHEN {_has("Location")} THEN c_nationkey::VARCHAR END AS location,
+ CASE WHEN {_has("Description")} THEN 'first, line' || chr(10) || chr(10) || 'second ' || c_acctbal::DECIMAL(12,2) ELSE '' END AS description, 'https://c.example/' || c_custkey AS url, CASE WHEN ({_has("posted_at")}) AND c_custkey % 2 = 0 THEN '2024-01-15' END AS day FROM c"""
+JSON_SQL = """SELECT substr(sha256('json:https://p.example/' || p_partkey), 1, 32) AS id, p_name || ' "' || p_brand || '"' AS title, CASE WHEN p_partkey % 4 = 0 THEN 'last' WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR WHEN p_partkey % 3 = 1 THEN 'True' END AS company,
+ NULL::VARCHAR AS location, p_type AS description, 'https://p.example/' || p_partkey AS url FROM part WHERE p_partkey % 11 > 0 AND p_partkey % 13 > 0"""
+MARK_VALUES = (
+    '"good"', '"bad"', '"GOOD"', "3", "null", '["good"]', '{"mark": "good", "reason": " why ", "status": "applied"}', '{"mark": "Bad", "status": "offer"}', '{"mark": 1, "reason": 2, "status": "interview"}',
+    '{"mark": "bad", "reason": " "}', '{"status": "moon"}', '{"reason": "alone"}', "{}",
+)
+_marks = [("good", None, None), ("bad", None, None), *[(None,) * 3] * 4, ("good", " why ", "applied"), (None, None, "offer"), (None, None, "interview"), ("bad", None, None), *[(None,) * 3] * 3]
+MARK_DOCUMENTS_SQL = f"""SELECT 'run-' || (doc_id // 20) AS run_id, doc_id::VARCHAR AS listing_id, mark, reason, status FROM labels JOIN {values([(i, *m) for i, m in enumerate(_marks)], "i, mark, reason, status")} ON doc_id % {len(_marks)} = i
+WHERE mark IS NOT NULL OR status IS NOT NULL"""
+CATALOGUE_SQL = "SELECT s_suppkey AS id, s_name || ' // no, comment ,]' AS name, 'https://s.example/' || s_nationkey AS endpoint, s_suppkey % 2 <> 0 AS enabled FROM supplier"

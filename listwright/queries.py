@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
@@ -17,8 +18,8 @@ from listwright.operators.dedupe import merge_groups
 from listwright.operators.keywords import keyword_matches
 from listwright.plans import sample
 from listwright.plans.search import dedupe_listings
-from listwright.plans.storage import written
-from listwright.sources import detect, files
+from listwright.plans.storage import shared_dir, written
+from listwright.sources import detect, files, settings
 from listwright.sources.listing import enrich, gather, item_order, stable_id
 from listwright.sources.pages import COUNTRY_CODES, country_of
 
@@ -513,6 +514,83 @@ def gathered_order(spark, d):
     return rows.select("source_ord", "url", place.cast("long").alias("place")).join(apart, "source_ord")
 
 
+# --- imported files -----------------------------------------------------------------------------------------------
+def _text_files(rows: DataFrame, label: str) -> str:
+    """Where the rows (file, value) stand as text files, one each."""
+    folder = f"{shared_dir(rows.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    rows.repartition("file").write.partitionBy("file").text(folder)
+    return f"{folder}/file=*"
+
+
+@query(O.CSV_SQL)
+def imported_csv(spark, d):
+    """Files of fifty customers each, whose headers differ in order, case, repeated and missing columns."""
+    k = F.col("c_custkey")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    values = {
+        "Title": quoted(F.concat(F.lit('Post "'), k.cast("string"), F.lit('", '), "c_mktsegment")),
+        " URL ": F.when(k % 7 > 0, F.concat(F.lit("https://c.example/"), k.cast("string"))).otherwise("not a url"),
+        "COMPANY": F.when(k % 3 > 0, F.col("c_name")).otherwise(""),
+        "Description": quoted(F.concat(F.lit("first, line\n\nsecond "), F.col("c_acctbal").cast("decimal(12,2)").cast("string"))),
+        "posted_at": F.when(k % 2 == 0, "2024-01-15"),
+        "Location": F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(" ")),
+        "location": F.when(k % 5 == 0, "second"),
+        "extra": F.lit("x"),
+    }
+    file, out = F.floor(k / 50), None
+    for i, order in enumerate(O.CSV_HEADERS):
+        own = sample.read(spark, d, "customer").where(file % len(O.CSV_HEADERS) == i)
+        record = F.concat_ws(",", *[F.coalesce(values[h], F.lit("")) for h in order])
+        texts = own.groupBy(file.alias("file")).agg(F.concat(F.lit(",".join(order) + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", record.alias("r")))), lambda x: x["r"]), "\n\n")).alias("value"))
+        out = texts if out is None else out.unionByName(texts)
+    rows = files.manual_csv(spark, _text_files(out, "imports"), "csv", NOW)
+    return rows.select("id", "title", "company", "location", "description", "url", F.date_format("posted_at", "yyyy-MM-dd").alias("day"))
+
+
+@query(O.JSON_SQL)
+def imported_json(spark, d):
+    """Files of fifty parts each as JSON arrays, with keys that repeat in another case, values of every kind and items that
+    are no objects."""
+    k = F.col("p_partkey")
+    text = lambda c: F.to_json(F.struct(c.alias("v")))
+    string = lambda c: F.regexp_extract(text(c), r"(?s)^\{\"v\":(.*)\}$", 1)
+    item = (
+        F.when(k % 11 == 0, "7")
+        .when(k % 13 == 0, "null")
+        .otherwise(
+            F.concat(
+                F.lit('{"title": "old", "Url": '), string(F.concat(F.lit("https://p.example/"), k.cast("string"))), F.lit(', "TITLE": '), string(F.concat("p_name", F.lit(' "'), "p_brand", F.lit('"'))),
+                F.lit(', "company": '), F.when(k % 3 == 0, F.col("p_size").cast("string")).when(k % 3 == 1, "true").otherwise('["x"]'),
+                F.when(k % 4 == 0, ', "Company": "last"').otherwise(""), F.lit(', "location": {"a": 1}, "description": '), string(F.col("p_type")), F.lit(', "posted_at": null}'),
+            )
+        )
+    )
+    docs = sample.read(spark, d, "part").groupBy(F.floor(k / 50).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"]), ",\n"), F.lit("]")).alias("value"))
+    rows = files.manual_json(spark, _text_files(docs, "imports"), "json", NOW)
+    return rows.select("id", "title", "company", "location", "description", "url")
+
+
+@query(O.MARK_DOCUMENTS_SQL)
+def marks_documents(spark, d):
+    """A document of marks for each run of labelled listings, with marks of both shapes and what is neither among them."""
+    k = F.col("doc_id")
+    value = F.element_at(F.array(*[F.lit(v) for v in O.MARK_VALUES]), (k % len(O.MARK_VALUES) + 1).cast("int"))
+    run = F.floor(k / 20)
+    entry = F.concat(F.lit('"'), k.cast("string"), F.lit('": '), value)
+    docs = sample.read(spark, d, "labels").groupBy(run.alias("r")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", entry.alias("e")))), lambda x: x["e"]), ", ").alias("e"))
+    docs = docs.select(F.concat(F.lit('{"odd": "oops", "none": null, "list": [{"a": "good"}], "run-'), F.col("r").cast("string"), F.lit('": {'), "e", F.lit("}}")).alias("value"))
+    return marks.read_marks(docs)
+
+
+@query(O.CATALOGUE_SQL)
+def catalogue_sources(spark, d):
+    """Catalogues of fifty suppliers each, written with comments and trailing commas."""
+    k = F.col("s_suppkey")
+    entry = F.concat(F.lit('  {"id": '), k.cast("string"), F.lit(', "name": "'), "s_name", F.lit(' // no, comment ,]", /* of nation "x" */ "endpoint": "https://s.example/'), F.col("s_nationkey").cast("string"), F.when(k % 2 == 0, '", "enabled": false,}').otherwise('"}'))
+    docs = sample.read(spark, d, "supplier").groupBy(F.floor(k / 50).alias("file")).agg(F.concat(F.lit('{ // sources\n"providers": [\n'), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", entry.alias("e")))), lambda x: x["e"]), ",\n"), F.lit(",\n], }")).alias("value"))
+    return settings.read_catalogue(spark, _text_files(docs, "catalogues")).select("id", "name", "endpoint", F.coalesce("enabled", F.lit(True)).alias("enabled"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings deduped, scored, classified, and the best of them."""
     kept = dedupe_listings(sample.listings(spark, sf_dir))[0]

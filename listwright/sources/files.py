@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -15,42 +15,61 @@ FIELDS = ("title", "company", "location", "url", "description", "posted_at")
 TRAILING_COMPANY_HOSTS = r"(?i)^[a-z]+://[^/?#]*(jobindex\.dk|it-jobbank\.dk)"
 
 
+#: Columns of an imported file that are looked at.
+MOST_COLUMNS = 256
+
+
 def manual_json(spark: SparkSession, path: str, portal: str, fetched_at, static: dict | None = None) -> DataFrame:
-    """JSON arrays of objects with the fields of a listing, keys of any case."""
-    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
-    return payload_listings(docs.withColumn("page", F.lit(0)), {f: f for f in FIELDS}, portal, fetched_at, static, any_case=True)
+    """JSON arrays of objects with the fields of a listing, keys of any case.
+
+    Of keys equal but for case, or altogether, the last one counts. An item that is no object, or has no title or
+    absolute URL, goes by itself; a file that isn't a JSON array gives no rows. Lists and objects as values are null.
+    """
+    files = spark.read.text(path, wholetext=True).withColumn("page", F.monotonically_increasing_id())
+    # items stay text here: maps read from text keep the order and the repetitions of their keys
+    items = files.select("page", F.posexplode(F.from_json("value", "array<string>")).alias("at", "item"))
+    entries = F.map_entries(F.from_json("item", "map<string, variant>"))
+    rows = items.withColumn("entries", F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), J.scalar(e["value"]).alias("value"))))
+    field = lambda name: F.try_element_at(F.filter("entries", lambda e: e["key"] == name), F.lit(-1))["value"]
+    return _imported(rows.select("page", "at", *[field(f).alias(f) for f in FIELDS]), portal, fetched_at, static)
 
 
 def manual_csv(spark: SparkSession, path: str, portal: str, fetched_at, static: dict | None = None) -> DataFrame:
-    """CSV with a header of any case; quoted commas, quotes and line feeds, short rows and blank lines are fine."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
-    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    rows = raw.select(*[(F.col(f"`{f}`") if f in raw.columns else F.lit(None)).cast("string").alias(f) for f in FIELDS])
-    rows = rows.withColumns({"source_id": F.col("url"), "item_ord": item_order(F.monotonically_increasing_id()), "posted_at": dates.tolerant_timestamp(F.col("posted_at"))})
+    """CSV files with a header each, in any order and case; quoted commas, quotes and line feeds, short rows and blank
+    lines are fine. A file's records find their fields by the places that its own header gives; of columns of one name
+    the last that has a value counts; columns of other names, and those after the first 256, aren't looked at."""
+    names = [f"c{i}" for i in range(MOST_COLUMNS)]
+    raw = spark.read.csv(path, schema=", ".join(f"{n} string" for n in names), header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
+    records = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("page"), F.array(*names).alias("values"))
+    # a file of records that may hold line feeds is read by one task as it is
+    header = F.first("values").over(Window.partitionBy("file").orderBy("page"))
+    tidy = F.transform(header, lambda h: F.lower(F.trim(F.ltrim(h, F.lit("\ufeff")))))
+    rows = records.withColumn("header", tidy).withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where("nth > 1")
+    pairs = F.filter(F.arrays_zip("header", "values"), lambda p: p["values"].isNotNull())
+    field = lambda name: F.try_element_at(F.filter("pairs", lambda p: p["header"] == name), F.lit(-1))["values"]
+    rows = rows.withColumn("pairs", pairs).select("page", F.lit(0).alias("at"), *[field(f).alias(f) for f in FIELDS])
+    return _imported(rows, portal, fetched_at, static)
+
+
+def _imported(rows: DataFrame, portal: str, fetched_at, static: dict | None) -> DataFrame:
+    """Rows (page, at, title, company, location, url, description, posted_at), all text, as listings."""
+    rows = rows.withColumns({"source_id": F.col("url"), "item_ord": item_order(F.col("page"), F.col("at")), "posted_at": dates.tolerant_timestamp(F.col("posted_at"))})
     return build_listings(rows, portal, fetched_at, static)
 
 
-def payload_listings(docs: DataFrame, mapping: dict[str, str], portal: str, fetched_at, static: dict | None = None, any_case: bool = False) -> DataFrame:
+def payload_listings(docs: DataFrame, mapping: dict[str, str], portal: str, fetched_at, static: dict | None = None) -> DataFrame:
     """Listings from JSON answers (``doc`` variant, ``page``): the array at ``items_path``, one row an item, fields by
     dotted path, the URL from a path or a template. Anything but an array gives no rows; items without a title or URL go."""
     items = F.try_variant_get(J.walk(F.col("doc"), mapping.get("items_path")), "$", "array<variant>")
     rows = docs.select("page", F.posexplode(items).alias("at", "item"))
-    if any_case:
-        lower = F.map_from_entries(
-            F.array_distinct(F.transform(F.map_entries(F.try_variant_get("item", "$", "map<string, variant>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), J.scalar(e["value"]).alias("value"))))
-        )
-        rows = rows.withColumn("fields", lower)
-        field = lambda name: F.try_element_at("fields", F.lit(mapping[name])) if name in mapping else F.lit(None).cast("string")
-    else:
-        field = lambda name: J.read(F.col("item"), mapping[name]) if name in mapping else F.lit(None).cast("string")
+    field = lambda name: J.read(F.col("item"), mapping[name]) if name in mapping else F.lit(None).cast("string")
     url = field("url") if "url" in mapping else J.render(mapping["url_template"], F.col("item")) if "url_template" in mapping else F.lit(None).cast("string")
-    description = field("description") if any_case else T.strip_html(field("description"))
     rows = rows.select(
-        (url if any_case else F.coalesce(field("id"), url)).alias("source_id"),
+        F.coalesce(field("id"), url).alias("source_id"),
         field("title").alias("title"),
         field("company").alias("company"),
         field("location").alias("location"),
-        description.alias("description"),
+        T.strip_html(field("description")).alias("description"),
         url.alias("url"),
         dates.tolerant_timestamp(field("posted_at")).alias("posted_at"),
         item_order(F.col("page"), F.col("at")).alias("item_ord"),

@@ -117,12 +117,25 @@ def parse_ranking(text: str) -> Ranking:
     )
 
 
+#: A JSON string, which stays, or what may stand beside it: a comment, a comma before a closing bracket.
+_COMMENT = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|//[^\n]*|/\*.*?\*/'
+_LAST_COMMA = r'(?s)("[^"\\]*+(?:\\.[^"\\]*+)*+")|,(\s*[\]}])'
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Sources of a JSON catalogue (comments allowed), with ``ord``; a repeated id fails the job."""
-    rows = spark.read.option("multiLine", True).option("allowComments", True).json(path)
-    rows = rows.withColumn("ord", F.monotonically_increasing_id())
+    """Sources of JSON catalogues, with ``ord``: the array ``providers`` of a root object, or a root array. Comments and
+    trailing commas are allowed. A repeated id, or a document without sources, fails the job."""
+    plain = F.regexp_replace(F.regexp_replace("value", _COMMENT, "$1"), _LAST_COMMA, "$1$2")
+    docs = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("page"), plain.alias("doc"))
+    doc = F.try_parse_json("doc")
+    found = F.coalesce(F.try_variant_get(doc, "$.providers", "array<variant>"), F.try_variant_get(doc, "$", "array<variant>"))
+    wrong = F.raise_error(F.lit("a catalogue needs a top-level 'providers' array")).cast("array<variant>")
+    items = docs.select("page", F.posexplode(F.coalesce(found, wrong)).alias("at", "item"))
+    # the columns are those that any source has; their types the ones that hold all values
+    kind = items.agg(F.schema_of_variant_agg("item")).first()[0].replace("OBJECT<", "STRUCT<")
+    rows = items.select(F.try_variant_get("item", "$", kind).alias("s"), F.monotonically_increasing_id().alias("ord")).select("s.*", "ord")
     n = F.count("*").over(Window.partitionBy("id"))
-    return rows.withColumn("id", F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate source id "), F.col("id").cast("string")))).otherwise(F.col("id")))
+    return rows.withColumn("id", F.when((n > 1) & F.col("id").isNotNull(), F.raise_error(F.concat(F.lit("duplicate source id "), F.col("id").cast("string"))).cast(rows.schema["id"].dataType)).otherwise(F.col("id")))
 
 
 def with_ids(rows: DataFrame, order: str = "ord") -> DataFrame:

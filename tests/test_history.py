@@ -18,10 +18,15 @@ def test_phase_durations(spark):
     assert got == {("r", "fetching"): 3000, ("r", "deduping"): 1000, ("r", "ranking"): 12000, ("r", "llmJudging"): 4000, ("r", "writing"): 1000}
 
 
+def test_marks_of_other_kinds_cost_themselves_only(spark):
+    docs = spark.createDataFrame([('{"r1": "oops", "r2": {"a": "good", "b": {"mark": ["good"], "status": "offer"}, "c": "GOOD"}, "r3": [{"a": "good"}], "r4": null}',), ("[1]",), ("{broken",), (None,)], "value string")
+    assert sorted(tuple(r) for r in marks.read_marks(docs).collect()) == [("r2", "a", "good", None, None), ("r2", "b", None, None, "offer")]
+
+
 def test_marks(spark):
     docs = spark.createDataFrame([('{"r1": {"a": "good", "b": {"mark": "BAD", "reason": " x ", "status": "offer"}, "c": "odd", "d": {"status": "nope"}, "e": 3}}',)], "value string")
     own = marks.read_marks(docs)
-    assert sorted(tuple(r) for r in own.collect()) == [("r1", "a", "good", None, None), ("r1", "b", "bad", "x", "offer")]
+    assert sorted(tuple(r) for r in own.collect()) == [("r1", "a", "good", None, None), ("r1", "b", None, " x ", "offer")]
     change = lambda *rows: spark.createDataFrame(rows, "run_id string, listing_id string, mark string, reason string, status string, sets_mark boolean, sets_status boolean")
     cleared = marks.upsert_marks(own, change(("r1", "b", None, "r", None, True, False), ("r1", "a", None, None, None, True, True), ("r2", "z", "Good", " why ", None, True, False)))
     assert sorted(tuple(r) for r in cleared.collect()) == [("r1", "b", None, None, "offer"), ("r2", "z", "good", "why", None)]

@@ -36,6 +36,32 @@ def test_manual(spark, tmp_path):
     assert got == [("Dev, senior", 'A "B"', "two\nlines"), ("Short", None, "")]
 
 
+def test_csv_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,URL\nOne,https://x.example/1\n")
+    (tmp_path / "b.csv").write_text("\ufeffURL,Title,Company\nhttps://x.example/2,Two,B\n")
+    (tmp_path / "c.csv").write_text("title,url,TITLE\nold,https://x.example/3,Three\nkept,https://x.example/4\n")
+    (tmp_path / "d.csv").write_text("title,company\nNo url,X\n")
+    (tmp_path / "e.csv").write_text("")
+    got = rows(files.manual_csv(spark, f"{tmp_path}/*.csv", "m", AT), "url", "title", "company")
+    assert sorted(got) == [("https://x.example/1", "One", None), ("https://x.example/2", "Two", "B"), ("https://x.example/3", "Three", None), ("https://x.example/4", "kept", None)]
+
+
+def test_json_items_cost_themselves_only(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"Title": "old", "title": "new", "URL": "https://x.example/1", "url": "https://x.example/2"}, 3, "x", null, [1], {"title": "dup", "title": "last", "url": "https://x.example/3", "company": {"a": 1}}]')
+    (tmp_path / "b.json").write_text("[{broken")
+    got = rows(files.manual_json(spark, f"{tmp_path}/*.json", "m", AT), "url", "title", "company")
+    assert sorted(got) == [("https://x.example/2", "new", None), ("https://x.example/3", "last", None)]
+
+
+def test_catalogue_of_providers(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"providers": [ {"id": 1, "name": "a // b", "rateLimitRps": 0.5,}, /* x */ {"id": 2, "name": "c,]",}, // y\n ],}')
+    got = settings.read_catalogue(spark, f"{tmp_path}/c.json")
+    assert [tuple(r) for r in got.orderBy("ord").select("id", "name", "rateLimitRps").collect()] == [(1, "a // b", 0.5), (2, "c,]", None)]
+    (tmp_path / "d.json").write_text('{"sources": []}')
+    with pytest.raises(Exception, match="providers"):
+        settings.read_catalogue(spark, f"{tmp_path}/d.json").collect()
+
+
 def test_feed(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         """<?xml version="1.0"?><rss><channel><title>t</title>
