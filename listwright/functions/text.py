@@ -110,18 +110,45 @@ def _quoted(keyword: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", keyword)
 
 
-def keyword_hits(keywords: Sequence[str], corpus: Column) -> Column:
-    """The keywords that ``corpus`` holds, in order; of those equal but for case, the last spelling in the first place."""
-    spelling: dict[str, str] = {}
+def spellings(keywords: Sequence[str]) -> dict[str, str]:
+    """Lower-case terms and how they are spelled: of keywords equal but for case the first; blank ones go."""
+    out: dict[str, str] = {}
     for k in keywords:
         if k and k.strip():
-            spelling[k.lower()] = spelling.get(k.lower(), k)
-    if not spelling:
+            out.setdefault(k.lower(), k)
+    return out
+
+
+def found_terms(keywords: Sequence[str], corpus: Column) -> Column:
+    """The terms of ``keywords`` that ``corpus`` holds. It is cut into runs of name characters once, and terms of one run
+    are looked up among them; of other terms a plain search goes before the pattern, which settles what stands around."""
+    terms = list(spellings(keywords))
+    if not terms:
         return F.array().cast("array<string>")
-    # a plain search, which is fast, goes before the pattern, which settles what stands around the keyword
+    single = re.compile(r"[\w+#]+")
     low = F.lower(corpus)
-    found = lambda k: F.contains(low, F.lit(k.lower())) & corpus.rlike(keyword_pattern(k))
-    return F.array_compact(F.array(*[F.when(found(k), F.lit(k)) for k in spelling.values()]))
+    runs = F.regexp_extract_all(low, F.lit(f"[{NAME_CHARS}]+"), F.lit(0))
+    others = [k for k in terms if not single.fullmatch(k)]
+    if others:
+        runs = F.concat(runs, F.array(*[F.when(F.contains(low, F.lit(k)) & low.rlike(keyword_pattern(k)), F.lit(k)) for k in others]))
+    return F.array_intersect(F.array(*map(F.lit, terms)), runs)
+
+
+def spelled(keywords: Sequence[str], found: Column) -> Column:
+    """Those of ``keywords`` whose terms are among ``found``, in order, as they are spelled."""
+    known = spellings(keywords)
+    if not known:
+        return F.array().cast("array<string>")
+    hits = F.array_intersect(F.array(*map(F.lit, known)), found)
+    if all(term == k for term, k in known.items()):
+        return hits
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.transform(hits, lambda t: F.element_at(table, t))
+
+
+def keyword_hits(keywords: Sequence[str], corpus: Column) -> Column:
+    """The keywords that ``corpus`` holds, in order; of those equal but for case, the first."""
+    return F.coalesce(spelled(keywords, found_terms(keywords, corpus)), F.array().cast("array<string>"))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -143,9 +170,11 @@ def remote_mode(text: Column) -> Column:
 
 def _seniority_in(text: Column) -> Column:
     low = F.lower(text)
-    out = F
+    any_of = lambda words: low.rlike(rf"(?U)\b({'|'.join(words)})\b")
+    # most texts name no level, which one look tells
+    out = F.when(~any_of([w for words in SENIORITY_WORDS.values() for w in words]), None)
     for level, words in SENIORITY_WORDS.items():
-        out = out.when(low.rlike(rf"(?U)\b({'|'.join(words)})\b"), level)
+        out = out.when(any_of(words), level)
     return out.otherwise(None)
 
 

@@ -140,11 +140,13 @@ def score_listings(listings: DataFrame, profile: Profile, ranking: Ranking, now)
     score_level, level_match, adjacent = seniority_fit(c("level_"), profile.seniority, ranking.adjacency_credit)
     place, place_match = location_remote(c("location"), c("remote_mode"), profile, ranking.tiers)
     w = ranking.weights
-    out = listings.withColumns(
+    # the text is cut into words once, for all lists of keywords
+    found = text.found_terms([*profile.primary_stack, *profile.secondary_stack, *profile.domains], corpus)
+    out = listings.withColumn("found_", found).withColumns(
         {
-            "primary_": text.keyword_hits(profile.primary_stack, corpus),
-            "secondary_": text.keyword_hits(profile.secondary_stack, corpus),
-            "domain_": text.keyword_hits(profile.domains, corpus),
+            "primary_": text.spelled(profile.primary_stack, c("found_")),
+            "secondary_": text.spelled(profile.secondary_stack, c("found_")),
+            "domain_": text.spelled(profile.domains, c("found_")),
             "barred_": text.keyword_hits(profile.disqualifiers, head),
             "preferred_": text.keyword_hits(profile.preferred_companies, c("company")),
             "level_": text.seniority(c("title"), c("description")),

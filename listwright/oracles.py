@@ -91,16 +91,17 @@ def keyword_hits_sql(p: Profile) -> str:
 SELECT seq, array_to_string(a, '|') AS primary_hits, array_to_string(b, '|') AS secondary_hits, round(len(a) / {num(len(p.primary_stack))}, 6) AS primary_share FROM h"""
 
 
-_w = "string_split(trim(split_part(text, chr(10), 1)), ' ')"
+_words = "string_split(trim(split_part(text, chr(10), 1)), ' ')"
 _capitals = f"translate({{}}, '{ascii_lowercase}', '{ascii_uppercase}')"
 _declared = ", ".join(
     f"{{'kind': {q(kind)}, 'position': {i}, 'keyword': {k}}}"
-    for kind, keywords in (("primary", ["w[1]", "w[2]", "w[3] || ' ' || w[4]", _capitals.format("w[5]"), _capitals.format("w[1]"), "' '"]), ("secondary", ["lower(c_mktsegment)", "w[6]"]))
+    for kind, keywords in (("primary", ["w[1]", "w[2]", "f[3]", _capitals.format("w[5]"), _capitals.format("w[1]"), "' '"]), ("secondary", ["lower(c_mktsegment)", "w[6]"]))
     for i, k in enumerate(keywords)
 )
 # runs of name characters stand between two signs, so that a plain search finds whole runs only; every keyword here starts with one
 _marked = lambda x: f"regexp_replace(lower({x}), '([{T.NAME_CHARS}]+)', chr(2) || '\\1' || chr(3), 'g')"
-PROFILES_SQL = f"""WITH k AS MATERIALIZED (SELECT c_custkey AS profile_id, unnest([{_declared}], recursive := true) FROM (SELECT c_custkey, c_mktsegment, {_w} AS w FROM customer JOIN documents ON c_custkey = doc_id)),
+PROFILES_SQL = f"""WITH k AS MATERIALIZED (SELECT c_custkey AS profile_id, unnest([{_declared}], recursive := true) FROM (SELECT c_custkey, c_mktsegment, list_filter({_words}, lambda x: length(x) >= 8) AS w,
+ list_filter(list_transform(list_zip({_words}, ({_words})[2:]), lambda z: z[1] || ' ' || z[2]), lambda x: length(split_part(x, ' ', 1)) >= 8) AS f FROM customer JOIN documents ON c_custkey = doc_id)),
 n AS (SELECT profile_id, kind, count(*) AS declared FROM k GROUP BY ALL),
 u AS (SELECT * FROM k WHERE trim(keyword) <> '' QUALIFY row_number() OVER (PARTITION BY profile_id, kind, lower(keyword) ORDER BY position) = 1),
 t AS MATERIALIZED (SELECT doc_id, {_marked("text")} AS low FROM documents),

@@ -37,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table whose file has fewer pieces than there are cores, dealt to all of them; larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _pick(number, choices):
     out = F
     for i, c in enumerate(choices):
@@ -46,7 +52,7 @@ def _pick(number, choices):
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, portal, title, company, location, remote_mode, description, url, posted_at (no zone)."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     suppliers = read(spark, sf_dir, "supplier")
     n = suppliers.count()
     line = F.trim(F.substring_index("text", "\n", 1))

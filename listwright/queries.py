@@ -69,14 +69,16 @@ def keyword_hits(spark, d):
 
 
 def customer_keywords(spark, d) -> DataFrame:
-    """Every customer as a profile: its keywords are the first words of the document of its number, some of them as a
-    phrase, in capitals or twice, and its market segment."""
-    line = F.trim(F.substring_index("text", "\n", 1))
-    docs = sample.read(spark, d, "documents").select(F.col("doc_id").alias("c_custkey"), F.split(line, " ").alias("w"))
+    """Every customer as a profile: its keywords are the first long words of the document of its number, some of them with
+    the word after them, in capitals or twice, and its market segment."""
+    words = F.split(F.trim(F.substring_index("text", "\n", 1)), " ")
+    phrases = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    long = lambda x: F.length(x) >= 8
+    docs = sample.read(spark, d, "documents").select(F.col("doc_id").alias("c_custkey"), F.filter(words, long).alias("w"), F.filter(phrases, lambda x: long(F.substring_index(x, " ", 1))).alias("f"))
     rows = sample.read(spark, d, "customer").join(docs, "c_custkey")
     w = lambda i: F.get("w", F.lit(i - 1))
     capitals = lambda x: F.translate(x, ascii_lowercase, ascii_uppercase)
-    primary = [w(1), w(2), F.concat(w(3), F.lit(" "), w(4)), capitals(w(5)), capitals(w(1)), F.lit(" ")]
+    primary = [w(1), w(2), F.get("f", F.lit(2)), capitals(w(5)), capitals(w(1)), F.lit(" ")]
     keywords = [F.struct(F.lit("primary").alias("kind"), F.lit(i).alias("position"), k.alias("keyword")) for i, k in enumerate(primary)]
     keywords += [F.struct(F.lit("secondary").alias("kind"), F.lit(i).alias("position"), k.alias("keyword")) for i, k in enumerate([F.lower("c_mktsegment"), w(6)])]
     return rows.select(F.col("c_custkey").alias("profile_id"), F.explode(F.array(*keywords)).alias("k")).select("profile_id", "k.*")
@@ -86,7 +88,7 @@ def customer_keywords(spark, d) -> DataFrame:
 def profile_matches(spark, d):
     """Every customer's keywords in every document: how many documents hold some and all of a profile's keywords of a kind,
     and the documents themselves, folded to a sum."""
-    docs = sample.read(spark, d, "documents")
+    docs = sample.spread(sample.read(spark, d, "documents"))
     found = keyword_matches(docs.select("doc_id", "text"), customer_keywords(spark, d), "doc_id", F.col("text"))
     return found.groupBy("profile_id", "kind").agg(
         F.count("*").alias("listings"),
