@@ -142,26 +142,33 @@ def score_listings(listings: DataFrame, profile: Profile, ranking: Ranking, now)
     w = ranking.weights
     # the text is cut into words once, for all lists of keywords
     found = text.found_terms([*profile.primary_stack, *profile.secondary_stack, *profile.domains], corpus)
-    out = listings.withColumn("found_", found).withColumns(
+    seen = {
+        "found_": found,
+        "barred_": text.keyword_hits(profile.disqualifiers, head),
+        "preferred_": text.keyword_hits(profile.preferred_companies, c("company")),
+        "level_": text.seniority(c("title"), c("description")),
+        "off_title_": text.non_engineering_title(c("title")),
+        "place_": place,
+        "place_match_": place_match,
+    }
+    # columns of a generator aren't copied into what reads them, so every listing is looked at once, whatever comes after
+    out = listings.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in seen.items()]))))
+    out = out.withColumns(
         {
             "primary_": text.spelled(profile.primary_stack, c("found_")),
             "secondary_": text.spelled(profile.secondary_stack, c("found_")),
             "domain_": text.spelled(profile.domains, c("found_")),
-            "barred_": text.keyword_hits(profile.disqualifiers, head),
-            "preferred_": text.keyword_hits(profile.preferred_companies, c("company")),
-            "level_": text.seniority(c("title"), c("description")),
-            "off_title_": text.non_engineering_title(c("title")),
         }
     )
     parts = {
         "primary_stack": _share(c("primary_"), len(profile.primary_stack)) * w.primary_stack,
         "secondary_stack": _share(c("secondary_"), len(profile.secondary_stack)) * w.secondary_stack,
         "seniority": score_level * w.seniority,
-        "location_remote": place * w.location_remote,
+        "location_remote": c("place_") * w.location_remote,
         "domain": _share(c("domain_"), len(profile.domains)) * w.domain,
         "freshness": dates.freshness(c("posted_at"), now, ranking.freshness_days) * w.freshness,
     }
-    out = out.withColumns({f"p_{k}": v for k, v in parts.items()} | {"level_match_": level_match, "adjacent_": adjacent, "place_match_": place_match, "remote_match_": remote_match(c("remote_mode"), profile.remote_preference)})
+    out = out.withColumns({f"p_{k}": v for k, v in parts.items()} | {"level_match_": level_match, "adjacent_": adjacent, "remote_match_": remote_match(c("remote_mode"), profile.remote_preference)})
     total = None
     for k in parts:
         total = c(f"p_{k}") if total is None else total + c(f"p_{k}")
