@@ -41,17 +41,20 @@ def normalise(x: str) -> str:
 
 
 def company_key(x: str) -> str:
-    forms = "|".join(f.replace("/", "/") for f in T.LEGAL_FORMS)
-    plain = normalise(rf"regexp_replace(trim({x}), '(?i)\s*,?\s+({forms})\.?\s*$', '')")
+    n, forms = normalise(x), ", ".join(q(f.lower()) for f in T.LEGAL_FORMS)
+    last = f"rtrim(string_split({n}, ' ')[-1], '.')"
+    plain = f"CASE WHEN contains({n}, ' ') AND {last} IN ({forms}) THEN rtrim(left({n}, length({n}) - length(string_split({n}, ' ')[-1])), ', ') ELSE {n} END"
     for alias, name in T.COMPANY_ALIASES.items():
         plain = f"CASE WHEN {plain} = {q(alias)} THEN {q(name)} ELSE {plain} END"
     return plain
 
 
 def location_key(x: str) -> str:
-    place = rf"regexp_replace(trim({x}), '(?i)\s+og\s+mulighed\s+for\s+({'|'.join(T.REMOTE_SUFFIXES)})\s*$', '')"
-    place = rf"regexp_replace({place}, '(?s)^([^,]+),.*$', '\1')"
-    return normalise(rf"regexp_replace({place}, '\s+\p{{Lu}}{{1,2}}\s*$', '')")
+    place = collapse(x)
+    for offer in T.REMOTE_OFFERS:
+        place = f"list_transform([{place}], lambda o: CASE WHEN suffix(lower(o), {q(' ' + offer)}) THEN rtrim(left(o, length(o) - {len(offer)})) ELSE o END)[1]"
+    place = f"list_transform([{place}], lambda o: trim(CASE WHEN o[1] = ',' THEN o ELSE split_part(o, ',', 1) END))[1]"
+    return normalise(rf"regexp_replace({place}, ' \p{{Lu}}{{1,2}}$', '')")
 
 
 def remote_mode(x: str) -> str:
@@ -500,3 +503,9 @@ _marks = [("good", None, None), ("bad", None, None), *[(None,) * 3] * 4, ("good"
 MARK_DOCUMENTS_SQL = f"""SELECT 'run-' || (doc_id // 20) AS run_id, doc_id::VARCHAR AS listing_id, mark, reason, status FROM labels JOIN {values([(i, *m) for i, m in enumerate(_marks)], "i, mark, reason, status")} ON doc_id % {len(_marks)} = i
 WHERE mark IS NOT NULL OR status IS NOT NULL"""
 CATALOGUE_SQL = "SELECT s_suppkey AS id, s_name || ' // no, comment ,]' AS name, 'https://s.example/' || s_nationkey AS endpoint, s_suppkey % 2 <> 0 AS enabled FROM supplier"
+_text = lambda x: decoded(f"regexp_replace({x}, '<[^>]*>', '', 'g')")
+CARDS_SQL = rf"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>')) AS li FROM pages),
+a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS body FROM pages WHERE contains(html, '<article>')),
+r AS (SELECT page_id AS page, 'menu' AS kind, regexp_extract(li, '(?s)<a [^>]*>(.*?)</a>', 1) AS title, regexp_extract(li, '<a href="([^"]*)"', 1) AS href FROM m
+UNION ALL SELECT page_id, 'article', nullif(regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1), ''), NULL FROM a)
+SELECT page, kind, trim(regexp_replace({_text("title")}, '\s+', ' ', 'g')) AS title, {decoded("href")} AS href FROM r"""

@@ -19,7 +19,7 @@ from listwright.operators.keywords import keyword_matches
 from listwright.plans import sample
 from listwright.plans.search import dedupe_listings
 from listwright.plans.storage import shared_dir, written
-from listwright.sources import detect, files, settings
+from listwright.sources import cards, detect, files, settings
 from listwright.sources.listing import enrich, gather, item_order, stable_id
 from listwright.sources.pages import COUNTRY_CODES, country_of
 
@@ -549,6 +549,16 @@ def imported_csv(spark, d):
     return rows.select("id", "title", "company", "location", "description", "url", F.date_format("posted_at", "yyyy-MM-dd").alias("day"))
 
 
+@query(O.CARDS_SQL)
+def page_cards(spark, d):
+    """The links of every page's menu and its article, as cards: whole pages, cut by their tags."""
+    own = sample.spread(sample.read(spark, d, "pages").select(F.col("page_id").alias("page"), "html"))
+    menu = cards.card_fields(own, {"list": "nav ul > li", "title": "a", "link": "a[href]"})
+    article = cards.card_fields(own, {"list": "article", "title": "h1"})
+    shown = lambda df, kind: df.select("page", F.lit(kind).alias("kind"), "title", "href")
+    return shown(menu, "menu").unionByName(shown(article, "article"))
+
+
 @query(O.JSON_SQL)
 def imported_json(spark, d):
     """Files of fifty parts each as JSON arrays, with keys that repeat in another case, values of every kind and items that

@@ -1,12 +1,7 @@
-"""Sources within web pages: cards by CSS selector, JSON-LD postings of a sitemap, JSON in a form field."""
+"""Sources within web pages: JSON-LD postings of a sitemap, JSON in a form field. Cards are in ``cards``."""
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,127 +29,6 @@ POSTING_PATH = "/jobs/[0-9]+"
 LINKED_DATA = r"(?is)<script\b(?=[^>]*\bld\+json\b)[^>]*>(.*?)</script\s*>"
 POSITIONS = r"(?is)<input\b[^>]*?HiddenField_PositionList[^>]*?\svalue\s*=\s*(?:\"([^\"]+)\"|'([^']+)')"
 
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs, parent):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-
-    def below(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield c
-                yield from c.below()
-
-    def text(self):
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", {}, None)
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.children.append(_Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.children.append(data)
-
-
-_SIMPLE = re.compile(r"([#.]?[\w-]+|\*|\[[^\]]+\])")
-
-
-def _matches(node: _Node, simple: str) -> bool:
-    for part in _SIMPLE.findall(simple):
-        if part[0] == "#":
-            ok = node.attrs.get("id") == part[1:]
-        elif part[0] == ".":
-            ok = part[1:] in node.attrs.get("class", "").split()
-        elif part[0] == "[":
-            name, _, value = part[1:-1].partition("=")
-            sign = name[-1:] if name[-1:] in "^$*~" else ""
-            have = node.attrs.get(name.rstrip("^$*~"))
-            want = value.strip("\"'")
-            ok = have is not None and (
-                not value
-                or {"": have == want, "^": have.startswith(want), "$": have.endswith(want), "*": want in have, "~": want in have.split()}[sign]
-            )
-        else:
-            ok = part in ("*", node.tag)
-        if not ok:
-            return False
-    return True
-
-
-def select(node: _Node, selector: str) -> list[_Node]:
-    """Descendants by tag, class, id and attribute, joined by white space, ``>`` and commas, in document order."""
-    chosen = set()
-    for one in selector.split(","):
-        steps = re.findall(r"(>)?\s*((?:[^\s>\[]|\[[^\]]*\])+)", one)
-        level = [node]
-        for child, simple in steps:
-            nxt = []
-            for n in level:
-                pool = [c for c in n.children if isinstance(c, _Node)] if child else n.below()
-                nxt += [c for c in pool if _matches(c, simple)]
-            level = list(dict.fromkeys(nxt))
-        chosen.update(map(id, level))
-    return [n for n in node.below() if id(n) in chosen]
-
-
-def cards(html: str | None, base: str, s: dict[str, str]) -> list[dict]:
-    """The cards of one page; ``s`` has list, title, link, url_attribute, company, location and description selectors."""
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-
-    def text_of(card, key):
-        if not s.get(key):
-            return None
-        found = [card] if s[key] == ":scope" else select(card, s[key])
-        return " ".join(found[0].text().split()) if found else None
-
-    out = []
-    for at, card in enumerate(select(tree.root, s["list"])):
-        link = [card] if s.get("link") == ":scope" else select(card, s["link"]) if s.get("link") else []
-        href = link[0].attrs.get(s.get("url_attribute") or "href") if link else None
-        row = {k: text_of(card, k) for k in ("title", "company", "location", "description")}
-        out.append(row | {"url": urljoin(base, href.strip()) if href and href.strip() else None, "at": at})
-    return out
-
-
-_CARD = "array<struct<title:string,company:string,location:string,description:string,url:string,at:int>>"
-
-
-def html_cards(pages: DataFrame, selectors: dict[str, str], portal: str, fetched_at, static: dict | None = None) -> DataFrame:
-    """Listings from the cards of pages (url, html); links are resolved against the page's URL; no dates."""
-
-    @F.pandas_udf(_CARD)
-    def parse(url: pd.Series, html: pd.Series) -> pd.Series:
-        return pd.Series([cards(h, u, selectors) for u, h in zip(url, html)])
-
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), F.explode(parse("url", "html")).alias("c"))
-    rows = rows.select(F.col("c.url").alias("source_id"), "c.title", "c.company", "c.location", "c.description", "c.url", F.lit(None).cast("timestamp").alias("posted_at"), item_order(F.col("page"), F.col("c.at")).alias("item_ord"))
-    return build_listings(rows, portal, fetched_at, static)
-
-
 def sitemap_urls(sitemap: Column) -> Column:
     """The distinct locations of a sitemap's text that look like postings."""
     found = F.regexp_extract_all(sitemap, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1))
