@@ -7,7 +7,6 @@ Texts are profiles of hashed letter trigrams. All machines are fitted on a bound
 from __future__ import annotations
 
 import math
-import re
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +31,6 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "ne", "ur", "pa", "gu"),
     "sinitic": ("zh", "yue"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = "other"
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -86,7 +84,7 @@ class LanguageModel:
                 self.pair_w[a, b] = fit_svm(x[own], np.where(y[own] == a, 1.0, -1.0))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(c.isalpha() for c in text):
             return UNDETERMINED, 0.0
         x = profile(text)
         family, score = self.families[0], 1.0
