@@ -10,7 +10,7 @@ from listwright.operators import score as S
 from listwright.operators.history import EXAMPLE_CAPS
 from listwright.operators.profile import Profile, Ranking
 from listwright.plans.sample import COMPANY_TAILS, PLACE_TAILS, TITLE_HEADS
-from listwright.sources.detect import PLATFORMS, SAME_BACKEND
+from listwright.sources.detect import BOARDS, PLATFORMS, SAME_BACKEND
 from listwright.sources.pages import COUNTRY_CODES
 
 NOW = "TIMESTAMP '2024-01-16 00:00:00'"
@@ -179,12 +179,19 @@ VERDICTS = [
     '{"score": 0.8, "reason": "fits"}', '```json\n{"score": 0.25, "reason": "far"}\n```', '{"score": 1.7, "reason": "great"}', '{"score": -1}',
     'I think {"score": 0.5, "reason": "so so"} is fair', "no idea", "", '{"reason": "none"}', '{"score": 0.4, "reason": 7}',
 ]
-_verdicts = [(0.8, "fits"), (0.25, "far"), (1.0, "great"), (0.0, ""), (0.5, "so so"), (None, None), (None, None), (None, None), (0.4, "")]
 
 
 def verdict_sql() -> str:
-    rows = ", ".join(f"({i}, {'NULL' if s is None else num(s)}, {q(r)})" for i, (s, r) in enumerate(_verdicts))
-    return f"SELECT id::BIGINT AS id, score, reason FROM (VALUES {rows}) v(id, score, reason)"
+    doc = "to_json({'score': (doc_id % 13) / 8.0::DOUBLE - 0.25, 'reason': text})::VARCHAR"
+    plain = """'{"score": 0.' || (doc_id % 10) || ', "reason": "' || translate(text, '"}', '') || '"}'"""
+    shapes = [doc, f"'```json' || chr(10) || {doc} || chr(10) || '```'", f"'I think ' || {plain} || ' is fair'", "text", "to_json({'reason': text})::VARCHAR", """'{"score": ' || (doc_id % 3) || ', "reason": 7}'"""]
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes))
+    loose = r"""'(?s)\{[^}]*"score"\s*:\s*([0-9.]+)[^}]*"reason"\s*:\s*"([^"]*)"[^}]*\}'"""
+    return rf"""WITH a AS (SELECT doc_id AS id, CASE doc_id % {len(shapes)} {cases} END AS raw FROM documents UNION ALL SELECT * FROM {values([(-1 - i, v) for i, v in enumerate(VERDICTS)], "id, raw")}),
+b AS (SELECT id, regexp_replace(coalesce(nullif(regexp_extract(trim(raw), '(?s)```[A-Za-z]*\s*(.*?)```', 1), ''), trim(raw)), '^\s+|\s+$', '', 'g') AS body FROM a),
+j AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS doc FROM b),
+s AS (SELECT *, TRY_CAST(json_extract_string(doc, '$.score') AS DOUBLE) AS strict, TRY_CAST(nullif(regexp_extract(body, {loose}, 1), '') AS DOUBLE) AS found FROM j)
+SELECT id, CASE WHEN coalesce(strict, found) IS NOT NULL THEN round(greatest(0, least(1, coalesce(strict, found))), 6) END AS score, md5(CASE WHEN strict IS NOT NULL THEN CASE WHEN json_type(doc, '$.reason') = 'VARCHAR' THEN json_extract_string(doc, '$.reason') ELSE '' END WHEN found IS NOT NULL THEN regexp_extract(body, {loose}, 2) END) AS reason FROM s"""
 
 
 ANSWERS = [
@@ -204,18 +211,19 @@ DETECT = [
     "https://boards.greenhouse.io/acme-labs", "https://jobs.ashbyhq.com/Acme", "https://jobs.lever.co/acme2", "https://careers.smartrecruiters.com/AcmeCorp", "https://acme.teamtailor.com/",
     "https://candidate.hr-manager.net/vacancies/list.aspx?cid=1234", "https://www.example.org/feed/jobs", "https://example.org/", "https://example.org/jobs.rss",
 ]
-_detect = [
-    ("greenhouse", "greenhouse-acme-labs", "https://boards-api.greenhouse.io/v1/boards/acme-labs/jobs?content=true"),
-    ("ashby", "ashby-acme", "https://api.ashbyhq.com/posting-api/job-board/Acme"),
-    ("lever", "lever-acme2", "https://api.lever.co/v0/postings/acme2?mode=json"),
-    ("smartrecruiters", "smartrecruiters-acmecorp", "https://api.smartrecruiters.com/v1/companies/AcmeCorp/postings?country=dk&limit=100"),
-    ("teamtailor", "teamtailor-acme", "https://acme.teamtailor.com/sitemap.xml"),
-    ("hrmanager", "hr-manager-1234", "https://candidate.hr-manager.net/vacancies/list.aspx?cid=1234"),
-    ("rss", "rss-www-example-org", "https://www.example.org/feed/jobs"),
-    (None, None, None),
-    ("rss", "rss-example-org", "https://example.org/jobs.rss"),
-]
-DETECT_SQL = f"SELECT id::BIGINT AS id, kind, name, endpoint FROM {values([(i, *r) for i, r in enumerate(_detect)], 'id, kind, name, endpoint')}"
+ADDRESSES = (
+    "https://boards.greenhouse.io/NAME", "https://jobs.ashbyhq.com/NAME/x", "https://jobs.lever.co//NAME?a=b", "https://careers.smartrecruiters.com/NAME", "https://NAME.teamtailor.com/jobs",
+    "https://candidate.hr-manager.net/vacancies/list.aspx?customer=NAME", "https://NAME.example.org/feed/jobs", "http://www.NAME.example/jobs.RSS?x", "https://jobs.lever.co/", "NAME", "https://NAME.example/",
+)
+_host, _path = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))", "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_boards = " ".join(f"WHEN h IN ({', '.join(map(q, hosts))}) AND f <> '' THEN [{q(kind)}, {q(kind)} || '-' || lower(f), {q(endpoint.split('{slug}')[0])} || f || {q(endpoint.split('{slug}')[1])}]" for hosts, kind, endpoint, _ in BOARDS)
+DETECT_SQL = rf"""WITH p AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT page_id + 1000000000000, replace(CASE page_id % {len(ADDRESSES)} {" ".join(f"WHEN {i} THEN {q(a)}" for i, a in enumerate(ADDRESSES))} END, 'NAME', regexp_extract(url, '^[a-z]+://(?:[a-z]+\.)?([a-z-]+)\.example', 1) || '-' || to_hex(page_id)) FROM pages
+ UNION ALL SELECT * FROM {values([(-1 - i, u) for i, u in enumerate(DETECT)], "id, url")}),
+h AS (SELECT id, url, {_host} AS h, {_path} AS p, regexp_extract({_path}, '^/+([^/]+)', 1) AS f FROM p),
+d AS (SELECT id, CASE {_boards} WHEN suffix(h, '.teamtailor.com') AND h <> 'www.teamtailor.com' THEN ['teamtailor', 'teamtailor-' || left(h, length(h) - 15), 'https://' || h || '/sitemap.xml']
+ WHEN h = 'candidate.hr-manager.net' AND contains(lower(p), 'list.aspx') AND contains(url, '?') THEN ['hrmanager', 'hr-manager-' || lower(coalesce(nullif(regexp_extract(url, '[?&](?:cid|customer)=([^&#]+)', 1), ''), 'source')), url]
+ WHEN regexp_matches(lower(p), '(\.(rss|atom|xml)$)|/rss|/feed') AND h <> '' THEN ['rss', 'rss-' || trim(regexp_replace(h, '[^a-z0-9]+', '-', 'g'), '-'), url] END AS s FROM h)
+SELECT id, s[1] AS kind, s[2] AS name, s[3] AS endpoint FROM d"""
 
 _codes = [*COUNTRY_CODES, "zz", "dk "]
 _expand = "CASE upper(trim(code)) " + " ".join(f"WHEN {q(c)} THEN {q(n)}" for c, n in COUNTRY_CODES.items()) + " ELSE code END"
@@ -377,7 +385,7 @@ AND len(list_filter(list_concat(ph, sh), lambda x: lower(x) IN ('the', 'der')))
 
 
 def longlist_marked_sql(p: Profile, r: Ranking) -> str:
-    return f"WITH {scored(p, r)} SELECT seq AS listing_id, portal, score FROM sc WHERE portal IN ('src0', 'src1', 'src2') AND seq % 2 = 0 AND seq IN (SELECT doc_id FROM labels WHERE quality = 1)"
+    return f"WITH {scored(p, r)} SELECT seq AS listing_id, portal, score FROM sc WHERE portal IN ('src0', 'src1', 'src2') AND seq IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0)"
 
 
 def stack_facet_sql(p: Profile) -> str:
@@ -413,7 +421,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY polarity ORDER BY note IS NULL,
 SELECT polarity, string_agg(line || coalesce(' — why: ' || note, ''), chr(10) ORDER BY place) AS block FROM p WHERE place <= {_caps} GROUP BY 1"""
 
 RUN_LIST_SQL = f"""WITH {MARKS}, r AS (SELECT 'run-' || o_orderkey AS run_id, o_orderdate AS started_at, o_custkey % 100 AS fetched_count, o_orderkey AS k, o_orderstatus AS s FROM orders),
-u AS (SELECT run_id, started_at, fetched_count, CASE WHEN s = 'F' THEN 'succeeded' ELSE 'failed' END AS state FROM r WHERE k % 3 <> 0 UNION ALL SELECT run_id, started_at, fetched_count, 'succeeded' FROM r WHERE k % 2 = 0 AND k % 3 = 0)
+u AS (SELECT run_id, started_at, fetched_count, CASE WHEN s = 'F' THEN 'succeeded' ELSE 'failed' END AS state FROM r WHERE s <> 'O' UNION ALL SELECT run_id, started_at, fetched_count, 'succeeded' FROM r WHERE s = 'O')
 SELECT run_id, strftime(started_at, '%Y-%m-%d') AS day, fetched_count, state, 'done' AS phase, coalesce(g, 0) AS good_marks FROM u LEFT JOIN (SELECT run_id, count(*) FILTER (WHERE mark = 'good') AS g FROM mk GROUP BY 1) USING (run_id)"""
 
 FETCHES = """fe AS MATERIALIZED (SELECT printf('run-%08d', run) AS run_id, CASE WHEN idx % 2 = 0 THEN 'SRC' ELSE 'src' END || source AS name,
@@ -425,7 +433,7 @@ RECENT_SQL = f"WITH {FETCHES} SELECT provider, run_id, status, fetched_count, pl
 STATUS_SQL = f"""WITH {FETCHES} SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'running') AS running,
  count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status IN ('ok', 'failed')) AS done, coalesce(sum(fetched_count) FILTER (WHERE status = 'ok'), 0)::BIGINT AS fetched FROM fe GROUP BY 1"""
 OVERRIDE_SQL = """WITH c AS (SELECT p_partkey AS id, p_partkey % 3 > 0 AS enabled, p_partkey % 5 = 0 AS requires_secret, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS max_pages, CASE WHEN p_partkey % 2 = 0 THEN 20 END AS page_size, p_partkey % 2 = 0 AS enrich_body FROM part),
-s AS (SELECT p_partkey AS id, p_partkey % 8 = 0 AS opted_in, p_partkey % 12 = 4 AS opted_out, p_partkey % 10 = 0 AS has_secret, CASE WHEN p_partkey % 16 = 0 THEN 9 END AS max_pages, 50 AS page_size, CASE WHEN p_partkey % 3 = 0 THEN 2.0::DOUBLE END AS rate_limit FROM part WHERE p_partkey % 4 = 0)
+s AS (SELECT p_partkey AS id, p_partkey % 8 = 0 AS opted_in, p_partkey % 12 = 4 AS opted_out, p_partkey % 10 = 0 AS has_secret, CASE WHEN p_partkey % 16 = 0 THEN 9 END AS max_pages, 50 AS page_size, CASE WHEN p_partkey % 3 = 0 THEN 2.0::DOUBLE END AS rate_limit FROM part WHERE p_type IN ('ECONOMY', 'PROMO'))
 SELECT c.id, requires_secret, (coalesce(opted_in, false) OR (enabled AND NOT coalesce(opted_out, false))) AND (NOT requires_secret OR coalesce(has_secret, false)) AS enabled,
  CASE WHEN c.max_pages IS NOT NULL THEN coalesce(s.max_pages, c.max_pages) END AS max_pages, CASE WHEN c.max_pages IS NOT NULL THEN coalesce(s.page_size, c.page_size) ELSE c.page_size END AS page_size,
  coalesce(s.rate_limit, 0.5::DOUBLE) AS rate_limit, enrich_body FROM c LEFT JOIN s USING (id)"""
@@ -460,7 +468,7 @@ SELECT run_id, state, phase, attempt, deduped_count, ranked_count, shortlist_cou
 FROM r LEFT JOIN t USING (run_id) LEFT JOIN (SELECT run_id, count(*) AS rejected FROM o WHERE past GROUP BY 1) USING (run_id)"""
 STALE_SQL = """WITH j AS (SELECT user_id AS run_id, max(ts) AS hb FROM events GROUP BY 1), k AS (SELECT *, run_id % 4 <> 0 AND hb < TIMESTAMP '2024-01-30 19:55:00' AS stale FROM j)
 SELECT run_id, CASE WHEN stale THEN 'interrupted' WHEN run_id % 4 = 0 THEN 'succeeded' ELSE 'running' END AS state, stale AS finished FROM k"""
-PAGES_SQL = """WITH p AS MATERIALIZED (SELECT DISTINCT user_id % 10 AS source, event_id // 500 AS page, CASE WHEN event_id // 500 < 18 THEN event_id % (300 + user_id % 10 * 137) END AS item_id FROM events),
+PAGES_SQL = """WITH p AS MATERIALIZED (SELECT DISTINCT user_id % 10 AS source, event_id // 500 AS page, CASE WHEN event_id // 500 % 20 < 18 THEN event_id % (300 + user_id % 10 * 137) END AS item_id FROM events),
 n AS MATERIALIZED (SELECT *, item_id IS NOT NULL AND row_number() OVER (PARTITION BY source, item_id ORDER BY page) = 1 AS fresh FROM p),
 e AS (SELECT source, page, count(item_id) AS n, count(*) FILTER (WHERE fresh) AS added FROM n GROUP BY 1, 2),
 w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY page) AS nth, coalesce(max((n = 0 OR added = 0 OR n < 20)::INT) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM e)

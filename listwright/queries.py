@@ -154,9 +154,15 @@ def freshness_score(spark, d):
 
 @query(O.verdict_sql())
 def verdict_parse(spark, d):
-    rows = _values(spark, [(i, v) for i, v in enumerate(O.VERDICTS)], "id long, raw string")
+    """A judge's answer on every document, with the whole text as reason: plain, fenced, within prose, or broken."""
+    k, text = F.col("doc_id"), F.col("text")
+    doc = F.to_json(F.struct(((k % 13) / 8 - 0.25).alias("score"), text.alias("reason")))
+    plain = F.concat(F.lit('{"score": 0.'), (k % 10).cast("string"), F.lit(', "reason": "'), F.translate(text, '"}', ""), F.lit('"}'))
+    shapes = [doc, F.concat(F.lit("```json\n"), doc, F.lit("\n```")), F.concat(F.lit("I think "), plain, F.lit(" is fair")), text, F.to_json(F.struct(text.alias("reason"))), F.concat(F.lit('{"score": '), (k % 3).cast("string"), F.lit(', "reason": 7}'))]
+    own = sample.read(spark, d, "documents").select(k.alias("id"), F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int")).alias("raw"))
+    rows = own.unionByName(_values(spark, [(-1 - i, v) for i, v in enumerate(O.VERDICTS)], "id long, raw string"))
     found, reason = J.verdict(F.col("raw"))
-    return rows.select("id", _r6(found, "score"), reason.alias("reason"))
+    return rows.select("id", _r6(found, "score"), F.md5(reason).alias("reason"))
 
 
 @query(O.profile_answer_sql())
@@ -168,7 +174,13 @@ def profile_parse(spark, d):
 
 @query(O.DETECT_SQL)
 def source_detect(spark, d):
-    rows = _values(spark, [(i, u) for i, u in enumerate(O.DETECT)], "id long, url string")
+    """The addresses of all pages, as they are and as boards, feeds and sitemaps of every kind would have them."""
+    k = F.col("page_id")
+    name = F.concat(F.regexp_extract("url", r"^[a-z]+://(?:[a-z]+\.)?([a-z-]+)\.example", 1), F.lit("-"), F.hex(k))
+    made = [F.when(k % len(O.ADDRESSES) == i, F.replace(F.lit(a), F.lit("NAME"), name)) for i, a in enumerate(O.ADDRESSES)]
+    pages = sample.read(spark, d, "pages")
+    own = pages.select(k.alias("id"), "url").unionByName(pages.select((k + 1_000_000_000_000).alias("id"), F.coalesce(*made).alias("url")))
+    rows = own.unionByName(_values(spark, [(-1 - i, u) for i, u in enumerate(O.DETECT)], "id long, url string"))
     return rows.select("id", detect.detect_source(F.col("url")).alias("s")).select("id", "s.kind", "s.name", "s.endpoint")
 
 
@@ -283,7 +295,7 @@ def longlist_filter(spark, d):
 def longlist_shortlisted(spark, d):
     f = longlist.LonglistFilter(portals=("src0", "src1", "src2"), mark="good", shortlist_only=True)
     own = sample.read(spark, d, "labels").select(F.col("doc_id").alias("listing_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("mark"))
-    short = sample.read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("listing_id"))
+    short = sample.read(spark, d, "labels").where("toxic = 0").select(F.col("doc_id").alias("listing_id"))
     return longlist.longlist(_longlist_rows(spark, d), f, NOW, own, short).select("listing_id", "portal", "score")
 
 
@@ -347,8 +359,8 @@ def fewshot_topk(spark, d):
 def run_list_merge(spark, d):
     orders = sample.read(spark, d, "orders")
     runs = orders.select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), F.col("o_orderdate").alias("started_at"), (F.col("o_custkey") % 100).alias("fetched_count"), F.col("o_orderkey"), "o_orderstatus")
-    jobs = runs.where("o_orderkey % 3 <> 0").select("run_id", F.when(F.col("o_orderkey") % 2 == 0, F.col("started_at")).alias("started_at"), F.col("started_at").alias("created_at"), "fetched_count", F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed").alias("state"), F.lit("done").alias("phase"))
-    past = runs.where("o_orderkey % 2 = 0").select("run_id", "started_at", "fetched_count")
+    jobs = runs.where("o_orderstatus <> 'O'").select("run_id", F.when(F.col("o_orderkey") % 2 == 0, F.col("started_at")).alias("started_at"), F.col("started_at").alias("created_at"), "fetched_count", F.when(F.col("o_orderstatus") == "F", "succeeded").otherwise("failed").alias("state"), F.lit("done").alias("phase"))
+    past = runs.where("o_orderstatus <> 'P'").select("run_id", "started_at", "fetched_count")
     out = history.run_list(jobs, past, sample.marks(spark, d))
     return out.select("run_id", F.date_format("started_at", "yyyy-MM-dd").alias("day"), "fetched_count", "state", "phase", "good_marks")
 
@@ -374,7 +386,7 @@ def config_override_merge(spark, d):
     part = sample.read(spark, d, "part")
     k = F.col("p_partkey")
     catalogue = part.select(k.alias("id"), (k % 3 > 0).alias("enabled"), (k % 5 == 0).alias("requires_secret"), F.when(k % 2 == 0, F.col("p_size")).alias("max_pages"), F.when(k % 2 == 0, F.lit(20)).alias("page_size"), F.lit(0.5).alias("rate_limit"), (k % 2 == 0).alias("enrich_body"))
-    state = part.where("p_partkey % 4 = 0").select(k.alias("id"), (k % 8 == 0).alias("opted_in"), (k % 12 == 4).alias("opted_out"), (k % 10 == 0).alias("has_secret"), F.when(k % 16 == 0, F.lit(9)).alias("max_pages"), F.lit(50).alias("page_size"), F.when(k % 3 == 0, F.lit(2.0)).alias("rate_limit"), F.lit(None).cast("boolean").alias("enrich_body"))
+    state = part.where("p_type in ('ECONOMY', 'PROMO')").select(k.alias("id"), (k % 8 == 0).alias("opted_in"), (k % 12 == 4).alias("opted_out"), (k % 10 == 0).alias("has_secret"), F.when(k % 16 == 0, F.lit(9)).alias("max_pages"), F.lit(50).alias("page_size"), F.when(k % 3 == 0, F.lit(2.0)).alias("rate_limit"), F.lit(None).cast("boolean").alias("enrich_body"))
     return providers.merge_overrides(catalogue, state)
 
 
@@ -440,7 +452,7 @@ def stale_runs(spark, d):
 @query(O.PAGES_SQL)
 def page_take_while(spark, d):
     events = sample.read(spark, d, "events")
-    pages = events.select((F.col("user_id") % 10).alias("source"), F.expr("event_id div 500").alias("page"), F.when(F.expr("event_id div 500") < 18, F.col("event_id") % (300 + F.col("user_id") % 10 * 137)).alias("item_id")).distinct()
+    pages = events.select((F.col("user_id") % 10).alias("source"), F.expr("event_id div 500").alias("page"), F.when(F.expr("event_id div 500") % 20 < 18, F.col("event_id") % (300 + F.col("user_id") % 10 * 137)).alias("item_id")).distinct()
     return timeline.take_pages(pages, size=20, max_pages=15)
 
 
