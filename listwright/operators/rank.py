@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import dates
 from listwright.operators.profile import Ranking
+from listwright.plans.storage import written
 
 DROP_REASONS = ("above_max_age", "missing_required_primary", "disqualifier", "below_min_score", "beyond_top_n")
 
@@ -42,16 +43,23 @@ def shortlist(classified: DataFrame, top_n: int, seq: str = "seq") -> DataFrame:
 
 
 def ranked(classified: DataFrame, seq: str = "seq") -> DataFrame:
-    """Rows that pass with ``rank`` from 1 and ``passed``, their number. Ranks are counted within score bands and start
-    from what the bands above hold, so no task sorts all rows."""
-    passing = classified.where("drop_reason is null").withColumn("band_", F.floor(F.col("score") * 4096).cast("int"))
-    bands = passing.groupBy("band_").agg(F.count("*").alias("n_"))
-    above = Window.orderBy(F.desc("band_")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.withColumn("above_", F.coalesce(F.sum("n_").over(above), F.lit(0))).withColumn("passed", F.sum("n_").over(Window.partitionBy()))
-    within = Window.partitionBy("band_").orderBy(F.desc("score"), F.asc(seq))
-    # 4097 bands at most
-    joined = passing.join(F.broadcast(bands), "band_")
-    return joined.withColumn("rank", F.col("above_") + F.row_number().over(within)).drop("band_", "n_", "above_")
+    """Rows that pass with ``rank`` from 1 and ``passed``, their number.
+
+    Rows are dealt by ranges of (score, seq), whose bounds Spark takes from the rows themselves, so a score that most rows
+    share is cut between its rows like any other stretch. A row's rank is its place within its range after what the
+    ranges before hold; no task sees more than its range.
+    """
+    order = F.desc("score"), F.asc(seq)
+    ranges = classified.where("drop_reason is null").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number of a row holds for one evaluation only, so rows are written with it: range in the upper bits, place below
+    placed = written(ranges.withColumn("place_", F.monotonically_increasing_id()), "ranges").withColumn("range_", F.shiftright("place_", 33))
+    sizes = placed.groupBy("range_").agg(F.count("*").alias("n_"))
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"), F.sum("n_").over(Window.partitionBy()).alias("passed"))
+    # as many rows as there are shuffle partitions at most
+    joined = placed.join(F.broadcast(offsets), "range_")
+    within = F.col("place_").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.withColumn("rank", F.col("before_") + within + 1).drop("range_", "place_", "before_")
 
 
 def beyond_top_n(classified: DataFrame, top_n: int, seq: str = "seq") -> DataFrame:
