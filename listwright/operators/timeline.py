@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listwright.plans.storage import discard, written
+
 # fixed values: the phases in order
 PHASES = ("pending", "fetching", "deduping", "ranking", "llmJudging", "writing", "done")
 
@@ -53,14 +55,35 @@ def take_pages(pages: DataFrame, size: int | None = None, max_pages: int | None
 
 def breaker_state(calls: DataFrame, threshold: int = 3) -> DataFrame:
     """Calls (host, seq, ok) with ``failures``, how many in a row failed up to and including it, and ``skipped``: an
-    earlier row of ``threshold`` failures has opened the host's breaker."""
-    order = Window.partitionBy("host").orderBy("seq")
-    island = F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = calls.withColumn("island_", island)
-    within = Window.partitionBy("host", "island_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("failures", F.sum((~F.col("ok")).cast("long")).over(within))
-    opened = F.max((F.col("failures") >= threshold).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("skipped", F.coalesce(opened == 1, F.lit(False))).drop("island_")
+    earlier row of ``threshold`` failures has opened the host's breaker.
+
+    Calls are dealt by ranges of (host, seq), so a host with most of the calls is cut into many. A range is first seen by
+    itself; the failures that it ends with are carried into the host's next ranges, which are few, and only then its rows
+    are counted. No window spans more than a range of calls, or the ranges of a host. Calls
+    without a host are those of one more host.
+    """
+    # null hosts are one host, which joins would lose
+    keyed = calls.withColumn("host_", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")))
+    ranges = keyed.repartitionByRange("host_", "seq")
+    placed = written(ranges.withColumn("range_", F.spark_partition_id()), "ranges")
+    here = Window.partitionBy("host_", "range_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.withColumn("island_", F.sum(F.col("ok").cast("long")).over(here))
+    # what a range leaves to the next: its last failures, and whether these are all of it
+    left = placed.groupBy("host_", "range_").agg(F.max(F.when(F.col("ok"), F.col("seq"))).alias("last_ok"), F.count("*").alias("n_"))
+    since = placed.join(left, ["host_", "range_"]).where("last_ok is null or seq > last_ok").groupBy("host_", "range_").agg(F.count("*").alias("trailing"))
+    left = left.join(since, ["host_", "range_"], "left").select("host_", "range_", F.coalesce("trailing", F.lit(0)).alias("trailing"), F.col("last_ok").isNotNull().cast("int").alias("breaks"))
+    upto = Window.partitionBy("host_").orderBy("range_")
+    left = left.withColumn("since_", F.sum("breaks").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.sum("trailing").over(Window.partitionBy("host_", "since_").orderBy("range_").rowsBetween(Window.unboundedPreceding, 0))
+    left = left.withColumn("run_", run).select("host_", "range_", F.coalesce(F.lag("run_").over(upto), F.lit(0)).alias("carried"))
+    within = Window.partitionBy("host_", "range_", "island_").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum((~F.col("ok")).cast("long")).over(within)
+    rows = rows.join(left, ["host_", "range_"]).withColumn("failures", own + F.when(F.col("island_") == 0, F.col("carried")).otherwise(0))
+    counted = written(rows.drop("island_", "carried"), "counted")
+    opened = counted.groupBy("host_", "range_").agg(F.min(F.when(F.col("failures") >= threshold, F.col("seq"))).alias("first_"))
+    opened = opened.select("host_", "range_", F.min("first_").over(upto.rowsBetween(Window.unboundedPreceding, 0)).alias("opened_at"))
+    discard(placed)
+    return counted.join(opened, ["host_", "range_"]).withColumn("skipped", F.coalesce(F.col("seq") > F.col("opened_at"), F.lit(False))).drop("host_", "range_", "opened_at")
 
 
 def fold_runs(events: DataFrame) -> DataFrame:
