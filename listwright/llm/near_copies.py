@@ -39,6 +39,8 @@ ORDER_SAMPLE, ORDER_FREQUENT, ORDER_LEAST = 4000, 1 << 17, 3
 SMALL_GROUP, PIVOTS, MOST_PIVOTS = 64, 64, 1 << 14
 #: Rows of a group that one task gets, about, beside the pivots.
 BLOCK = 20_000
+#: Shingles up to which a text's hashes go with it into the search of later rounds, which then settles its pairs itself.
+CARRIED = 1024
 #: Partners of a text that one task verifies.
 PARTNERS = 256
 
@@ -112,6 +114,17 @@ def _enough(size_a, reach_a, size_b, reach_b):
     return (num + den) * np.minimum(reach_a, reach_b) >= num * (size_a + size_b)
 
 
+def _settled(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """For each other set of hashes whether it is similar; True where either isn't carried, so the texts decide."""
+    num, den = SIMILAR
+    out = np.ones(len(others), bool)
+    for i, other in enumerate(others):
+        if len(own) and len(other):
+            both = len(np.intersect1d(own, other, assume_unique=True))
+            out[i] = both * den >= num * (len(own) + len(other) - both)
+    return out
+
+
 _MASKS = np.array(wildcard_masks(), np.int64).view(np.uint64)
 
 
@@ -167,18 +180,21 @@ def _candidates(batches):
         deals, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_deal", "lw_node", "lw_root", "lw_size"))
         home, pivot, reach = (table.column(c).to_numpy() for c in ("lw_home", "lw_pivot", "lw_reach"))
         marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(deals), -1)
+        sets = [np.frombuffer(x or b"", np.uint64) for x in table.column("lw_set").to_pylist()]
         starts, sizes = _runs(deals)
         two = starts[sizes == 2]
         two = two[(roots[two] != roots[two + 1]) & (pivot[two] | pivot[two + 1])]
         two = two[_enough(size[two], reach[two], size[two + 1], reach[two + 1])]
         near = two[_maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
+        near = near[[bool(_settled(sets[i], [sets[i + 1]])[0]) for i in near]] if len(near) else near
         out = [(nodes[near], nodes[near + 1])]
         for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             own = s + np.flatnonzero(home[s : s + m])
             own_nodes, own_roots, own_size, own_reach, own_marks = nodes[own], roots[own], size[own], reach[own], marks[own]
             for i in (s + np.flatnonzero(pivot[s : s + m])).tolist():
                 some = np.flatnonzero((own_roots != roots[i]) & _enough(size[i], reach[i], own_size, own_reach))
-                found = own_nodes[some[_maybe(size[i], marks[i], own_size[some], own_marks[some])]]
+                some = some[_maybe(size[i], marks[i], own_size[some], own_marks[some])]
+                found = own_nodes[some[_settled(sets[i], [sets[j] for j in own[some].tolist()])]] if len(some) else own_nodes[some]
                 out.append((np.full(len(found), nodes[i]), found))
         a, b = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -196,6 +212,19 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _bodies(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lw_node, lw_body): one text of each node of ``wanted``."""
+    hashes = nodes.select("lw_node", "lw_text_hash").join(wanted.select("lw_node").distinct(), "lw_node", "left_semi")
+    found = docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(hashes, "lw_text_hash").dropDuplicates(["lw_node"])
+    return found.select("lw_node", "lw_body")
+
+
+def _carried(batches):
+    for batch in batches:
+        sets = [hashed(t) for t in texts(batch.column("lw_body"))]
+        yield pa.RecordBatch.from_arrays([batch.column("lw_node"), pa.array([h.tobytes() if len(h) <= CARRIED else None for h in sets], pa.binary())], names=["lw_node", "lw_set"])
+
+
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of nodes that are similar. A text with many partners is dealt to several tasks with some
     of them each; a pair takes one text along, not two."""
@@ -205,9 +234,7 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     dealt = materialize(pairs.join(counts, "a").select("a", "b", F.xxhash64("a", part).alias("lw_deal")), "dealt")
     wanted = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "lw_deal").distinct().unionByName(dealt)
     wanted = wanted.withColumn("lw_node", F.coalesce("b", "a"))
-    hashes = nodes.select("lw_node", "lw_text_hash").join(wanted.select("lw_node").distinct(), "lw_node", "left_semi")
-    bodies = docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(hashes, "lw_text_hash").dropDuplicates(["lw_node"])
-    rows = wanted.join(bodies.select("lw_node", "lw_body"), "lw_node").select("lw_deal", "a", "b", "lw_body")
+    rows = wanted.join(_bodies(docs, nodes, wanted), "lw_node").select("lw_deal", "a", "b", "lw_body")
     found = rows.repartition("lw_deal").sortWithinPartitions("lw_deal", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
     found = materialize(found, "similar")
     discard(dealt)
@@ -236,14 +263,21 @@ def _turn(postings: DataFrame, roots: DataFrame | None, turn: int) -> DataFrame:
     return materialize(sized, "turn")
 
 
-def _pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Distinct pairs to verify of a turn's ``rows``, a group's rows dealt in blocks and its pivots to every block."""
+def _pairs(docs: DataFrame, nodes: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs to verify of a turn's ``rows``, a group's rows dealt in blocks and its pivots to every block. After
+    the first turn few rows are left, but in groups where many pairs are nearly similar: these carry their hashes."""
+    if turn == 0:
+        rows = rows.withColumn("lw_set", F.lit(None).cast("binary"))
+    else:
+        small_batches(docs.sparkSession)
+        sets = materialize(_bodies(docs, nodes, rows).mapInArrow(_carried, "lw_node bigint, lw_set binary"), "sets")
+        rows = rows.join(sets, "lw_node", "left")
     blocks = F.ceil(F.col("lw_rows") / F.lit(BLOCK))
     own = F.pmod(F.xxhash64("lw_node"), blocks)
     marked = rows.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node").withColumn("lw_own", own)
     dealt = marked.withColumn("lw_block", F.explode(F.when(F.col("lw_pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("lw_own"))))
     dealt = dealt.select(
-        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_reach", "lw_root", "lw_size", "lw_wide", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
+        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_reach", "lw_root", "lw_size", "lw_wide", "lw_set", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
     )
     found = dealt.repartition("lw_deal").sortWithinPartitions("lw_deal").mapInArrow(_candidates, "a bigint, b bigint")
     return materialize(found.distinct(), "pairs")
@@ -264,7 +298,7 @@ def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
 def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFrame | None, turn: int):
     """One round over the groups of ``postings`` (lw_key, lw_node, lw_reach): roots so far and what later rounds have to look at."""
     rows = _turn(postings, roots, turn)
-    pairs = _pairs(nodes, rows)
+    pairs = _pairs(docs, nodes, rows, turn)
     left = materialize(rows.where("lw_more and not lw_pivot and lw_key % 2 <> 0").select("lw_key", "lw_node", "lw_reach"), "left")
     links = _verify(docs, nodes, pairs)
     now = _joined(links, roots)
