@@ -199,12 +199,19 @@ ANSWERS = [
     'Here: ```json\n{"name": "", "experienceYears": 99, "seniority": "boss", "primaryStack": "Rust", "languages": [1, "da"]}\n```',
     'text {"location": "Oslo", "experienceYears": "5"} text', "[1]", "", "{broken",
 ]
-_answers = [("Ann", "Berlin", 8, "senior", "C#|Go", "English"), (None, None, None, None, "Rust", "da"), (None, "Oslo", None, None, "", ""), (None,) * 6, (None,) * 6, (None,) * 6]
-
-
 def profile_answer_sql() -> str:
-    rows = ", ".join(f"({i}, {q(a)}::VARCHAR, {q(b)}::VARCHAR, {q(c)}::BIGINT, {q(d)}::VARCHAR, {q(e)}::VARCHAR, {q(f)}::VARCHAR)" for i, (a, b, c, d, e, f) in enumerate(_answers))
-    return f"SELECT id::BIGINT AS id, name, location, years, seniority, primary_stack, languages FROM (VALUES {rows}) v(id, name, location, years, seniority, primary_stack, languages)"
+    doc = "to_json({'name': split_part(text, chr(10), 1), 'location': ' ' || lang, 'experienceYears': (doc_id % 130) / 2.0::DOUBLE, 'seniority': ['Senior', 'lead', 'boss'][doc_id % 3 + 1], 'primaryStack': [source, ' ', lang], 'languages': lang})::VARCHAR"
+    shapes = [doc, f"'Here:' || chr(10) || '```json' || chr(10) || {doc} || chr(10) || '```' || chr(10)", f"'It says ' || {doc} || ' so far'", f"'[' || {doc} || ']'", "text", "to_json({'experienceYears': doc_id::VARCHAR, 'name': 7, 'languages': [doc_id]})::VARCHAR"]
+    cases = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(shapes))
+    text = lambda n: f"nullif(trim(CASE WHEN json_type(doc, '$.{n}') = 'VARCHAR' THEN json_extract_string(doc, '$.{n}') END), '')"
+    many = lambda n: f"CASE WHEN doc IS NOT NULL THEN array_to_string(list_filter(CASE json_type(doc, '$.{n}') WHEN 'ARRAY' THEN list_transform(json_extract(doc, '$.{n}[*]'), lambda v: CASE WHEN json_type(v) = 'VARCHAR' THEN trim(v->>'$') END) WHEN 'VARCHAR' THEN [{text(n)}] END, lambda v: v <> ''), '|') END"
+    years = "TRY_CAST(json_extract(doc, '$.experienceYears') AS DOUBLE)"
+    return rf"""WITH a AS (SELECT doc_id AS id, CASE doc_id % {len(shapes)} {cases} END AS raw FROM documents UNION ALL SELECT * FROM {values([(-1 - i, v) for i, v in enumerate(ANSWERS)], "id, raw")}),
+b AS (SELECT id, regexp_replace(coalesce(nullif(regexp_extract(trim(raw), '(?s)```[A-Za-z]*\s*(.*?)```', 1), ''), trim(raw)), '^\s+|\s+$', '', 'g') AS body FROM a),
+c AS (SELECT id, CASE WHEN json_valid(body) THEN body WHEN json_valid(regexp_extract(body, '(?s)\{{.*\}}', 0)) THEN regexp_extract(body, '(?s)\{{.*\}}', 0) END AS found FROM b),
+p AS (SELECT id, CASE WHEN json_type(found) = 'OBJECT' THEN found END AS doc FROM c)
+SELECT id, md5({text("name")}) AS name, {text("location")} AS location, CASE WHEN json_type(doc, '$.experienceYears') NOT IN ('VARCHAR', 'BOOLEAN') AND {years} BETWEEN 0 AND 60 THEN round_even({years}, 0)::BIGINT END AS years,
+ CASE WHEN lower({text("seniority")}) IN ('junior', 'mid', 'senior', 'lead', 'any') THEN lower({text("seniority")}) END AS seniority, coalesce({many("primaryStack")}, CASE WHEN doc IS NOT NULL THEN '' END) AS primary_stack, coalesce({many("languages")}, CASE WHEN doc IS NOT NULL THEN '' END) AS languages FROM p"""
 
 
 DETECT = [

@@ -167,9 +167,22 @@ def verdict_parse(spark, d):
 
 @query(O.profile_answer_sql())
 def profile_parse(spark, d):
-    rows = _values(spark, [(i, v) for i, v in enumerate(O.ANSWERS)], "id long, raw string")
+    """A model's answer on every document: an object, fenced, within prose, of the wrong kind, or no JSON at all."""
+    k, line = F.col("doc_id"), F.substring_index("text", "\n", 1)
+    answer = F.struct(
+        line.alias("name"),
+        F.concat(F.lit(" "), "lang").alias("location"),
+        (k % 130 / 2).alias("experienceYears"),
+        F.element_at(F.array(F.lit("Senior"), F.lit("lead"), F.lit("boss")), (k % 3 + 1).cast("int")).alias("seniority"),
+        F.array(F.col("source"), F.lit(" "), F.col("lang")).alias("primaryStack"),
+        F.col("lang").alias("languages"),
+    )
+    doc = F.to_json(answer)
+    shapes = [doc, F.concat(F.lit("Here:\n```json\n"), doc, F.lit("\n```\n")), F.concat(F.lit("It says "), doc, F.lit(" so far")), F.concat(F.lit("["), doc, F.lit("]")), F.col("text"), F.to_json(F.struct(k.cast("string").alias("experienceYears"), F.lit(7).alias("name"), F.array(k).alias("languages")))]
+    own = sample.read(spark, d, "documents").select(k.alias("id"), F.element_at(F.array(*shapes), (k % len(shapes) + 1).cast("int")).alias("raw"))
+    rows = own.unionByName(_values(spark, [(-1 - i, v) for i, v in enumerate(O.ANSWERS)], "id long, raw string"))
     p = rows.select("id", J.profile_answer(F.col("raw")).alias("p"))
-    return p.select("id", "p.name", "p.location", F.col("p.experienceYears").cast("long").alias("years"), "p.seniority", F.array_join("p.primaryStack", "|").alias("primary_stack"), F.array_join("p.languages", "|").alias("languages"))
+    return p.select("id", F.md5("p.name").alias("name"), "p.location", F.col("p.experienceYears").cast("long").alias("years"), "p.seniority", F.array_join("p.primaryStack", "|").alias("primary_stack"), F.array_join("p.languages", "|").alias("languages"))
 
 
 @query(O.DETECT_SQL)
