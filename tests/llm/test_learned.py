@@ -5,6 +5,7 @@ import random
 import zlib
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from listwright.llm import langid as L
@@ -144,8 +145,39 @@ def test_every_language_is_learnt(spark, monkeypatch):
 
 def test_family_machines():
     rows = lang_rows()
-    import numpy as np
-
     model = L.LanguageModel(sorted(LANGS), np.array([L.profile(t) for _, t, _ in rows], float), [lang for *_, lang in rows])
     assert model.families == ["germanic", "other", "romance"]
     assert sorted(model.pair_w) == [("de", "en"), ("es", "fr")]
+
+
+def test_language_votes_against_plain_loops():
+    """Every prediction again by plain loops over the same weights: trigram counts, the best family, a vote for each pair."""
+    rows = lang_rows()
+    model = L.LanguageModel(sorted(LANGS), np.array([L.profile(t) for _, t, _ in rows], float), [lang for *_, lang in rows])
+    seen = set()
+    for _, text, _ in rows[:150] + [(0, "x", ""), (0, "ü é", ""), (0, "The 12 und QUE", "")]:
+        raw = b" " + bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode()) + b" "
+        counts = [0.0] * L.DIMENSIONS
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            counts[((a * 2654435761 + b * 40503 + c * 2246822519) % 2**32 >> 7) % L.DIMENSIONS] += 1
+        norm = sum(counts) ** 0.5
+        x = [n**0.5 / norm for n in counts]
+        dot = lambda w: sum(u * v for u, v in zip(w, x) if v) + w[-1]
+        family = max(zip((dot(w) for w in model.family_w), model.families))[1] if model.family_w is not None else model.families[0]
+        own = model.members[family]
+        wins = dict.fromkeys(own, 0.0)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                z = dot(model.pair_w[a, b])
+                wins[a if z >= 0 else b] += 1 + min(abs(z), 1e3) / 1e6
+        assert model.predict(text)[0] == max(own, key=lambda v: (wins[v], v))
+        seen.add(model.predict(text)[0])
+    assert seen == set(LANGS)
+
+
+def test_what_is_no_letter_has_no_language():
+    rows = lang_rows()
+    model = L.LanguageModel(sorted(LANGS), np.array([L.profile(t) for _, t, _ in rows], float), [lang for *_, lang in rows])
+    for text in ("½ ²", "①", "Ⅷ", "12 %", "_", " ", "", None, "٣"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("a")[0] in LANGS
