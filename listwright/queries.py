@@ -19,7 +19,7 @@ from listwright.operators.keywords import keyword_matches
 from listwright.plans import sample
 from listwright.plans.search import dedupe_listings
 from listwright.plans.storage import shared_dir, written
-from listwright.sources import cards, detect, files, settings
+from listwright.sources import cards, detect, files, registry, settings
 from listwright.sources.listing import enrich, gather, item_order, stable_id
 from listwright.sources.pages import COUNTRY_CODES, country_of
 
@@ -507,8 +507,10 @@ def streamed_run_records(spark, d):
     return replay_run_records(sample.run_events(spark, sample.read(spark, d, "events")))
 
 
-@query(O.API_SQL)
-def api_listings(spark, d):
+API_MAPPING = {"items_path": "data.items", "id": "meta.id", "title": "name", "company": "employer.label", "description": "body", "url": "link"}
+
+
+def _api_answers(spark, d) -> DataFrame:
     """Answers of a JSON API, 50 items each, built from all documents: whole texts come back through the mapping."""
     docs = sample.read(spark, d, "documents")
     item = F.struct(
@@ -520,8 +522,13 @@ def api_listings(spark, d):
     )
     pages = docs.groupBy(F.floor(F.col("doc_id") / 50).alias("page")).agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("i")))).alias("rows"))
     answer = F.to_json(F.struct(F.struct(F.col("rows.i").alias("items")).alias("data")))
-    mapping = {"items_path": "data.items", "id": "meta.id", "title": "name", "company": "employer.label", "description": "body", "url": "link"}
-    rows = files.payload_listings(pages.select(F.try_parse_json(answer).alias("doc"), "page"), mapping, "api", NOW)
+    return pages.select("page", answer.alias("value"))
+
+
+@query(O.API_SQL)
+def api_listings(spark, d):
+    answers = _api_answers(spark, d)
+    rows = files.payload_listings(answers.select(F.try_parse_json("value").alias("doc"), "page"), API_MAPPING, "api", NOW)
     return rows.select("id", "title", "company", "url", F.col("item_ord.page").alias("page"), F.length("description").cast("long").alias("chars"), F.md5("description").alias("digest"))
 
 
@@ -549,8 +556,7 @@ def _text_files(rows: DataFrame, label: str) -> str:
     return f"{folder}/file=*"
 
 
-@query(O.CSV_SQL)
-def imported_csv(spark, d):
+def _csv_files(spark, d) -> str:
     """Files of fifty customers each, whose headers differ in order, case, repeated and missing columns."""
     k = F.col("c_custkey")
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
@@ -570,7 +576,12 @@ def imported_csv(spark, d):
         record = F.concat_ws(",", *[F.coalesce(values[h], F.lit("")) for h in order])
         texts = own.groupBy(file.alias("file")).agg(F.concat(F.lit(",".join(order) + "\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", record.alias("r")))), lambda x: x["r"]), "\n\n")).alias("value"))
         out = texts if out is None else out.unionByName(texts)
-    rows = files.manual_csv(spark, _text_files(out, "imports"), "csv", NOW)
+    return _text_files(out, "imports")
+
+
+@query(O.CSV_SQL)
+def imported_csv(spark, d):
+    rows = files.manual_csv(spark, _csv_files(spark, d), "csv", NOW)
     return rows.select("id", "title", "company", "location", "description", "url", F.date_format("posted_at", "yyyy-MM-dd").alias("day"))
 
 
@@ -584,8 +595,7 @@ def page_cards(spark, d):
     return shown(menu, "menu").unionByName(shown(article, "article"))
 
 
-@query(O.JSON_SQL)
-def imported_json(spark, d):
+def _json_files(spark, d) -> str:
     """Files of fifty parts each as JSON arrays, with keys that repeat in another case, values of every kind and items that
     are no objects."""
     k = F.col("p_partkey")
@@ -603,10 +613,34 @@ def imported_json(spark, d):
         )
     )
     docs = sample.read(spark, d, "part").groupBy(F.floor(k / 50).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("i")))), lambda x: x["i"]), ",\n"), F.lit("]")).alias("value"))
-    rows = files.manual_json(spark, _text_files(docs, "imports"), "json", NOW)
+    return _text_files(docs, "imports")
+
+
+@query(O.JSON_SQL)
+def imported_json(spark, d):
+    rows = files.manual_json(spark, _json_files(spark, d), "json", NOW)
     return rows.select("id", "title", "company", "location", "description", "url")
 
 
+@query(O.SOURCES_SQL)
+def source_statuses(spark, d):
+    """A run over a catalogue of stored answers: three kinds of sources over whole tables, one of an unknown kind, one whose
+    files aren't there and one that is switched off; what each gave, and its status."""
+    answers = _text_files(_api_answers(spark, d).withColumnRenamed("page", "file"), "answers")
+    catalogue = [
+        registry.Source("docs", "API", answers, API_MAPPING),
+        registry.Source("mystery", "gopher", answers),
+        registry.Source("parts", "manual", _json_files(spark, d)),
+        registry.Source("lost", "manual", f"{answers}/nowhere"),
+        registry.Source("customers", "manual", _csv_files(spark, d), {"format": "csv"}),
+        registry.Source("off", "api", answers, API_MAPPING, enabled=False),
+    ]
+    found, statuses = registry.fetch_sources(spark, catalogue, NOW)
+    rows = gather(found).groupBy(F.col("portal").alias("name")).agg(F.count("*").alias("listings"), F.count_distinct("id").alias("ids"), F.max("source_ord").alias("place"))
+    said = F.when(F.startswith("error", F.lit("unsupported")), F.col("error")).when(F.col("error").isNotNull(), "unreadable")
+    return statuses.join(rows, "name", "left").select("name", "status", "fetched_count", said.alias("error"), "listings", "ids", "place")
+
+
 @query(O.MARK_DOCUMENTS_SQL)
 def marks_documents(spark, d):
     """A document of marks for each run of labelled listings, with marks of both shapes and what is neither among them."""

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from listwright.streaming.runs import KEEP_MS, OUTPUT, PHASE_OF, TERMINAL, TIMEOUT_MS
+from listwright.operators.timeline import PHASE_OF, TERMINAL
+from listwright.streaming.runs import KEEP_MS, OUTPUT, TIMEOUT_MS
 
 #: Needed by stateful processors; a session that runs ``live_run_records`` sets it when it is built or before it starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

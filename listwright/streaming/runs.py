@@ -8,28 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from listwright.operators.timeline import PHASE_OF, TERMINAL
+
 STATE = "state string, phase string, attempt int, fetched string, deduped long, shortlist long, top_score double, rejected long, events long"
 OUTPUT = "run_id string, state string, phase string, attempt int, fetched_count long, deduped_count long, shortlist_count long, top_score double, rejected long, events long"
 TIMEOUT_MS = 5 * 60 * 1000
 #: How long the state of a run that is over is kept, to reject late events.
 KEEP_MS = 24 * 60 * 60 * 1000
 
-# fixed values: the phase that an event puts a run into
-PHASE_OF = {
-    "running": "fetching",
-    "started": "fetching",
-    "provider_running": "fetching",
-    "provider_done": "fetching",
-    "provider_failed": "fetching",
-    "dedupe": "deduping",
-    "llm_judging": "llmJudging",
-    "rank": "ranking",
-    "complete": "writing",
-    "succeeded": "done",
-}
-TERMINAL = ("succeeded", "failed", "cancelled")
-
-
 def _number(value):
     return None if value is None or pd.isna(value) else value
 
