@@ -528,3 +528,8 @@ SELECT page, kind, trim(regexp_replace({_text("title")}, '\s+', ' ', 'g')) AS ti
 _fetched = lambda name, sql, place: f"SELECT '{name}' AS name, 'ok' AS status, count(*) AS fetched_count, NULL::VARCHAR AS error, count(*) AS listings, count(DISTINCT id) AS ids, {place} AS place FROM ({sql})"
 SOURCES_SQL = f"""{_fetched("docs", API_SQL, 0)} UNION ALL {_fetched("parts", JSON_SQL, 1)} UNION ALL {_fetched("customers", CSV_SQL, 2)}
 UNION ALL SELECT 'mystery', 'failed', 0, 'unsupported source type ' || chr(39) || 'gopher' || chr(39), NULL, NULL, NULL UNION ALL SELECT 'lost', 'failed', 0, 'unreadable', NULL, NULL, NULL"""
+_query_of = lambda *keys: "array_to_string(list_filter([" + ", ".join(keys) + "], lambda x: x IS NOT NULL), '&')"
+_id, _name, _q = "'id=' || page_id", "'name=' || url_encode('a b*~+/é&' || page_id)", "CASE WHEN page_id % 2 = 0 THEN 'q%20q=' || url_encode(url) END"
+_own = "nullif(regexp_extract(url, '[?]([^#]*)', 1), '')"
+REQUESTS_SQL = rf"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(url, '^[^?#]*') || '?' || {_query_of(_own, _id, _name, _q)} || regexp_extract(url, '#.*$')
+ WHEN 1 THEN 'https://api.example/' || page_id || '/v/' || url_encode('a b*~+/é&' || page_id) || '?' || {_query_of("'a=1&id=' || page_id", _q)} ELSE 'https://api.example/all?' || {_query_of(_id, _name, _q)} || '#top' END AS request FROM pages"""

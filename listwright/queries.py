@@ -22,6 +22,7 @@ from listwright.plans.storage import shared_dir, written
 from listwright.sources import cards, detect, files, registry, settings
 from listwright.sources.listing import enrich, gather, item_order, stable_id
 from listwright.sources.pages import COUNTRY_CODES, country_of
+from listwright.sources.requests import request_url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -622,6 +623,16 @@ def imported_json(spark, d):
     return rows.select("id", "title", "company", "location", "description", "url")
 
 
+@query(O.REQUESTS_SQL)
+def request_urls(spark, d):
+    """The addresses of requests to all pages' sites: plain ones, templates, and such with a query and a fragment of their
+    own, with parameters that need escaping."""
+    k = F.col("page_id").cast("string")
+    endpoint = F.when(F.col("page_id") % 3 == 0, F.col("url")).when(F.col("page_id") % 3 == 1, "https://api.example/{id}/v/{name}?a=1&id={id}").otherwise("https://api.example/all#top")
+    params = F.create_map(F.lit("id"), k, F.lit("name"), F.concat(F.lit("a b*~+/\u00e9&"), k), F.lit("q q"), F.when(F.col("page_id") % 2 == 0, F.col("url")))
+    return sample.read(spark, d, "pages").select("page_id", request_url(endpoint, params).alias("request"))
+
+
 @query(O.SOURCES_SQL)
 def source_statuses(spark, d):
     """A run over a catalogue of stored answers: three kinds of sources over whole tables, one of an unknown kind, one whose

@@ -39,7 +39,7 @@ BOARDS = (
 SAME_BACKEND = {"www.it-jobbank.dk": "jobindex.dk", "it-jobbank.dk": "jobindex.dk", "www.jobindex.dk": "jobindex.dk"}
 # ------------------------------------------------------------------------------------------------------------------
 
-_URL = r"^(?i)([a-z][a-z0-9+.-]*)://(?:[^@/?#]*@)?([^/?#:]*)(:\d+)?([^?#]*)(\?[^#]*)?(?:#.*)?$"
+_URL = r"^(?i)([a-z][a-z0-9+.-]*)://(?:[^@/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(:\d+)?([^?#]*)(\?[^#]*)?(?:#.*)?$"
 
 
 def host(url: Column) -> Column:

@@ -37,3 +37,30 @@ def test_a_source_that_fails_costs_itself_only(spark, tmp_path):
 def test_an_empty_catalogue(spark):
     found, statuses = fetch_sources(spark, [], NOW)
     assert found == [] and statuses.count() == 0
+
+
+def test_request_addresses(spark):
+    from pyspark.sql import functions as F
+
+    from listwright.sources.detect import host
+    from listwright.sources.requests import request_url
+
+    rows = [
+        ("https://a.example/{x}", {"x": "1 2", "y": "z"}, "https://a.example/1%202?y=z"),
+        ("https://a.example/?q=1#f", {"y": "\u00e9", "n": None}, "https://a.example/?q=1&y=%C3%A9#f"),
+        ("https://a.example/p", {}, "https://a.example/p"),
+        ("https://a.example/p", None, "https://a.example/p"),
+        ("https://a.example/{x}/{x}", {"x": "{y}"}, "https://a.example/%7By%7D/%7By%7D"),
+        (None, {"x": "1"}, None),
+    ]
+    df = spark.createDataFrame(rows, "e string, p map<string, string>, want string")
+    for r in df.select("want", request_url(F.col("e"), F.col("p")).alias("got")).collect():
+        assert r["got"] == r["want"]
+    bad = spark.createDataFrame([("https://a.example/{z}", {"x": "1"})], "e string, p map<string, string>")
+    try:
+        bad.select(request_url(F.col("e"), F.col("p"))).collect()
+        raise AssertionError("an unknown placeholder passed")
+    except Exception as e:
+        assert "'{z}'" in str(e)
+    hosts = spark.createDataFrame([("http://[::1]:80/a",), ("http://u@h.example:1/a",)], "u string").select(host(F.col("u"))).collect()
+    assert [r[0] for r in hosts] == ["[::1]", "h.example"]
