@@ -310,10 +310,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataF
     """(node, root) over all pairs of ``nodes`` that are similar and share a completing key; ``docs`` has their texts.
     One round over all keys of ``shared``, then rounds over the completing ones until no group is left."""
     roots, left = _round(docs, nodes, shared, None, 0)
+    some = None
     for turn in count(1):
         if left.isEmpty():
+            if some is not None:
+                discard(some)
             return roots
-        roots, left = _round(docs, nodes, left, roots, turn)
+        if some is None:
+            # few texts are left; later rounds go through these only, not through all texts each time
+            some = materialize(_bodies(docs, nodes, left).select("lw_body"), "some")
+        roots, left = _round(some, nodes, left, roots, turn)
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
