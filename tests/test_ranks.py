@@ -1,6 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from listwright.operators import rank
+from listwright.operators.rank import two_decimals
 
 
 def test_one_score_for_most_rows(spark):
@@ -22,3 +25,13 @@ def test_plan_has_no_window_over_rows(spark):
     for line in plan.splitlines():
         if "Window" in line:
             assert "n_" in line and "score" not in line
+
+
+def test_two_decimals_as_printf(spark):
+    rng = random.Random(5)
+    values = [k / 1000 for k in range(-1000, 1001)] + [0.125, 0.375, 0.0049999, 0.005, 1e-12, 999999.995, 123456.785, 1e17, -0.0] + [rng.random() for _ in range(500)] + [round(rng.random(), 6) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", two_decimals(F.col("v")).alias("t")).collect()
+    for r in rows:
+        if r["v"] is not None:  # Python formats as C does
+            assert float(r["t"]) == float(f"{r['v']:.2f}") and r["t"].lstrip("-") == f"{abs(r['v']):.2f}", r
+    assert [r["t"] for r in rows if r["v"] == 0.295] == ["0.29"]
