@@ -34,10 +34,10 @@ HOT_TOKENS = 1 << 20
 #: Slots of the table of frequent grams that each task holds.
 HOT_GRAMS = 1 << 22
 #: Bytes of text whose grams are made at once, and grams counted before they are passed on.
-WINDOW, _FLUSH_GRAMS = 1 << 22, 12 << 20
+WINDOW, _FLUSH_GRAMS = 1 << 20, 4 << 20
 _FLUSH = 300_000
 _SMALL = 1 << 16
-_ROWS = 200_000
+_ROWS = 100_000
 
 
 def running_text(text: bytes) -> bytes:
@@ -280,9 +280,10 @@ def _count_grams(batches):
     train, other, held = [], [], 0
 
     def rows():
-        keys = np.concatenate([np.zeros(0, np.int64), *train]), np.concatenate([np.zeros(0, np.int64), *other])
         both = []
-        for own in keys:
+        for pieces in (train, other):
+            own = np.concatenate([np.zeros(0, np.int64), *pieces])
+            pieces.clear()  # what is counted isn't held twice
             own.sort()
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
             both.append((own[first], np.diff(np.concatenate((first, [len(own)])))))
@@ -300,7 +301,7 @@ def _count_grams(batches):
             held += len(keys)
             if held >= _FLUSH_GRAMS:
                 yield from rows()
-                train, other, held = [], [], 0
+                held = 0
     if held:
         yield from rows()
 

@@ -144,3 +144,22 @@ def test_order_of_words_matters(spark, corpus):
     rows = [(i, text, "en", "a", 0) for i in range(20)] + [(50, text, "en", "a", 0), (51, " ".join(sorted(text.split())), "en", "a", 0)]
     by = {r["doc_id"]: r for r in C.score_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert by[50]["lw_base"] == pytest.approx(by[51]["lw_base"]) and by[50]["lw_score"] > by[51]["lw_score"] + 10
+
+
+def test_counting_holds_little():
+    """A task that counts grams holds no more than a few bounded pieces of them, however much text it gets."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from listwright.llm import ctw
+
+    rng = np.random.default_rng(1)
+    text = " ".join("".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (200_000, 5)))
+    batch = pa.RecordBatch.from_arrays([pa.array([False]), pa.array([text])], names=["lw_held", "lw_text"])
+    tracemalloc.start()
+    n = sum(pa.compute.sum(out.column("lw_all")).as_py() for out in ctw._count_grams(iter([batch] * 16)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 16 * (len(text) + 1)
+    assert peak < 200 << 20
