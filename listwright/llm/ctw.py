@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.llm.common import Shared, materialize, small_batches, texts, whole_groups
+from listwright.llm.common import materialize, small_batches, texts, whole_groups
 
 #: Bytes of context; with the byte itself they make one 64-bit number.
 DEPTH = 6
@@ -33,11 +33,12 @@ _LN_HALF = math.log(0.5)
 HOT_TOKENS = 1 << 20
 #: Slots of the table of frequent grams that each task holds.
 HOT_GRAMS = 1 << 22
-#: Bytes of text whose grams are made at once, and grams counted before they are passed on.
-WINDOW, _FLUSH_GRAMS = 1 << 20, 4 << 20
+#: Bytes of text whose grams are made at once, grams counted at once, and distinct ones held before they are passed on.
+WINDOW, _FLUSH_GRAMS, _HELD_GRAMS = 1 << 20, 2 << 20, 5 << 19
 _FLUSH = 300_000
 _SMALL = 1 << 16
-_ROWS = 100_000
+#: Rows of a tree's level at once, about, and rows of a batch that goes to Spark.
+_ROWS, _BATCH = 25_000, 1 << 15
 
 
 def running_text(text: bytes) -> bytes:
@@ -276,40 +277,63 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lw_word").agg(F.sum("lw_train").alias("lw_c"), F.sum(F.col("lw_train") + F.col("lw_other")).alias("lw_all"))
 
 
+def _counted(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct grams of ``pieces``, twice the gram and one more where it isn't learnt from, with their counts in
+    training texts and in all."""
+    marked = np.concatenate(pieces)
+    pieces.clear()  # what is counted isn't held twice
+    marked.sort()
+    unseen = marked & 1
+    marked >>= 1
+    first = np.flatnonzero(np.concatenate(([True], marked[1:] != marked[:-1])))
+    total = np.diff(np.concatenate((first, [len(marked)])))
+    return marked[first], total - np.add.reduceat(unseen, first), total
+
+
 def _count_grams(batches):
-    train, other, held = [], [], 0
+    """Counts of a task's grams, added up while no more than ``_HELD_GRAMS`` are distinct."""
+    pieces, held, sums = [], 0, None
+
+    def add():
+        nonlocal held, sums
+        held, new = 0, _counted(pieces)
+        if sums is None:
+            sums = new
+            return
+        at = np.searchsorted(sums[0], new[0])
+        known = sums[0][np.minimum(at, len(sums[0]) - 1)] == new[0]
+        for own, more in zip(sums[1:], new[1:]):
+            own[at[known]] += more[known]
+        at = at[~known]
+        sums = tuple(np.insert(own, at, more[~known]) for own, more in zip(sums, new))
 
     def rows():
-        both = []
-        for pieces in (train, other):
-            own = np.concatenate([np.zeros(0, np.int64), *pieces])
-            pieces.clear()  # what is counted isn't held twice
-            own.sort()
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
-            both.append((own[first], np.diff(np.concatenate((first, [len(own)])))))
-        (a, n), (b, m) = both
-        n = np.concatenate((n, np.zeros_like(m)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((a, b))), pa.array(n), pa.array(np.concatenate((n[: len(a)], m)))], names=["lw_gram", "lw_n", "lw_all"])
+        nonlocal sums
+        for i in range(0, len(sums[0]), _BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + _BATCH]) for x in sums], names=["lw_gram", "lw_n", "lw_all"])
+        sums = None
 
     for batch in batches:
-        out = batch.column("lw_held").to_numpy(zero_copy_only=False)
+        out = batch.column("lw_held").to_numpy(zero_copy_only=False).astype(np.int64)
         bodies = [running_text(t) for t in texts(batch.column("lw_text"))]
         for keys, of in grams_of(bodies):
-            unseen = out[of]
-            train.append(keys[~unseen])
-            other.append(keys[unseen])
+            pieces.append(keys << 1 | out[of])
             held += len(keys)
             if held >= _FLUSH_GRAMS:
-                yield from rows()
-                held = 0
+                add()
+                if len(sums[0]) >= _HELD_GRAMS:
+                    yield from rows()
     if held:
+        add()
+    if sums is not None:
         yield from rows()
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """Over (``lw_held``, ``lw_text``): each distinct gram with its count in training texts and in all texts."""
     counted = docs.select("lw_held", "lw_text").mapInArrow(_count_grams, "lw_gram bigint, lw_n bigint, lw_all bigint")
-    return counted.groupBy("lw_gram").agg(F.sum("lw_n").alias("lw_n"), F.sum("lw_all").alias("lw_all"))
+    # a task's counts are added up as they come, so they are dealt as they are
+    return counted.repartition("lw_gram").groupBy("lw_gram").agg(F.sum("lw_n").alias("lw_n"), F.sum("lw_all").alias("lw_all"))
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
@@ -336,8 +360,7 @@ class HotGrams:
 
     def __init__(self, grams: np.ndarray, scores: np.ndarray, slots: int = HOT_GRAMS):
         """``grams`` come by rising frequency: of those that share a place the last keeps it."""
-        self.bits = slots.bit_length() - 1
-        self.keys, self.scores = np.full(slots, -1, np.int64), np.zeros(slots)
+        self._take(np.full(slots, -1, np.int64), np.zeros(slots))
         for turn in (0, 1):
             at = self._place(grams, turn)
             if turn:
@@ -347,6 +370,16 @@ class HotGrams:
             lost = self.keys[at] != grams
             grams, scores = grams[lost], scores[lost]
 
+    def _take(self, keys: np.ndarray, scores: np.ndarray):
+        self.keys, self.scores, self.bits = keys, scores, len(keys).bit_length() - 1
+
+    @classmethod
+    def of(cls, keys: np.ndarray, scores: np.ndarray) -> HotGrams:
+        """Around the arrays of a table made before."""
+        table = cls.__new__(cls)
+        table._take(keys, scores)
+        return table
+
     def _place(self, grams: np.ndarray, turn: int) -> np.ndarray:
         mixed = grams.view(np.uint64) * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[turn])
         return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -394,14 +427,17 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
     total, train, distinct = words.agg(F.sum("lw_all"), F.sum("lw_c"), F.count_if(F.col("lw_c") > 0)).first()
     total, train = total or 0, train or 0
     hot = words.where(F.col("lw_all") >= max(2, -(-total // HOT_TOKENS))).select("lw_word", "lw_c").toArrow()
-    c = hot["lw_c"].to_numpy()
-    table = dict(zip(hot["lw_word"].to_pylist(), zip((c > 0).astype(int).tolist(), np.log10(c + 1.0).tolist())))
-    lookup, hot_grams = Shared(spark, table), Shared(spark, _hot_grams(grams))
+    table = dict(zip(hot["lw_word"].to_pylist(), np.log10(hot["lw_c"].to_numpy() + 1.0).tolist()))  # zero: not learnt
+    # plain values, so that a worker holds them once and for all its tasks
+    share = spark.sparkContext.broadcast
+    frequent = _hot_grams(grams)
+    lookup, hot_grams = share(table), share((frequent.keys, frequent.scores))
+    del table, hot, frequent
     schema = _PARTS.format(id=docs.schema[id].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
 
     def parts(batches):
-        known_tokens, known_grams = lookup.value, hot_grams.value
+        known_tokens, known_grams = lookup.value, HotGrams.of(*hot_grams.value)
         for batch in batches:
             kinds = (batch.column("lw_id").type, pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64())
             row_ids = batch.column("lw_row").to_numpy(zero_copy_only=False)
@@ -418,15 +454,15 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", modulus
                     if found is None:
                         rare.append((row, w, n))
                     else:
-                        known += n * found[0]
-                        base += n * found[1]
+                        known += n * (found > 0)
+                        base += n * found
                 own.append((n_words + 1, len(body), known, base))
             score = np.zeros(len(own))
             for keys, of in grams_of(bodies):
                 found, missed = known_grams.find(keys)
                 score += np.bincount(of, found, len(own))
-                if len(missed):
-                    r, k = row_ids[of[missed]], keys[missed]
+                for i in range(0, len(missed), _BATCH):
+                    r, k = row_ids[of[missed[i : i + _BATCH]]], keys[missed[i : i + _BATCH]]
                     gone = [pa.nulls(len(r), kind) for kind in (pa.binary(), pa.int64(), *kinds)]
                     yield pa.RecordBatch.from_arrays([pa.array(r), gone[0], pa.array(k), *gone[1:]], names=names)
             none = lambda kind: pa.nulls(batch.num_rows, kind)

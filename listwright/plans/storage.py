@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting for deleting a query's shuffles as it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -28,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: the lineage ends there, a lost executor costs no
-    more than the step at hand, and the planner knows the table's true size, so it broadcasts it only where it is small."""
+    more than the step at hand, and the planner knows the table's true size, so it broadcasts it only where it is small.
+    The shuffles of the step are deleted with its end; else they would stay until the driver collects garbage."""
     path = f"{shared_dir(df.sparkSession)}/listwright-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before) if before is not None else conf.unset(SHUFFLE_CLEANUP)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

@@ -163,3 +163,16 @@ def test_counting_holds_little():
     tracemalloc.stop()
     assert n == 16 * (len(text) + 1)
     assert peak < 200 << 20
+
+
+def test_a_task_sends_each_gram_once():
+    """Grams of later pieces are added to those counted before, and go to Spark in small batches."""
+    import pyarrow as pa
+
+    text = " ".join("".join(chr(97 + c) for c in w) for w in np.random.default_rng(2).integers(0, 26, (30_000, 5)))
+    batch = pa.RecordBatch.from_arrays([pa.array([False, True]), pa.array([text] * 2)], names=["lw_held", "lw_text"])
+    out = list(C._count_grams(iter([batch] * 20)))
+    grams = np.concatenate([x["lw_gram"].to_numpy() for x in out])
+    assert len(grams) == len(set(grams.tolist())) and max(x.num_rows for x in out) <= C._BATCH
+    for name, times in (("lw_n", 20), ("lw_all", 40)):
+        assert sum(pa.compute.sum(x[name]).as_py() for x in out) == times * (len(text) + 1)
