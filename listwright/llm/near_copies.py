@@ -7,7 +7,9 @@ prefix filtering: shingles are put in one order over the corpus, frequent ones l
 similar as ``SIMILAR`` share one of the first few of each; what follows their first common one must be enough for that
 similarity, so texts of their own that end in the same common passage make no pairs. Either way wide fingerprints, then the shingles themselves
 verify a pair. A large group of a key is searched from a few random pivots at a time, in rounds: members that a round
-has linked aren't compared with each other again, and a group's largest class gives no pivots. Rows of a group are
+has linked aren't compared with each other again, and a group's largest class gives no pivots. After the first round
+texts carry their shingles' hashes into the search, so pairs that are nearly similar, of which a large group may have a
+square of its size, are settled where they meet and no row is made for them. Rows of a group are
 dealt to tasks in blocks of bounded size, the round's pivots to each of them.
 """
 
@@ -39,6 +41,8 @@ ORDER_SAMPLE, ORDER_FREQUENT, ORDER_LEAST = 4000, 1 << 17, 3
 SMALL_GROUP, PIVOTS, MOST_PIVOTS = 64, 64, 1 << 14
 #: Rows of a group that one task gets, about, beside the pivots.
 BLOCK = 20_000
+#: Shingles up to which a text carries its hashes into the search of later rounds, and other texts compared by them at once.
+CARRIED, COMPARED = 1024, 1000
 #: Partners of a text that one task verifies.
 PARTNERS = 256
 
@@ -112,6 +116,34 @@ def _enough(size_a, reach_a, size_b, reach_b):
     return (num + den) * np.minimum(reach_a, reach_b) >= num * (size_a + size_b)
 
 
+class Carried:
+    """The hashes that rows carry, sorted, as 16 bits each; none where a text has too many."""
+
+    def __init__(self, column):
+        raw = [x or b"" for x in column.to_pylist()]
+        self.values = np.frombuffer(b"".join(raw), np.uint16)
+        self.at = np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw])))
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Of rows ``others`` those that may be similar to row ``i``: hashes of 16 bits can only have more in common than
+        the shingles do, so no similar one is lost. A row without hashes may be."""
+        num, den = SIMILAR
+        own = self.values[self.at[i] : self.at[i + 1]]
+        if not len(own):
+            return others
+        kept = []
+        for k in range(0, len(others), COMPARED):
+            some = others[k : k + COMPARED]
+            flat = np.concatenate([self.values[a:b] for a, b in zip(self.at[some].tolist(), self.at[some + 1].tolist())])
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            sizes = self.at[some + 1] - self.at[some]
+            ends = np.cumsum(sizes)
+            sums = np.concatenate(([0], np.cumsum(found)))
+            both = sums[ends] - sums[ends - sizes]
+            kept.append(some[(sizes == 0) | ((num + den) * both >= num * (sizes + len(own)))])
+        return np.concatenate(kept) if kept else others
+
+
 _MASKS = np.array(wildcard_masks(), np.int64).view(np.uint64)
 
 
@@ -167,18 +199,21 @@ def _candidates(batches):
         deals, nodes, roots, size = (table.column(c).to_numpy() for c in ("lw_deal", "lw_node", "lw_root", "lw_size"))
         home, pivot, reach = (table.column(c).to_numpy() for c in ("lw_home", "lw_pivot", "lw_reach"))
         marks = np.frombuffer(b"".join(table.column("lw_wide").to_pylist()), np.uint64).reshape(len(deals), -1)
+        sets = Carried(table.column("lw_set"))
         starts, sizes = _runs(deals)
         two = starts[sizes == 2]
         two = two[(roots[two] != roots[two + 1]) & (pivot[two] | pivot[two + 1])]
         two = two[_enough(size[two], reach[two], size[two + 1], reach[two + 1])]
         near = two[_maybe(size[two], marks[two], size[two + 1], marks[two + 1])]
+        if len(sets.values):
+            near = near[[len(sets.similar(i, np.array([i + 1]))) > 0 for i in near.tolist()]] if len(near) else near
         out = [(nodes[near], nodes[near + 1])]
         for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             own = s + np.flatnonzero(home[s : s + m])
-            own_nodes, own_roots, own_size, own_reach, own_marks = nodes[own], roots[own], size[own], reach[own], marks[own]
+            own_roots, own_size, own_reach, own_marks = roots[own], size[own], reach[own], marks[own]
             for i in (s + np.flatnonzero(pivot[s : s + m])).tolist():
                 some = np.flatnonzero((own_roots != roots[i]) & _enough(size[i], reach[i], own_size, own_reach))
-                found = own_nodes[some[_maybe(size[i], marks[i], own_size[some], own_marks[some])]]
+                found = nodes[sets.similar(i, own[some[_maybe(size[i], marks[i], own_size[some], own_marks[some])]])]
                 out.append((np.full(len(found), nodes[i]), found))
         a, b = (np.concatenate(x) for x in zip(*out))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -196,17 +231,30 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes that are similar. A text with many partners is dealt to several tasks with some
+def _with_text(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``nodes`` of ``wanted``, each with one text."""
+    own = nodes.join(wanted.select("lw_node").distinct(), "lw_node", "left_semi")
+    return docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(own, "lw_text_hash").dropDuplicates(["lw_text_hash", "lw_node"])  # dealt by hash already
+
+
+def _carrying(batches):
+    """Rows with the hashes of their texts, for texts of up to ``CARRIED`` shingles."""
+    for batch in batches:
+        sets = [hashed(t) for t in texts(batch.column("lw_body"))]
+        sets = [(h >> np.uint64(48)).astype(np.uint16).tobytes() if len(h) <= CARRIED else None for h in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], names=[*batch.schema.names, "lw_set"])
+
+
+def _verify(docs: DataFrame | None, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes that are similar, by the texts of ``docs``, or of ``nodes`` if these have them. A text with many partners is dealt to several tasks with some
     of them each; a pair takes one text along, not two."""
-    small_batches(docs.sparkSession)
+    small_batches(nodes.sparkSession)
     counts = pairs.groupBy("a").agg(F.floor(F.count("*") / PARTNERS).alias("lw_more"))
     part = F.pmod(F.xxhash64("b"), F.col("lw_more") + 1)
     dealt = materialize(pairs.join(counts, "a").select("a", "b", F.xxhash64("a", part).alias("lw_deal")), "dealt")
     wanted = dealt.select("a", F.lit(None).cast("bigint").alias("b"), "lw_deal").distinct().unionByName(dealt)
     wanted = wanted.withColumn("lw_node", F.coalesce("b", "a"))
-    hashes = nodes.select("lw_node", "lw_text_hash").join(wanted.select("lw_node").distinct(), "lw_node", "left_semi")
-    bodies = docs.select(F.xxhash64("lw_body").alias("lw_text_hash"), "lw_body").join(hashes, "lw_text_hash").dropDuplicates(["lw_node"])
+    bodies = nodes if docs is None else _with_text(docs, nodes.select("lw_node", "lw_text_hash"), wanted)
     rows = wanted.join(bodies.select("lw_node", "lw_body"), "lw_node").select("lw_deal", "a", "b", "lw_body")
     found = rows.repartition("lw_deal").sortWithinPartitions("lw_deal", F.col("b").asc_nulls_first()).mapInArrow(_verified, "a bigint, b bigint")
     found = materialize(found, "similar")
@@ -240,10 +288,10 @@ def _pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct pairs to verify of a turn's ``rows``, a group's rows dealt in blocks and its pivots to every block."""
     blocks = F.ceil(F.col("lw_rows") / F.lit(BLOCK))
     own = F.pmod(F.xxhash64("lw_node"), blocks)
-    marked = rows.join(nodes.select("lw_node", "lw_size", "lw_wide"), "lw_node").withColumn("lw_own", own)
+    marked = rows.join(nodes.select("lw_node", "lw_size", "lw_wide", "lw_set"), "lw_node").withColumn("lw_own", own)
     dealt = marked.withColumn("lw_block", F.explode(F.when(F.col("lw_pivot"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("lw_own"))))
     dealt = dealt.select(
-        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_reach", "lw_root", "lw_size", "lw_wide", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
+        F.xxhash64("lw_key", "lw_block").alias("lw_deal"), "lw_node", "lw_reach", "lw_root", "lw_size", "lw_wide", "lw_set", (F.col("lw_block") == F.col("lw_own")).alias("lw_home"), "lw_pivot"
     )
     found = dealt.repartition("lw_deal").sortWithinPartitions("lw_deal").mapInArrow(_candidates, "a bigint, b bigint")
     return materialize(found.distinct(), "pairs")
@@ -261,7 +309,7 @@ def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("now", "root").alias("root")).unionByName(new), "roots")
 
 
-def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFrame | None, turn: int):
+def _round(docs: DataFrame | None, nodes: DataFrame, postings: DataFrame, roots: DataFrame | None, turn: int):
     """One round over the groups of ``postings`` (lw_key, lw_node, lw_reach): roots so far and what later rounds have to look at."""
     rows = _turn(postings, roots, turn)
     pairs = _pairs(nodes, rows)
@@ -275,11 +323,18 @@ def _round(docs: DataFrame, nodes: DataFrame, postings: DataFrame, roots: DataFr
 def similar_links(docs: DataFrame, nodes: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, root) over all pairs of ``nodes`` that are similar and share a completing key; ``docs`` has their texts.
     One round over all keys of ``shared``, then rounds over the completing ones until no group is left."""
-    roots, left = _round(docs, nodes, shared, None, 0)
+    roots, left = _round(docs, nodes.withColumn("lw_set", F.lit(None).cast("binary")), shared, None, 0)
+    if left.isEmpty():
+        return roots
+    # later rounds are about these nodes only, so their texts are looked up once
+    schema = "lw_node bigint, lw_size bigint, lw_wide binary, lw_body string"
+    found = _with_text(docs, nodes, left).select(*[x.split()[0] for x in schema.split(", ")])
+    carrying = materialize(found.mapInArrow(_carrying, f"{schema}, lw_set binary"), "carrying")
     for turn in count(1):
+        roots, left = _round(None, carrying, left, roots, turn)
         if left.isEmpty():
+            discard(carrying)
             return roots
-        roots, left = _round(docs, nodes, left, roots, turn)
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

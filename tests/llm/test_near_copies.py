@@ -121,3 +121,22 @@ def test_no_short_pair_is_missed(spark):
         rows += [(2 * i, text, "en", "a", 0), (2 * i + 1, f"{text} last{i}", "en", "a", 0)]
     kept = N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == [2 * i for i in range(10_000)]
+
+
+def test_nearly_similar_pairs_make_no_rows(spark, monkeypatch):
+    """A group of texts whose pairs are all below the similarity, but not far: fingerprints can't tell, hashes do."""
+    rng = random.Random(45)
+    base = prose(rng, 200)
+    rows = [(i, changed(rng, base, 6), "en", "hot", 0) for i in range(150)]
+    rows += [(1000 + i, changed(rng, rows[i][1], 1), "en", "hot", 0) for i in range(0, 150, 3)]
+    verify, counts = N._verify, []
+
+    def counted(docs, nodes, pairs):
+        counts.append(pairs.count())
+        return verify(docs, nodes, pairs)
+
+    monkeypatch.setattr(N, "_verify", counted)
+    monkeypatch.setattr(N, "COMPARED", 7)
+    got = sorted(str(r["doc_id"]) for r in N.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_kept(rows)
+    assert len(counts) > 1 and sum(counts[1:]) < 100, counts
